@@ -144,17 +144,17 @@ def column_generation(demand: np.ndarray, capacity: int, gap: float = GAP) -> li
     inverse = np.diag(1.0 / columns.diagonal())
     x = demand[items] / columns.diagonal()
     bound = 0.0
-    for step in range(50 * m):
+    for _ in range(50 * m):
         dual = np.maximum(inverse.sum(axis=0), 0)
         values = np.zeros(len(demand))
         values[items] = dual
         value, counts = price(values, capacity)
         total = float(x.sum())
-        bound = max(bound, float(dual @ demand[items]) / max(value, 1.0))
+        bound = max(bound, float((dual * demand[items]).sum()) / max(value, 1.0))
         if value <= 1 + 1e-9 or total <= bound * (1 + gap):
             break
         enter = counts[items].astype(float)
-        change = inverse @ enter
+        change = np.einsum("ij,j->i", inverse, enter)  # no threads of a linear algebra library beside the JVM's
         ratio = np.where(change > 1e-9, np.maximum(x, 0) / np.where(change > 1e-9, change, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -166,9 +166,6 @@ def column_generation(demand: np.ndarray, capacity: int, gap: float = GAP) -> li
         inverse = inverse - np.outer(change, row)
         inverse[out] = row
         columns[:, out] = counts[items]
-        if step % 400 == 399:
-            inverse = np.linalg.inv(columns.astype(float))
-            x = np.maximum(inverse @ demand[items], 0)
     patterns = []
     for k in range(m):
         if x[k] > 1e-9:
