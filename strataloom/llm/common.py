@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time, and the rows of an Arrow batch.
@@ -65,6 +65,15 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+#: A set of ids up to this size is broadcast (under 64 MB in memory); a larger one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose key is among ids, which must be durable: counted first, broadcast only below a bound."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 # ---- texts in Arrow batches -------------------------------------------------------------------------
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .hyperminhash import op2_hyperminhash
 from .packing import op4_pack
 
 
 def queries() -> dict:
-    return {"op4_pack": op4_pack, "op8_byte_bpe": op8_byte_bpe}
+    return {"op2_hyperminhash": op2_hyperminhash, "op4_pack": op4_pack, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict:
