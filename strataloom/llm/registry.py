@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import chat
 from .byte_bpe import op8_byte_bpe
+from .chat import op1_chat_parts
 from .hyperminhash import op2_hyperminhash
 from .packing import op4_pack
+from .quality import op6_weak_quality
 
 
 def queries() -> dict:
-    return {"op2_hyperminhash": op2_hyperminhash, "op4_pack": op4_pack, "op8_byte_bpe": op8_byte_bpe}
+    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op6_weak_quality, op8_byte_bpe]
+    return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_chat_parts": chat.OP1_SQL}
