@@ -8,10 +8,11 @@ from .chat import op1_chat_parts
 from .hyperminhash import op2_hyperminhash
 from .packing import op4_pack
 from .quality import op6_weak_quality
+from .secrets import op5_secret_owners
 
 
 def queries() -> dict:
-    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op6_weak_quality, op8_byte_bpe]
+    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op5_secret_owners, op6_weak_quality, op8_byte_bpe]
     return {op.__name__: op for op in ops}
 
 
