@@ -12,6 +12,7 @@ Defined results: a null text has the closing id alone; rows may repeat and are p
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .words import U64, Words
 
 CAPACITY = 2048
 END_ID = 1
@@ -29,42 +31,147 @@ UNIT = 8
 SALTS = 32
 #: The linear program ends within this share of its bound.
 GAP = 2e-4
-CACHE_ENTRIES = 200_000
-CACHED_BYTES = 64
+#: Runs whose ids a worker keeps, about 40 bytes each.
+CACHE_ENTRIES = 1_000_000
+
+
+class IdTable:
+    """Ids by the 64-bit hash of their run, in open addressing: looked up for many runs at a time.
+
+    The runs that came first are the frequent ones; when the table is full, the first half stays.
+    """
+
+    def __init__(self, entries: int):
+        self.entries, self.mask = entries, U64((1 << (2 * entries - 1).bit_length()) - 1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = np.full(int(self.mask) + 1, -1, dtype=np.int32)
+        self.keys, self.starts, self.lengths = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        at, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            entry = self.slots[at]
+            some = entry >= 0
+            hit = some.copy()
+            hit[some] = self.keys[entry[some]] == hashes[todo[some]]
+            out[todo[hit]] = entry[hit]
+            go = some & ~hit
+            todo, at = todo[go], at[go] + 1 & int(self.mask)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """New and distinct hashes with their ids; of more than half the table's entries, the first."""
+        hashes, ids = hashes[: self.entries // 2], ids[: self.entries // 2]
+        if len(self.keys) and len(self.keys) + len(hashes) > self.entries:
+            half = min(self.entries // 2, len(self.keys))
+            keys, starts, lengths, pool = self.keys[:half], self.starts[:half], self.lengths[:half], self.pool
+            self._clear()
+            self._place(keys)
+            self.starts, self.lengths, self.pool = starts, lengths, pool[: int(starts[-1] + lengths[-1])]
+        lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        self._place(hashes)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+
+    def _place(self, hashes: np.ndarray) -> None:
+        base = len(self.keys)
+        self.keys = np.concatenate([self.keys, hashes])
+        at, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = base + todo[free]  # of those that meet in a slot, one stays
+            go = self.slots[at] != base + todo
+            todo, at = todo[go], at[go] + 1 & int(self.mask)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these entries, one after the other, and where each entry's begin."""
+        lengths = self.lengths[entries]
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        return self.pool[np.repeat(self.starts[entries] - begins[:-1], lengths) + np.arange(begins[-1])], begins
 
 
 class WordTokens:
     """A tokenizer that drops white space, applied to the runs between white space and kept by them.
 
     No match of its pre-tokenizer holds white space and no normal form joins what white space divides, so the ids of
-    a text are those of its runs, one after the other.
+    a text are those of its runs, one after the other. Its normaliser lower-cases, so runs may come in lower case, but
+    for the special tokens' marks. A full stop or comma after a letter is a match of its own.
     """
 
     def __init__(self, path: str):
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        vocab = self.model.get_vocab()
+        self.closes = np.zeros(1 + max(vocab.values()), dtype=bool)  # by id: it ends a match
+        self.closes[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.table = IdTable(CACHE_ENTRIES)
+
+    def encode_whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters, in one string: each is one match, unless lower case gives it marks that are no letters."""
+        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return [self.encode_whole(word) for word in words]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, runs: list[bytes], hashes: np.ndarray) -> None:
+        plain, other = [], []
+        for i, run in enumerate(runs):
+            (plain if run.isalpha() or run.decode().isalpha() else other).append(i)
+        found: list[bytes] = [b""] * len(runs)
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            for i, ids in zip(part, self._encode_words([runs[i].decode() for i in part]), strict=True):
+                found[i] = ids
+        for a in range(0, len(other), 2000):
+            part = other[a : a + 2000]
+            for i, got in zip(part, self.model.encode_batch_fast([runs[i].decode() for i in part], add_special_tokens=False), strict=True):
+                found[i] = array("I", got.ids).tobytes()
+        self.table.add(hashes, found)
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """Per text: its ids as little-endian unsigned 32-bit words."""
-        split = [text.split() for text in texts]
-        young, old, found, miss = self.young, self.old, {}, []
-        for run in {run for runs in split for run in runs}:
-            if (hit := young.get(run)) is None and (hit := old.get(run)) is not None:
-                young[run] = hit
-            if hit is not None:
-                found[run] = hit
-            else:
-                miss.append(run)
-        for a in range(0, len(miss), 5000):
-            part = miss[a : a + 5000]
-            for run, got in zip(part, self.model.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                found[run] = np.array(got.ids, dtype="<u4").tobytes()
-                if len(run) <= CACHED_BYTES:
-                    young[run] = found[run]
-        if len(young) > CACHE_ENTRIES:
-            self.old, self.young = young, {}
-        return [b"".join([found[run] for run in runs]) for runs in split]
+        words = Words(texts, lower=True, hashed=False)
+        data, starts, ends = words.data, words.starts, words.ends
+        last, before, lead = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+        letter = (ends - starts >= 2) & (before >= 0x61) & (before <= 0x7A) | (ends - starts >= 3) & (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        cut = ((last == 0x2E) | (last == 0x2C)) & letter
+        of = np.repeat(np.arange(len(starts)), 1 + cut)
+        second = np.zeros(len(of), dtype=bool)
+        second[1:] = of[1:] == of[:-1]
+        run_starts = np.where(second, ends[of] - 1, starts[of])
+        run_ends = ends[of] - (cut[of] & ~second)
+        hashes = words.hash_spans(run_starts, run_ends)
+        entries = self.table.find(hashes)
+        if (entries < 0).any():
+            gaps = np.flatnonzero(entries < 0)
+            new, first = np.unique(hashes[gaps], return_index=True)
+            first = np.sort(gaps[first])  # in the order of the text
+            raw = data.tobytes()
+            self._learn([raw[a:b] for a, b in zip(run_starts[first].tolist(), run_ends[first].tolist(), strict=True)], hashes[first])
+            entries = self.table.find(hashes)  # all: the table may have been thinned out
+            if (entries < 0).any():  # then once more for what has just gone
+                return [x for k in range(len(texts)) for x in self.encode_batch(texts[k : k + 1])] if len(texts) > 1 else [self.encode_whole(texts[0].as_py())]
+        ids, begins = self.table.gather(entries)
+        at = begins[np.searchsorted(of, words.word_at)]
+        raw = ids.tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        if b"<|" in data.tobytes():
+            for k, text in enumerate(texts.to_pylist()):
+                if "<|" in text:
+                    out[k] = self.encode_whole(text)
+        return out
 
 
 _held: dict[str, WordTokens] = {}
@@ -84,9 +191,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         model = word_tokens(path)
         for batch in batches:
-            texts = common.text_column(batch.column(1)).cast(pa.binary())
+            texts = common.text_column(batch.column(1))
             for a, b in common.chunks(texts):
-                ids = [x + end for x in model.encode_batch(texts[a:b].to_pylist())]
+                ids = [x + end for x in model.encode_batch(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")

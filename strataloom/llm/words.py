@@ -67,11 +67,16 @@ class Words:
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.word_at = np.searchsorted(self.starts, self.text_at)
         if hashed:
-            powers, inverse = _power_tables(n + 1)
-            with np.errstate(over="ignore"):
-                sums = np.zeros(n + 1, dtype=U64)
-                np.cumsum(_TABLE[self.data] * powers[:n], out=sums[1:])
-                self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+            self.hashes = self.hash_spans(self.starts, self.ends)
+
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each span, from prefix sums of a polynomial."""
+        n = len(self.data)
+        powers, inverse = _power_tables(n + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=U64)
+            np.cumsum(_TABLE[self.data] * powers[:n], out=sums[1:])
+            return mix((sums[ends] - sums[starts]) * inverse[starts])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_at)
