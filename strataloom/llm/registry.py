@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import chat
 from .byte_bpe import op8_byte_bpe
 from .chat import op1_chat_parts
+from .epsilon_grid import op9_epsilon_grid
 from .hyperminhash import op2_hyperminhash
 from .packing import op4_pack
 from .quality import op6_weak_quality
@@ -12,7 +13,7 @@ from .secrets import op5_secret_owners
 
 
 def queries() -> dict:
-    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op5_secret_owners, op6_weak_quality, op8_byte_bpe]
+    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op5_secret_owners, op6_weak_quality, op8_byte_bpe, op9_epsilon_grid]
     return {op.__name__: op for op in ops}
 
 
