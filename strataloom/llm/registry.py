@@ -10,10 +10,11 @@ from .hyperminhash import op2_hyperminhash
 from .packing import op4_pack
 from .quality import op6_weak_quality
 from .secrets import op5_secret_owners
+from .toxicity import op10_toxicity_votes
 
 
 def queries() -> dict:
-    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op5_secret_owners, op6_weak_quality, op8_byte_bpe, op9_epsilon_grid]
+    ops = [op1_chat_parts, op2_hyperminhash, op4_pack, op5_secret_owners, op6_weak_quality, op8_byte_bpe, op9_epsilon_grid, op10_toxicity_votes]
     return {op.__name__: op for op in ops}
 
 

@@ -55,6 +55,7 @@ class Words:
         raw = np.frombuffer(values, dtype=np.uint8)[offsets[0] : offsets[-1]] if values is not None else np.zeros(0, np.uint8)
         self.text_at = offsets - offsets[0]
         self.data = _LOWER[raw] if lower else raw
+        self._sums = None
         inside = ~_SPACE[raw]
         n = len(raw)
         first = np.zeros(n + 1, dtype=bool)
@@ -74,9 +75,10 @@ class Words:
         n = len(self.data)
         powers, inverse = _power_tables(n + 1)
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=U64)
-            np.cumsum(_TABLE[self.data] * powers[:n], out=sums[1:])
-            return mix((sums[ends] - sums[starts]) * inverse[starts])
+            if self._sums is None:
+                self._sums = np.zeros(n + 1, dtype=U64)
+                np.cumsum(_TABLE[self.data] * powers[:n], out=self._sums[1:])
+            return mix((self._sums[ends] - self._sums[starts]) * inverse[starts])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_at)
