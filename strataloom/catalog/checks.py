@@ -18,6 +18,8 @@ def _literal(rows: list[tuple], names: list[str]) -> str:
     def show(v):
         if v is None:
             return "NULL"
+        if isinstance(v, int) and abs(v) >= 100_000:
+            return f"{v}::BIGINT"
         return str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({', '.join(names)}))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import ORACLES, QUERIES, checks, releases  # noqa: F401
+from .catalog import ORACLES, QUERIES, checks, network, planner, releases, scalars  # noqa: F401
 
 
 def queries() -> dict:
