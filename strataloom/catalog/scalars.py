@@ -23,7 +23,7 @@ RATIOS = ["1%,10%, 50%", "0.25,,0.5", "", "100%", " 5 % "]
 
 @query(f"SELECT text, coalesce(list_sum(r), 0.0::DOUBLE) AS total, len(r) AS n FROM (SELECT text, [CASE WHEN ends_with(trim(p), '%') THEN CAST(trim(replace(p, '%', '')) AS DOUBLE) / 100 ELSE CAST(trim(p) AS DOUBLE) END FOR p IN string_split(text, ',') IF trim(p) <> ''] AS r FROM {_literal([(s,) for s in RATIOS], ['text'])})")
 def parse_ratio_list(spark, sf):
-    rows = spark.createDataFrame([(s,) for s in RATIOS], "text string").withColumn("r", T.parse_ratios(F.col("text")))
+    rows = spark.createDataFrame([(s,) for s in RATIOS], "text string").withColumn("r", T.parse_ratios("text"))
     return rows.select("text", F.aggregate("r", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("r").cast("bigint").alias("n"))
 
 
