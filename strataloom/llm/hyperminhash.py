@@ -101,9 +101,9 @@ def estimate(equal: np.ndarray, k: int, n: np.ndarray, m: np.ndarray) -> np.ndar
     return (equal / k - chance) / (1 - chance)
 
 
-def sketches(docs: DataFrame, size: int, threshold: float, miss: float = MISS) -> DataFrame:
+def sketches(docs: DataFrame, size: int, threshold: float, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
     """(id, n_shingles, fp_a, fp_b, bands array): set size, a 128-bit digest of the set, the band keys. docs(id, text)."""
-    rows, bands = tune_bands(threshold, miss)
+    rows, bands = tune_bands(threshold, miss, most)
     common.small_batches(docs.sparkSession)
 
     def run(batches):
@@ -156,9 +156,9 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
     return found
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int, miss: float = MISS) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
     """(src, dst): links that connect each component of the classes. classes(rep, n_shingles, bands), docs(id, text)."""
-    rows, bands = tune_bands(num / den, miss)
+    rows, bands = tune_bands(num / den, miss, most)
     k = rows * bands
     keys = classes.select("rep", F.explode("bands").alias("key"))
     lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
@@ -212,17 +212,17 @@ def links(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int, mi
     return texts.select("task", "node", "side", "text").repartition(n, "task").sortWithinPartitions("task", "node", "side").mapInArrow(compare, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs(id, text): texts of a component link by 1 - num / den.
 
     A text without words links with nothing. Rows of one id are one node. A null id links with nothing and has no
     component. An empty table gives no row.
     """
-    sk = common.durable(sketches(docs, size, num / den, miss))
+    sk = common.durable(sketches(docs, size, num / den, miss, most))
     some = sk.where("n_shingles > 0 and id is not null")
     reps = common.durable(some.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("id").alias("rep")))
     classes = some.join(reps, [some.id == reps.rep, some.n_shingles == reps.n_shingles, some.fp_a == reps.fp_a, some.fp_b == reps.fp_b], "left_semi").select(F.col("id").alias("rep"), "n_shingles", "bands").dropDuplicates(["rep", "n_shingles"])
-    found = common.components(links(common.durable(classes), docs.where("id is not null"), size, num, den, miss))
+    found = common.components(links(common.durable(classes), docs.where("id is not null"), size, num, den, miss, most))
     labels = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "fp_a", "fp_b", F.coalesce("component_id", "rep").alias("component_id"))
     out = sk.drop("bands").join(labels, ["n_shingles", "fp_a", "fp_b"], "left")
     return out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))

@@ -20,7 +20,8 @@ from .words import Words
 
 LEAST_WORDS = 40
 SHINGLE, NUM, DEN = 5, 80, 100
-MISS = 1e-4
+#: Paragraphs are many and short: few registers, in short bands, keep the band table small at this chance of a miss.
+MISS, MOST_REGISTERS = 1e-5, 96
 #: A paragraph's id is its document's times this plus its place.
 PLACES = 1 << 22
 
@@ -60,7 +61,7 @@ def split_paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, component_id) of the paragraphs that have a repeat."""
-    found = hyperminhash.near_duplicates(split_paragraphs(docs, least_words).select("id", "text"), SHINGLE, NUM, DEN, MISS)
+    found = hyperminhash.near_duplicates(split_paragraphs(docs, least_words).select("id", "text"), SHINGLE, NUM, DEN, MISS, MOST_REGISTERS)
     labels = common.durable(found.where("n_shingles > 0").select("id", "component_id").distinct())
     many = labels.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     return common.durable(labels.join(many, "component_id", "left_semi"))
