@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
-from ..functions.text import PRECOMPRESSED, precompressed_hint
+from ..functions import text as T
 from ..operators import chunking, release
 from ..sources.trees import release_pair
 from . import query
@@ -156,7 +156,7 @@ def required_files_missing(spark, sf):
     return extra.unionByName(v1.select("path")).join(v2.select("path"), "path", "left_anti")
 
 
-_HINT_SQL = "lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN (" + ", ".join(f"'{s}'" for s in PRECOMPRESSED) + ")"
+_HINT_SQL = "lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN (" + ", ".join(f"'{s}'" for s in T.PRECOMPRESSED) + ")"
 _SUFFIXED = "(SELECT path || suffix AS path, size FROM v2, (VALUES (''), ('.GZ'), ('.zip'), ('.d/x'), ('.bak')) AS t(suffix))"
 
 
@@ -165,8 +165,8 @@ def _suffixed(spark, sf):
 
 
 @query(sql(f"SELECT path, {_HINT_SQL} AS precompressed FROM {_SUFFIXED}"))
-def precompressed_hint_paths(spark, sf):
-    return _suffixed(spark, sf).select("path", precompressed_hint(F.col("path")).alias("precompressed"))
+def precompressed_hint(spark, sf):
+    return _suffixed(spark, sf).select("path", T.precompressed_hint(F.col("path")).alias("precompressed"))
 
 
 @query(sql(f"SELECT path, size FROM {_SUFFIXED} WHERE regexp_matches(path, '\\.(txt|md|json|csv|html)$') AND size <= 8192 AND NOT list_contains(string_split(path, '/'), 'moved')"))

@@ -66,11 +66,6 @@ def gear_candidates(spark, sf):
     return chunking.gear_candidates(_pair(spark, sf)[1])
 
 
-@query()
-def chunk_gear(spark, sf):
-    return chunking.content_chunks(_pair(spark, sf)[1], "gear")
-
-
 _LOW, _AVG, _HIGH = chunking.CDC_MIN, chunking.CDC_AVG, chunking.CDC_MAX
 _K = chunking.chunk_bits()
 # One row per file: the values of the table at its bytes, and the candidates of either mask; then the cuts, one by one.
@@ -81,18 +76,41 @@ _NEXT = f"""CASE WHEN size - e <= {_LOW} THEN size ELSE least(size, e + {_HIGH},
      IF CAST(list_sum([gs[q + 1] * (1 << CAST(p - q AS INTEGER)) FOR q IN range(e + {_LOW}, p + 1)]) AS BIGINT) & {_MASK(_K + 1)} = 0]),
    list_min([p + 1 FOR p IN strict IF p >= e + {_LOW + _K} AND p < e + {_AVG}]),
    list_min([p + 1 FOR p IN easy IF p >= e + {_AVG} AND p < e + {_HIGH}]), size)) END"""
-_CUTS = f"""cuts AS (SELECT path, size, gs, strict, easy, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e FROM lists
-  UNION ALL SELECT path, size, gs, strict, easy, e, CAST({_NEXT} AS BIGINT) FROM cuts WHERE e < size)"""
+
+def _cuts_sql(next_cut: str, sums: str, lists: str) -> str:
+    cuts = f"""cuts AS (SELECT *, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e FROM lists UNION ALL SELECT * EXCLUDE (s, e), e, CAST({next_cut} AS BIGINT) FROM cuts WHERE e < size)"""
+    last = "SELECT c.path, c.s AS file_offset, c.e - c.s AS raw_len, sha256(array_slice(v2.content, c.s + 1, c.e)) AS chunk_id FROM cuts c JOIN v2 ON v2.path = c.path WHERE c.e > 0"
+    return "WITH RECURSIVE " + sql(_GEAR, _BYTES, sums, lists, cuts, last)[5:]
 
 
-@query("WITH RECURSIVE " + sql(_GEAR, _BYTES, _SUMS, _LISTS, _CUTS, "SELECT c.path, c.s AS file_offset, c.e - c.s AS raw_len, sha256(array_slice(v2.content, c.s + 1, c.e)) AS chunk_id FROM cuts c JOIN v2 ON v2.path = c.path WHERE c.e > 0")[5:])
+@query(_cuts_sql(_NEXT, _SUMS, _LISTS))
 def chunk_cdc(spark, sf):
     return chunking.content_chunks(_pair(spark, sf)[1], "cdc")
 
 
-@query()
+# The least chunk is longer than the window, so every candidate past it is one for the hash from the chunk's beginning too.
+_PLAIN = f"lists AS (SELECT path, any_value(size) AS size, coalesce(list(i ORDER BY i) FILTER (s & {_MASK(_K)} = 0), []) AS clear FROM sums GROUP BY path)"
+_PLAIN_NEXT = f"least(size, e + {_HIGH}, coalesce(list_min([p + 1 FOR p IN clear IF p >= e + {_LOW - 1} AND p < e + {_HIGH}]), size))"
+
+
+@query(_cuts_sql(_PLAIN_NEXT, _SUMS, _PLAIN))
+def chunk_gear(spark, sf):
+    return chunking.content_chunks(_pair(spark, sf)[1], "gear")
+
+
+# Strided: the window holds every fourth byte, in the phase of the scan's beginning.
+_STRIDE = 4
+_STRIDED = _SUMS.replace("lag(g, ", f"lag(g, {_STRIDE} * ")
+_STRIDED_NEXT = f"""CASE WHEN size - e <= {_LOW} THEN size ELSE least(size, e + {_HIGH}, coalesce(
+   list_min([p + 1 FOR p IN range(e + {_LOW}, least(e + {_LOW} + {_STRIDE * _K}, size), {_STRIDE})
+     IF CAST(list_sum([gs[q + 1] * (1 << CAST((p - q) // {_STRIDE} AS INTEGER)) FOR q IN range(e + {_LOW}, p + 1, {_STRIDE})]) AS BIGINT) & {_MASK(_K + 1)} = 0]),
+   list_min([p + 1 FOR p IN strict IF p >= e + {_LOW + _STRIDE * _K} AND p < e + {_AVG} AND (p - e - {_LOW}) % {_STRIDE} = 0]),
+   list_min([p + 1 FOR p IN easy IF p >= e + {_AVG} AND p < e + {_HIGH} AND (p - e - {_LOW}) % {_STRIDE} = 0]), size)) END"""
+
+
+@query(_cuts_sql(_STRIDED_NEXT, _STRIDED, _LISTS))
 def chunk_fastcdc(spark, sf):
-    return chunking.content_chunks(_pair(spark, sf)[1], "fastcdc", stride=4)
+    return chunking.content_chunks(_pair(spark, sf)[1], "fastcdc", stride=_STRIDE)
 
 
 @query()
