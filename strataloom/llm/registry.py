@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat
+from . import chat, oracles
 from .byte_bpe import op8_byte_bpe
 from .chat import op1_chat_parts
 from .epsilon_grid import op9_epsilon_grid
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_parts": chat.OP1_SQL}
+    return {"op1_chat_parts": chat.OP1_SQL, "op2_hyperminhash": oracles.OP2, "op5_secret_owners": oracles.OP5, "op7_paragraph_bands": oracles.OP7, "op9_epsilon_grid": oracles.OP9}
