@@ -18,12 +18,17 @@ def order_key(path: str = "path") -> Column:
 
 
 def directory_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below root but the engine's own: path relative to root, content, size, modification time."""
+    """Every file below root but the engine's own: path relative to root, content, size, modification time.
+
+    The scan passes over empty files; they come from the listing, without a time.
+    """
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rel = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    tree = files.select(rel.alias("path"), "content", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"))
-    return tree.where(~F.array_contains(F.split("path", "/"), PRIVATE))
+    scanned = files.select("path", "content", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"))
+    listed = spark.createDataFrame([(p.replace("file:///", "file:/"),) for p in files.inputFiles()], "path string").join(files.select("path"), "path", "left_anti")
+    every = scanned.unionByName(listed.select(F.url_decode("path").alias("path"), F.expr("cast('' as binary)").alias("content"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("mtime_us")))
+    rel = F.substring("path", F.instr("path", F.lit(base)) + len(base), F.length("path"))
+    return every.withColumn("path", rel).where(~F.array_contains(F.split("path", "/"), PRIVATE))
 
 
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
