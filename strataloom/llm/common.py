@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time, and the rows of an Arrow batch.
-CHUNK_BYTES = 1 << 20
-BATCH_ROWS = 2000
+CHUNK_BYTES = 1 << 18
+BATCH_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,19 +199,24 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def cut_pieces(encoded: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full pieces first, then the remainder."""
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): full pieces first, then the remainder. Ids are read off and let go."""
+    common.small_batches(docs.sparkSession)
+    end = END_ID.to_bytes(4, "little")
 
     def run(batches):
+        model = word_tokens(path)
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(ids) // 4
-                rows += [(doc_id, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            if rows:
+            texts, doc_ids = common.text_column(batch.column(1)), batch.column(0).to_pylist()
+            for a, b in common.chunks(texts):
+                rows = []
+                for doc_id, ids in zip(doc_ids[a:b], model.encode_batch(texts[a:b]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    rows += [(doc_id, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return encoded.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 # ---- the linear program, on the histogram -----------------------------------------------------------
@@ -374,7 +379,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(common.durable(cut_pieces(encode_documents(docs, path), capacity)), capacity)
+    return pack(common.durable(cut_pieces(docs, path, capacity)), capacity)
 
 
 def sequences(encoded: DataFrame, packed: DataFrame) -> DataFrame:
