@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import paragraphs, secrets
+from . import secrets
 
 _LOWERED = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -28,13 +28,6 @@ comp AS (SELECT x AS id, min(y) AS c FROM reach GROUP BY 1)"""
 OP2 = f"""WITH RECURSIVE u AS (SELECT doc_id AS id, {_WORDS.format(_LOWERED.format('text'))} AS w FROM documents), {_components(3, 85, 100)}
 SELECT id AS doc_id, n AS n_shingles, c AS component_id, id = c AS kept FROM n JOIN comp USING (id)"""
 
-OP7 = f"""WITH RECURSIVE lines AS (SELECT doc_id, l, i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), unnest(ls) WITH ORDINALITY AS t(l, i)),
-placed AS (SELECT doc_id, i, l, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines),
-u AS (SELECT doc_id * {paragraphs.PLACES} + i - 1 AS id, start, length(l) AS size, {_WORDS.format(_LOWERED.format('l'))} AS w FROM placed WHERE len({_WORDS.format('l')}) >= {paragraphs.LEAST_WORDS}),
-{_components(paragraphs.SHINGLE, paragraphs.NUM, paragraphs.DEN)},
-many AS (SELECT c FROM comp GROUP BY c HAVING count(*) > 1)
-SELECT id // {paragraphs.PLACES} AS doc_id, start, start + size AS "end", len(w) AS n_words, c // {paragraphs.PLACES} AS component_doc_id, c AS component_id, id = c AS kept FROM u JOIN comp USING (id) WHERE c IN (SELECT c FROM many)"""
-
 OP9 = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
 unit AS (SELECT vec_id, [x / sqrt(list_inner_product(e, e)) FOR x IN e] AS e FROM v),
 links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.9::DOUBLE),

@@ -2,7 +2,8 @@
 
 Texts are cut at line feeds. Paragraphs of at least LEAST_WORDS words are the units; MinHash bands tuned for recall bring
 them together, the exact Jaccard similarity of their five-word shingles verifies them, and of each component the first
-paragraph stays, by doc_id and place. Shorter lines are left alone.
+paragraph stays, by doc_id and place. Shorter lines are left alone. In what stays, passages that repeat inside other
+paragraphs or across their ends are found by their exact words (passages.py) and go as well.
 
 Defined results: a null text has no paragraphs; a document without an id is neither compared nor changed; rows of one
 doc_id count as one document; paragraphs without a repeat give no row; an empty table gives no row.
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hyperminhash
+from . import common, hyperminhash, passages
 from .words import Words
 
 LEAST_WORDS = 40
@@ -67,23 +68,76 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return common.durable(labels.join(many, "component_id", "left_semi"))
 
 
+def _owner(column: str) -> F.Column:
+    return F.expr(f"shiftright({column}, {PLACES.bit_length() - 1})")
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with their row of lists(doc_id, ...), and the others. Texts of the others aren't shuffled below the bound."""
+    ids = lists.select("doc_id")
+    few = F.broadcast(ids) if ids.count() <= common.BROADCAST_IDS else ids
+    return docs.join(few, "doc_id", "left_semi").join(lists, "doc_id"), docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """(doc_id, gone_): places of the paragraphs that go, durable."""
+    gone = found.where("id <> component_id").select(_owner("id").alias("doc_id"), F.expr(f"cast(id & {PLACES - 1} as int)").alias("place"))
+    return common.durable(gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone_")))  # one document's paragraphs
+
+
+def _masked(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text) with blanks for the paragraphs that go, so that offsets stay."""
+    blank = F.expr("array_join(transform(split(text, '\\n', -1), (x, i) -> if(array_contains(gone_, i), repeat(' ', length(x)), x)), '\\n')")
+    some, rest = _with_lists(docs.select("doc_id", "text"), places)
+    return some.select("doc_id", blank.alias("text")).unionByName(rest)
+
+
+def cut_text(text: str, places: set[int], cuts: list[tuple[int, int]]) -> str:
+    """The text without the paragraphs at these places and the characters in these spans; lines that were cut to nothing go."""
+    out, at = [], 0
+    for place, line in enumerate(text.split("\n")):
+        end = at + len(line)
+        if place not in places:
+            parts, here = [], at
+            for a, b in cuts:
+                if a < end and b > here:
+                    parts.append(text[here : max(a, here)])
+                    here = max(here, min(b, end))
+            left = "".join(parts) + text[here:end]
+            if left == line or left.strip(" \t\n\x0b\x0c\r"):
+                out.append(left)
+        at = end + 1
+    return "\n".join(out)
+
+
 def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs without the paragraphs that repeat an earlier one; documents that were nothing else go. All columns stay."""
-    gone = repeats(docs, least_words).where("id <> component_id").select(F.expr(f"shiftright(id, {PLACES.bit_length() - 1})").alias("doc_id"), F.expr(f"cast(id & {PLACES - 1} as int)").alias("place"))
-    lists = common.durable(gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone_")))  # one document's paragraphs
-    few = F.broadcast(lists) if lists.count() <= common.BROADCAST_IDS // 10 else lists
-    left = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, i)), y -> not array_contains(gone_, y.i)), y -> y.x), '\\n')")
-    out = docs.join(few, "doc_id", "left").withColumn("text", F.when(F.col("gone_").isNotNull(), left).otherwise(F.col("text")))
-    out = out.where("gone_ is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone_").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """docs without what repeats an earlier paragraph or passage; documents that were nothing else go. All columns stay."""
+    places = _places(repeats(docs, least_words))
+    cuts = passages.spans(_masked(docs, places)).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts_"))
+    lists = common.durable(places.join(cuts, "doc_id", "full_outer"))
+    some, rest = _with_lists(docs, lists)
+    at, columns = docs.columns.index("text"), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts, gone, cuts = (batch.column(i).to_pylist() for i in (at, len(columns), len(columns) + 1))
+            new = [t if t is None else cut_text(t, set(g or ()), [(c["start"], c["end"]) for c in k or ()]) for t, g, k in zip(texts, gone, cuts, strict=True)]
+            stays = pa.array([n is None or n == t or bool(n.strip(" \t\n\x0b\x0c\r")) for n, t in zip(new, texts, strict=True)])
+            arrays = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
+            if "n_chars" in columns:
+                i = columns.index("n_chars")
+                kept_n = zip(batch.column(i).to_pylist(), new, texts, strict=True)
+                arrays[i] = pa.array([old if n == t else len(n) for old, n, t in kept_n], batch.column(i).type)
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(stays)
+
+    return some.select(*columns, "gone_", "cuts_").mapInArrow(run, docs.schema).unionByName(rest).select(*columns)
 
 
 def op7_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per paragraph with a repeat: where it is, its class (the first of them) and whether it stays."""
+    """One row per paragraph or passage with a repeat: where it is, the document that holds its first, whether it stays."""
     docs = common.documents(spark, sf_dir)
     found = repeats(docs)
-    spans = common.rows_of(split_paragraphs(docs), "id", found.select("id")).select("id", "start", "end", "n_words").distinct()
-    owner = lambda c: F.expr(f"shiftright({c}, {PLACES.bit_length() - 1})")
-    return spans.join(found, "id").select(owner("id").alias("doc_id"), "start", "end", "n_words", owner("component_id").alias("component_doc_id"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    places = common.rows_of(split_paragraphs(docs), "id", found.select("id")).select("id", "start", "end", "n_words").distinct()
+    whole = places.join(found, "id").select(F.lit("paragraph").alias("kind"), _owner("id").alias("doc_id"), "start", "end", "n_words", _owner("component_id").alias("component_doc_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    inside = passages.spans(_masked(docs, _places(found))).select(F.lit("passage").alias("kind"), "doc_id", "start", "end", "n_words", "component_doc_id", "kept")
+    return whole.unionByName(inside)

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_parts": chat.OP1_SQL, "op2_hyperminhash": oracles.OP2, "op5_secret_owners": oracles.OP5, "op7_paragraph_bands": oracles.OP7, "op9_epsilon_grid": oracles.OP9}
+    return {"op1_chat_parts": chat.OP1_SQL, "op2_hyperminhash": oracles.OP2, "op5_secret_owners": oracles.OP5, "op9_epsilon_grid": oracles.OP9}
