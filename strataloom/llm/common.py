@@ -47,13 +47,23 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop_scratch() -> None:
-    """Delete every table that durable() wrote. Results that still read them must be stored before."""
-    while _written:
-        spark, path = _written.pop()
+def mark() -> int:
+    """How many tables durable() has written; for drop_scratch(since)."""
+    return len(_written)
+
+
+def drop_scratch(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that durable() wrote since the mark, but for those kept. Whatever reads them must be stored before."""
+    paths = {getattr(df, "_scratch_path", None) for df in keep}
+    stay = [x for x in _written[since:] if x[1] in paths]
+    gone = [x for x in _written[since:] if x[1] not in paths]
+    _written[since:] = stay
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -114,13 +124,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     both = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now, mark = durable(both), None
+    start = mark()
+    now, seen = durable(both), None
     for _ in range(most_rounds):
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (found.n, found.s) == mark or not found.n:
+        if (found.n, found.s) == seen or not found.n:
             break
-        mark = (found.n, found.s)
+        seen = (found.n, found.s)
         now = durable(_star(_star(now, large=True), large=False))
+        drop_scratch(start, keep=(now,))
     else:
         raise RuntimeError("connected components did not settle")
     root = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component_id"))

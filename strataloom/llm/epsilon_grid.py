@@ -235,6 +235,7 @@ def _of_dim(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
     """(id, n_links, component_id) of every row of vectors(id, embedding)."""
+    start = common.mark()
     rows = _classes(vectors)
     classes = common.durable(rows.where("vec is not null and id is not null").groupBy("key", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.first("vec").alias("vec")))
     found = None
@@ -249,7 +250,9 @@ def near_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
     by_class = by_class.select("key", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("id", "key").join(by_class, "key", "left")
     some = F.col("id").isNotNull()
-    return out.select("id", F.when(some, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), F.when(some, F.coalesce("component_id", "id")).alias("component_id"))
+    out = common.durable(out.select("id", F.when(some, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), F.when(some, F.coalesce("component_id", "id")).alias("component_id")))
+    common.drop_scratch(start, keep=(out,))
+    return out
 
 
 def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

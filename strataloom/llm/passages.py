@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common
 from .words import U64, Words, _power_tables, mix
 
-RUN, SPREAD = 30, 20
+RUN, SPREAD = 40, 10
 
 
 def run_hashes(words: Words, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -124,5 +124,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 *ints, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in ints], pa.array(kept)], ["doc_id", "start", "end", "n_words", "component_doc_id", "kept"])
 
-    found = repeated(docs).mapInArrow(run, "doc_id bigint, start bigint, end bigint, n_words bigint, component_doc_id bigint, kept boolean")
-    return common.durable(found)
+    start = common.mark()
+    out = common.durable(repeated(docs).mapInArrow(run, "doc_id bigint, start bigint, end bigint, n_words bigint, component_doc_id bigint, kept boolean"))
+    common.drop_scratch(start, keep=(out,))
+    return out

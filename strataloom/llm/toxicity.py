@@ -184,6 +184,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     common.small_batches(docs.sparkSession)
+    start = common.mark()
     sample = sample_rows(docs, labels)
     keys = choose_voters(sample)
     lookup = Lookup(keys)
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[a:b], pa.int32()), lists], ["toxic", "votes"])
 
     got = sample.select("text", "toxic").mapInArrow(rows, "toxic int, votes array<int>").collect()  # SAMPLE rows at most, VOTERS at most each
+    common.drop_scratch(start)
     toxic = np.array([r.toxic for r in got], dtype=np.int64)
     if not toxic.size or toxic.min() == toxic.max() or not len(keys):
         share = float(toxic.mean()) if toxic.size else 0.0

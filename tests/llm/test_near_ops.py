@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from strataloom.llm import common, epsilon_grid, hyperminhash, paragraphs
+from strataloom.llm import common, epsilon_grid, hyperminhash, paragraphs, passages
 
 pytest.importorskip("public_tokenizers")
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,16 +169,58 @@ def test_paragraphs(spark):
     assert got == {k: c for k, c in want.items() if size[c] > 1}
     spans = {((r.id >> 22), r.id & (paragraphs.PLACES - 1)): (r.start, r.end) for r in paragraphs.split_paragraphs(frame).collect()}
     assert spans == {(r[0], r[1]): (r[2], r[3]) for r in rows}
-    left = {r.doc_id: r for r in paragraphs.drop_repeats(frame).collect()}
-    for i, t in docs:
-        lines = [line for k, line in enumerate((t or "").split("\n")) if want.get((i, k), (i, k)) == (i, k)]
-        if "\n".join(lines) != (t or ""):
-            assert left[i].text == "\n".join(lines) if W.search("\n".join(lines)) else i not in left
-        else:
-            assert left[i].text == t
+    left = {r.doc_id: r.text for r in paragraphs.drop_repeats(frame).collect()}
+    assert left.pop(None) == " ".join(shared[0])
+    whole = {i: "\n".join(line for k, line in enumerate((t or "").split("\n")) if want.get((i, k), (i, k)) == (i, k)) for i, t in docs}
+    check_passages({i: t or "" for i, t in docs}, whole, left)
     assert paragraphs.drop_repeats(frame.limit(0)).count() == 0
 
 
+def check_passages(texts, whole, left):
+    """left, against the texts without their repeated paragraphs: only runs that another document has are gone, and all long ones."""
+    words = {i: W.findall(t.translate(LOWER)) for i, t in whole.items()}
+    runs = lambda w, n: [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+    holders = Counter(r for w in words.values() for r in set(runs(w, passages.RUN)))
+    for i, w in words.items():
+        covered = {k + j for k, r in enumerate(runs(w, passages.RUN)) if holders[r] > 1 for j in range(passages.RUN)}
+        if not w:
+            assert i not in left or left[i] in (None, texts[i])
+            continue
+        rest, k = W.findall((left.get(i) or "").translate(LOWER)), 0
+        for x in rest:  # what is left is in order, and what was passed over was covered
+            while w[k] != x:
+                assert k in covered
+                k += 1
+            k += 1
+        assert all(j in covered for j in range(k, len(w)))
+        if not covered:
+            assert left[i] == whole[i]
+    long = Counter(r for t in left.values() for r in set(runs(W.findall((t or "").translate(LOWER)), 49)))
+    assert not [r for r, n in long.items() if n > 1]
+
+
+def test_passages_inside_paragraphs(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(3, 7)))
+    fresh = lambda n: [word() for _ in range(n)]
+    shared = [fresh(50), fresh(51), fresh(90), fresh(29)]
+    docs = []
+    for i in range(40):
+        body = fresh(rnd.randint(60, 200))
+        for n, p in enumerate(shared[i % 4 : i % 4 + 2]):
+            at = len(body) if n else rnd.randint(0, len(body) - 5)
+            body[at:at] = p
+        docs.append((i, " ".join(body) + "\n" + " ".join(fresh(5))))
+    docs += [(90, " ".join(["same"] * 400)), (91, " ".join(["same"] * 300)), (92, None), (93, " ".join(shared[0]))]
+    frame = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    places = {(r.id >> 22, r.id & (paragraphs.PLACES - 1)) for r in paragraphs.repeats(frame).collect() if r.id != r.component_id}
+    whole = {i: "\n".join(line for k, line in enumerate((t or "").split("\n")) if (i, k) not in places) for i, t in docs}
+    left = {r.doc_id: r.text for r in paragraphs.drop_repeats(frame).collect()}
+    check_passages({i: t or "" for i, t in docs}, whole, left)
+    assert len(W.findall(left.get(93) or "")) < 2 * passages.SPREAD and 0 in left
+    assert all(not any(" ".join(p) in (left[i] or "") for p in shared[:3]) for i in range(4, 40))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from strataloom.llm import secrets
