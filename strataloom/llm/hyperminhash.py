@@ -101,8 +101,11 @@ def estimate(equal: np.ndarray, k: int, n: np.ndarray, m: np.ndarray) -> np.ndar
     return (equal / k - chance) / (1 - chance)
 
 
-def sketches(docs: DataFrame, size: int, threshold: float, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
-    """(id, n_shingles, fp_a, fp_b, bands array): set size, a 128-bit digest of the set, the band keys. docs(id, text)."""
+def sketches(docs: DataFrame, size: int, threshold: float, miss: float = MISS, most: int = MOST_REGISTERS, units=None) -> DataFrame:
+    """(id, n_shingles, fp_a, fp_b, bands array): set size, a 128-bit digest of the set, the band keys. docs(id, text).
+
+    units turns a run of (ids, texts) into that of the units to compare, in the same Python worker.
+    """
     rows, bands = tune_bands(threshold, miss, most)
     common.small_batches(docs.sparkSession)
 
@@ -110,14 +113,17 @@ def sketches(docs: DataFrame, size: int, threshold: float, miss: float = MISS, m
         for batch in batches:
             texts = common.text_column(batch.column(1))
             for a, b in common.chunks(texts):
-                sets = Words(texts[a:b], lower=True).shingles(size)
+                ids, parts = batch.column(0)[a:b], texts[a:b]
+                if units is not None:
+                    ids, parts = units(ids, parts)
+                sets = Words(parts, lower=True).shingles(size)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 with np.errstate(over="ignore"):
                     fp = [np.array([mix(s ^ U64(seed)).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64) for seed in (0x2545F4914F6CDD1D, 0x6C62272E07BB0142)]
                 keys = band_keys(sketch(sets, rows * bands), rows, bands)
                 flat = pa.array(keys[n > 0].ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(fp[0]), pa.array(fp[1]), lists], ["id", "n_shingles", "fp_a", "fp_b", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(fp[0]), pa.array(fp[1]), lists], ["id", "n_shingles", "fp_a", "fp_b", "bands"])
 
     return docs.select("id", "text").mapInArrow(run, "id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, bands array<bigint>")
 
@@ -212,20 +218,26 @@ def links(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int, mi
     return texts.select("task", "node", "side", "text").repartition(n, "task").sortWithinPartitions("task", "node", "side").mapInArrow(compare, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of docs(id, text): texts of a component link by 1 - num / den.
+def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS, units=None, unit_rows: DataFrame | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of docs(id, text): texts of a component link from num / den.
+
+    With units, those are compared that it makes of docs; unit_rows(id, text) has them as rows.
 
     A text without words links with nothing. Rows of one id are one node. A null id links with nothing and has no
     component. An empty table gives no row.
     """
-    sk = common.durable(sketches(docs, size, num / den, miss, most))
+    start = common.mark()
+    sk = common.durable(sketches(docs, size, num / den, miss, most, units))
     some = sk.where("n_shingles > 0 and id is not null")
     reps = common.durable(some.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("id").alias("rep")))
     classes = some.join(reps, [some.id == reps.rep, some.n_shingles == reps.n_shingles, some.fp_a == reps.fp_a, some.fp_b == reps.fp_b], "left_semi").select(F.col("id").alias("rep"), "n_shingles", "bands").dropDuplicates(["rep", "n_shingles"])
-    found = common.components(links(common.durable(classes), docs.where("id is not null"), size, num, den, miss, most))
+    found = common.components(links(common.durable(classes), (docs if unit_rows is None else unit_rows).where("id is not null"), size, num, den, miss, most))
     labels = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "fp_a", "fp_b", F.coalesce("component_id", "rep").alias("component_id"))
     out = sk.drop("bands").join(labels, ["n_shingles", "fp_a", "fp_b"], "left")
-    return out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
+    out = common.durable(out.select("id", "n_shingles", component.alias("component_id")))
+    common.drop_scratch(start, keep=(out,))
+    return out
 
 
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

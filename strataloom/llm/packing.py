@@ -32,7 +32,7 @@ SALTS = 32
 #: The linear program ends within this share of its bound.
 GAP = 2e-4
 #: Runs whose ids a worker keeps, about 40 bytes each.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 
 class IdTable:

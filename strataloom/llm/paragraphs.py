@@ -27,45 +27,59 @@ MISS, MOST_REGISTERS = 1e-5, 96
 PLACES = 1 << 22
 
 
+def cut_paragraphs(ids: pa.Array, texts: pa.Array, least_words: int = LEAST_WORDS) -> pa.RecordBatch:
+    """(id, start, end, n_words, text) of the paragraphs that are compared; start and end in code points."""
+    words = Words(texts, hashed=False)
+    data = words.data
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[words.text_at] = True
+    first[1:][data == 0x0A] = True  # a paragraph begins at a text and after a line feed
+    first[-1] = False
+    begin = np.flatnonzero(first)
+    stop = np.append(begin[1:], len(data))
+    n = np.searchsorted(words.starts, stop) - np.searchsorted(words.starts, begin)
+    at = np.flatnonzero(n >= least_words)
+    owner = np.searchsorted(words.text_at, begin, side="right") - 1
+    place = np.arange(len(begin)) - np.searchsorted(owner, owner)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    feed = (stop > begin) & (data[np.maximum(stop - 1, 0)] == 0x0A) if len(data) else np.zeros(len(begin), bool)
+    end = stop - feed
+    origin = chars[words.text_at[owner]]
+    raw = data.tobytes()
+    parts = pa.array([raw[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    keys = np.asarray(ids)[owner[at]] * PLACES + place[at]
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((chars[begin] - origin)[at]), pa.array((chars[end] - origin)[at]), pa.array(n[at].astype(np.int64)), parts], ["id", "start", "end", "n_words", "text"])
+
+
 def split_paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, start, end, n_words, text): the paragraphs that are compared; start and end in code points."""
+    """cut_paragraphs of every document with an id."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ids, texts = np.asarray(batch.column(0)), common.text_column(batch.column(1))
+            texts = common.text_column(batch.column(1))
             for a, b in common.chunks(texts):
-                words = Words(texts[a:b], hashed=False)
-                data = words.data
-                first = np.zeros(len(data) + 1, dtype=bool)
-                first[words.text_at] = True
-                first[1:][data == 0x0A] = True  # a paragraph begins at a text and after a line feed
-                first[-1] = False
-                begin = np.flatnonzero(first)
-                stop = np.append(begin[1:], len(data))
-                n = np.searchsorted(words.starts, stop) - np.searchsorted(words.starts, begin)
-                at = np.flatnonzero(n >= least_words)
-                if not len(at):
-                    continue
-                owner = np.searchsorted(words.text_at, begin, side="right") - 1
-                place = np.arange(len(begin)) - np.searchsorted(owner, owner)
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                feed = (stop > begin) & (data[np.maximum(stop - 1, 0)] == 0x0A)
-                end = stop - feed
-                origin = chars[words.text_at[owner]]
-                raw = data.tobytes()
-                parts = pa.array([raw[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][owner[at]] * PLACES + place[at]), pa.array((chars[begin] - origin)[at]), pa.array((chars[end] - origin)[at]), pa.array(n[at].astype(np.int64)), parts], ["id", "start", "end", "n_words", "text"])
+                yield cut_paragraphs(batch.column(0)[a:b], texts[a:b], least_words)
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id bigint, start bigint, end bigint, n_words bigint, text string")
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, component_id) of the paragraphs that have a repeat."""
-    found = hyperminhash.near_duplicates(split_paragraphs(docs, least_words).select("id", "text"), SHINGLE, NUM, DEN, MISS, MOST_REGISTERS)
+    start = common.mark()
+    rows = split_paragraphs(docs, least_words).select("id", "text")
+    whole = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+
+    def units(ids, texts):
+        cut = cut_paragraphs(ids, texts, least_words)
+        return cut.column(0), cut.column(4)
+
+    found = hyperminhash.near_duplicates(whole, SHINGLE, NUM, DEN, MISS, MOST_REGISTERS, units, rows)
     labels = common.durable(found.where("n_shingles > 0").select("id", "component_id").distinct())
     many = labels.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    return common.durable(labels.join(many, "component_id", "left_semi"))
+    out = common.durable(labels.join(many, "component_id", "left_semi"))
+    common.drop_scratch(start, keep=(out,))
+    return out
 
 
 def _owner(column: str) -> F.Column:
