@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Entries of a worker's pre-token cache; older ones go by generations.
-CACHE_ENTRIES = 200_000
+#: Entries of a worker's pre-token cache.
+CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are not kept.
 CACHED_BYTES = 64
 
@@ -86,40 +88,42 @@ class ByteBpe:
         self.chars = {b: c for b, c in enumerate(byte_characters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.pattern = regex.compile(pattern)
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.kept: dict[str, tuple[str, bytes]] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def _learn(self, words: Iterable[str]) -> dict[str, tuple[str, bytes]]:
-        """The entries of these pre-tokens: ids as text and as bytes. Those in the caches are at hand."""
-        young, old, found, miss, ask = self.young, self.old, {}, [], []
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of these pre-tokens, as text and as bytes."""
+        kept, miss, ask = self.kept, [], []
         for word in words:
-            if (hit := young.get(word)) is None and (hit := old.get(word)) is not None:
-                young[word] = hit
-            if hit is not None:
-                found[word] = hit
-            elif (rank := self.whole.get(raw := word.encode())) is not None:
-                found[word] = young[word] = str(rank), rank.to_bytes(4, "little")
+            if (rank := self.whole.get(raw := word.encode())) is not None:
+                kept[word] = str(rank), rank.to_bytes(4, "little")
             else:
                 miss.append(word)
                 ask.append("".join(map(self.chars.__getitem__, raw)))
         for word, ids in zip(miss, self.model.encode(ask, out_type=int, num_threads=1) if ask else [], strict=True):
-            found[word] = ",".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= CACHED_BYTES:
-                young[word] = found[word]
-        if len(young) > CACHE_ENTRIES:
-            self.old, self.young = young, {}
-        return found
+            kept[word] = ",".join(map(str, ids)), array("I", ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Per text: its decimal ids joined by commas, and the same ids as little-endian 32-bit words."""
         split = [self.pre_tokens(text) for text in texts]
-        entries = self._learn({word for words in split for word in words})
+        flat = list(chain.from_iterable(split))
+        got = list(map(self.kept.get, flat))
+        if gaps := [i for i, entry in enumerate(got) if entry is None]:
+            self._learn(list(dict.fromkeys(flat[i] for i in gaps)))
+            for i in gaps:
+                got[i] = self.kept[flat[i]]
+        if len(self.kept) > CACHE_ENTRIES:  # the entries that came first are the frequent ones
+            self.kept = dict(islice(((k, v) for k, v in self.kept.items() if len(k) <= CACHED_BYTES), CACHE_ENTRIES // 2))
+        at = 0
         for words in split:
-            both = [entries[word] for word in words]
-            yield ",".join([x[0] for x in both]), b"".join([x[1] for x in both])
+            if words:
+                decimal, raw = zip(*got[at : at + len(words)], strict=True)
+                yield ",".join(decimal), b"".join(raw)
+                at += len(words)
+            else:
+                yield "", b""
 
     def encode(self, text: str) -> list[int]:
         ids = next(self.encode_batch([text]))[1]
