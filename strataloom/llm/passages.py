@@ -2,7 +2,8 @@
 
 Of the hashes of all runs of RUN words in a text, winnowing (Schleimer et al.) keeps the least of every SPREAD that
 follow each other; a passage of RUN + SPREAD - 1 = 49 words or more that two documents share leaves the same hash in both,
-wherever it stands and whatever stands around it. One exchange counts the hashes; a document's repeated runs are merged.
+wherever it stands and whatever stands around it. One exchange counts the hashes; a document's repeated runs are merged,
+at every place where they stand.
 The first document by doc_id keeps its run, the others lose it, but for words that they themselves keep for others.
 """
 
@@ -50,8 +51,21 @@ def winnow(h: np.ndarray, owner: np.ndarray, spread: int = SPREAD) -> np.ndarray
     return np.flatnonzero(chosen)
 
 
+def places(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h, at, owner and the first word of the last run of each place of a hash; runs of one hash that overlap are one place."""
+    order = np.lexsort((at, h, owner))
+    h, at, owner = h[order], at[order], owner[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] - at[:-1] >= RUN)
+    begin = np.flatnonzero(first)
+    last = at[np.append(begin, len(h))[1:] - 1]
+    back = np.argsort(at[begin], kind="stable")
+    begin = begin[back]
+    return h[begin], at[begin], owner[begin], last[back]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, word, start, end): the winnowed runs of each document, each hash once; start and end in code points."""
+    """(h, doc_id, word, words, start, end): the winnowed runs of each document at all their places; start and end in code points."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
@@ -62,28 +76,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 h, at = run_hashes(words)
                 owner = np.searchsorted(words.word_at, at, side="right") - 1
                 pick = winnow(h, owner)
-                with np.errstate(over="ignore"):
-                    pick = pick[np.sort(np.unique(h[pick] ^ mix(owner[pick].astype(U64)), return_index=True)[1])]
-                h, at, owner = h[pick], at[pick], owner[pick]
+                h, at, owner, last = places(h[pick], at[pick], owner[pick])
                 chars = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
                 origin = chars[words.text_at[owner]]
-                ints = [at - words.word_at[owner], chars[words.starts[at]] - origin, chars[words.ends[at + RUN - 1]] - origin]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][owner]), *[pa.array(x.astype(np.int32)) for x in ints]], ["h", "doc_id", "word", "start", "end"])
+                ints = [at - words.word_at[owner], last - at + RUN, chars[words.starts[at]] - origin, chars[words.ends[last + RUN - 1]] - origin]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][owner]), *[pa.array(x.astype(np.int32)) for x in ints]], ["h", "doc_id", "word", "words", "start", "end"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "h bigint, doc_id bigint, word int, start int, end int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "h bigint, doc_id bigint, word int, words int, start int, end int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs): each document's runs that another document has; runs of (word, start, end, lead)."""
+    """(doc_id, runs): each document's runs that another document has; runs of (word, words, start, end, lead)."""
     keys = common.durable(fingerprints(docs))
     lead = keys.groupBy("h").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("h", "lead")
-    return keys.join(lead, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "start", "end", "lead"))).alias("runs"))  # one document's
+    return keys.join(lead, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "words", "start", "end", "lead"))).alias("runs"))  # one document's
 
 
-def merged(runs: list[tuple[int, int, int, int]], doc_id: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
+def merged(runs: list[tuple[int, int, int, int, int]], doc_id: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
     """Spans (start, end, words, lead) that stay because the document is the first, and those that go."""
-    first = _union([r for r in runs if r[3] == doc_id])
-    rest = _union([r for r in runs if r[3] != doc_id])
+    first = _union([r for r in runs if r[4] == doc_id])
+    rest = _union([r for r in runs if r[4] != doc_id])
     gone = []
     for begin, end, word, last, lead in rest:
         at = begin
@@ -100,11 +112,11 @@ def merged(runs: list[tuple[int, int, int, int]], doc_id: int) -> tuple[list[tup
 
 def _union(runs):
     out = []
-    for word, start, end, lead in runs:
+    for word, words, start, end, lead in runs:
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2], max(out[-1][3], word + RUN), min(out[-1][4], lead))
+            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2], max(out[-1][3], word + words), min(out[-1][4], lead))
         else:
-            out.append((start, end, word, word + RUN, lead))
+            out.append((start, end, word, word + words, lead))
     return out
 
 
@@ -118,7 +130,7 @@ def spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stay, gone = merged([(r["word"], r["start"], r["end"], r["lead"]) for r in runs], doc_id)
+                stay, gone = merged([(r["word"], r["words"], r["start"], r["end"], r["lead"]) for r in runs], doc_id)
                 rows += [(doc_id, *s, True) for s in stay] + [(doc_id, *s, False) for s in gone]
             if rows:
                 *ints, kept = zip(*rows, strict=True)

@@ -221,6 +221,38 @@ def test_passages_inside_paragraphs(spark):
     assert all(not any(" ".join(p) in (left[i] or "") for p in shared[:3]) for i in range(4, 40))
 
 
+def fresh_words(rnd, n):
+    return ["".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(8, 12))) for _ in range(n)]
+
+
+def words_left(spark, texts, passage):
+    """Words of the passage in what is left of each text, each occurrence counted, and op7's passage rows."""
+    frame = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: W.findall(r.text) for r in paragraphs.drop_repeats(frame).collect()}
+    rows = sorted((r.doc_id, r.start, r.end, r.n_words, r.component_doc_id, r.kept) for r in passages.spans(frame.select("doc_id", "text")).collect())
+    return {i: sum(w in set(passage) for w in left.get(i, [])) for i in texts}, rows
+
+
+@pytest.mark.parametrize("size", [60, 75, 100])
+def test_passage_twice_in_a_later_document(spark, size):
+    rnd = random.Random(size)
+    p, fresh = fresh_words(rnd, size), lambda n: fresh_words(rnd, n)
+    line = lambda: " ".join([*fresh(50), *p, *fresh(50)])
+    wrapped = "\n".join(" ".join(p[i : i + 12]) for i in range(0, size, 12))
+    texts = {1: line(), 2: line() + "\n" + line() + "\n" + wrapped + "\n" + line()}
+    left, rows = words_left(spark, texts, p)
+    assert left[1] == size and left[2] < 4 * 2 * passages.SPREAD
+    gone = [r for r in rows if r[0] == 2]
+    assert len(gone) == 4 and all(r[3] > size - 2 * passages.SPREAD and r[4:] == (1, False) for r in gone)
+    assert all(r[3] == len(W.findall(texts[r[0]][r[1] : r[2]])) for r in rows)
+
+
+def test_places_of_one_hash_that_overlap_are_one(spark):
+    docs = spark.createDataFrame([(1, " ".join(["same"] * 5000)), (2, " ".join(["same"] * 300))], "doc_id bigint, text string")
+    assert passages.fingerprints(docs).count() == 2
+    assert sorted((r.doc_id, r.kept) for r in passages.spans(docs).collect()) == [(1, True), (2, False)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from strataloom.llm import secrets
