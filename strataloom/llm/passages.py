@@ -4,7 +4,8 @@ Of the hashes of all runs of RUN words in a text, winnowing (Schleimer et al.) k
 follow each other; a passage of RUN + SPREAD - 1 = 49 words or more that two documents share leaves the same hash in both,
 wherever it stands and whatever stands around it. One exchange counts the hashes; a document's repeated runs are merged,
 at every place where they stand.
-The first document by doc_id keeps its run, the others lose it, but for words that they themselves keep for others.
+The first document by doc_id keeps its run, the others lose it, also where the run overlaps one that they are the first
+to have: each of its words then stands in a document before.
 """
 
 from __future__ import annotations
@@ -93,38 +94,40 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def merged(runs: list[tuple[int, int, int, int, int]], doc_id: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
-    """Spans (start, end, words, lead) that stay because the document is the first, and those that go."""
-    first = _union([r for r in runs if r[4] == doc_id])
-    rest = _union([r for r in runs if r[4] != doc_id])
-    gone = []
-    for begin, end, word, last, lead in rest:
-        at = begin
-        for b, e, *_ in first:
-            if e <= at or b >= end:
-                continue
-            if b > at:
-                gone.append((at, b, last - word, lead))
-            at = max(at, e)
-        if at < end:
-            gone.append((at, end, last - word, lead))
-    return [(b, e, last - word, lead) for b, e, word, last, lead in first], gone
+    """Spans (start, end, words, lead) that stay because the document is the first, and those that go.
+
+    Every run that another document leads goes; of the document's own runs what is outside of those stays.
+    """
+    gone = _union([r for r in runs if r[4] != doc_id])
+    stay, k = [], 0
+    for word, last, start, end, lead in _union([r for r in runs if r[4] == doc_id]):
+        while k < len(gone) and gone[k][1] <= word:
+            k += 1
+        j = k
+        while j < len(gone) and gone[j][0] < last:
+            if gone[j][0] > word:
+                stay.append((start, gone[j][2], gone[j][0] - word, lead))
+            word, start = gone[j][1], gone[j][3]
+            j += 1
+        if word < last:
+            stay.append((start, end, last - word, lead))
+    return stay, [(start, end, last - word, lead) for word, last, start, end, lead in gone]
 
 
 def _union(runs):
+    """(word, last, start, end, lead) of the runs that overlap, in order; last is the word after them."""
     out = []
     for word, words, start, end, lead in runs:
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2], max(out[-1][3], word + words), min(out[-1][4], lead))
+        if out and word < out[-1][1]:
+            at, last, begin, stop, least = out[-1]
+            out[-1] = (at, max(last, word + words), begin, max(stop, end), min(least, lead))
         else:
-            out.append((start, end, word, word + words, lead))
+            out.append((word, word + words, start, end, lead))
     return out
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_words, component_doc_id, kept) of every repeated passage, durable.
-
-    n_words counts the words of the merged runs that a span comes from.
-    """
+    """(doc_id, start, end, n_words, component_doc_id, kept) of every repeated passage, durable."""
 
     def run(batches):
         for batch in batches:

@@ -247,6 +247,18 @@ def test_passage_twice_in_a_later_document(spark, size):
     assert all(r[3] == len(W.findall(texts[r[0]][r[1] : r[2]])) for r in rows)
 
 
+@pytest.mark.parametrize("size", [51, 60, 75, 100])
+def test_passage_nested_in_a_longer_one(spark, size):
+    rnd = random.Random(size)
+    p, x, y, fresh = fresh_words(rnd, size), fresh_words(rnd, 45), fresh_words(rnd, 45), lambda: fresh_words(rnd, 60)
+    texts = {1: " ".join([*fresh(), *p, *fresh()]), 2: " ".join([*fresh(), *x, *p, *y, *fresh()]), 3: " ".join([*fresh(), *x, *p, *y, *fresh()])}
+    left, rows = words_left(spark, texts, p)
+    assert left[1] == size and left[2] < 2 * passages.SPREAD and left[3] == 0
+    for part in (x, y):  # their first holder keeps them, but for what stands in a run that goes
+        assert [n >= 45 - 2 * passages.SPREAD for n in words_left(spark, texts, part)[0].values()] == [False, True, False]
+    assert all(r[3] == len(W.findall(texts[r[0]][r[1] : r[2]])) for r in rows)
+
+
 def test_places_of_one_hash_that_overlap_are_one(spark):
     docs = spark.createDataFrame([(1, " ".join(["same"] * 5000)), (2, " ".join(["same"] * 300))], "doc_id bigint, text string")
     assert passages.fingerprints(docs).count() == 2
