@@ -1,8 +1,8 @@
 """Near-duplicate texts by HyperMinHash.
 
 A text's shingle hashes fall into buckets; a bucket's register keeps the leading-zero count of its least remainder and
-the mantissa bits that follow, two bytes in all; an empty bucket borrows another's register. Bands of registers find
-the candidates, the Jaccard similarity that is estimated from equal registers, corrected for chance collisions, decides
+the mantissa bits that follow, two bytes in all; for an empty bucket it is the set's least hash by a function of that
+register. Bands of registers find the candidates, the Jaccard similarity that is estimated from equal registers, corrected for chance collisions, decides
 which are verified, and the full shingle sets decide which are links.
 
 Texts with equal shingle sets are one class from the start. The classes that bands join form a cluster. A cluster is
@@ -30,6 +30,8 @@ MANTISSA = 10
 #: Classes in a block, and standard deviations below the threshold at which an estimate rules a pair out.
 BLOCK = 400
 SIGMAS = 5.0
+#: Shingles that are hashed at a time for the registers of empty buckets.
+ROWS = 1024
 
 
 def tune_bands(threshold: float, miss: float = MISS, most: int = MOST_REGISTERS) -> tuple[int, int]:
@@ -43,7 +45,11 @@ def tune_bands(threshold: float, miss: float = MISS, most: int = MOST_REGISTERS)
 
 
 def sketch(sets: list[np.ndarray], k: int) -> np.ndarray:
-    """Registers (texts by k, 16 bits) of shingle sets; those of an empty set are all 65535."""
+    """Registers (texts by k, 16 bits) of shingle sets; those of an empty set are all 65535.
+
+    A register whose bucket is empty holds the least of the set under a hash of its own. So two sets agree in a register
+    that the bucket of either fills, and in one that neither does, with the chance of their similarity, whatever their sizes.
+    """
     n = np.array([len(s) for s in sets], dtype=np.int64)
     out = np.full((len(sets), k), 65535, dtype=np.uint16)
     if not n.sum():
@@ -53,29 +59,21 @@ def sketch(sets: list[np.ndarray], k: int) -> np.ndarray:
         h = np.concatenate(sets)
         bucket = ((mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(32)) * U64(k) >> U64(32)).astype(np.int64)
         rest = mix(h + U64(0x14057B7EF767814F))
-    least = np.full(len(sets) * k, np.iinfo(np.uint64).max, dtype=U64)
+    top = np.iinfo(np.uint64).max
+    least = np.full(len(sets) * k, top, dtype=U64)
     np.minimum.at(least, owner * k + bucket, rest)
+    least = least.reshape(len(sets), k)
+    at = np.concatenate([[0], np.cumsum(n)])
+    seeds = mix(np.arange(1, k + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    for r in np.flatnonzero((least == top).any(axis=1) & (n > 0)):
+        col = np.flatnonzero(least[r] == top)
+        for c in range(at[r], at[r + 1], ROWS):
+            with np.errstate(over="ignore"):
+                least[r, col] = np.minimum(least[r, col], mix(rest[c : min(c + ROWS, at[r + 1]), None] ^ seeds[col]).min(axis=0))
     bits = (least >> U64(11)).astype(np.int64)
     width = np.frexp(bits.astype(float))[1].astype(np.int64)  # exact: 53 bits
     mantissa = (bits >> np.maximum(width - 1 - MANTISSA, 0)) & ((1 << MANTISSA) - 1)
-    packed = ((53 - width) << MANTISSA | mantissa).astype(np.uint16).reshape(len(sets), k)
-    empty = (least == np.iinfo(np.uint64).max).reshape(len(sets), k)
-    out[~empty] = packed[~empty]
-    some = np.flatnonzero(empty.any(axis=1) & (n > 0))
-    row, col = np.nonzero(empty[some])
-    row = some[row]
-    with np.errstate(over="ignore"):
-        for attempt in range(1, 33):
-            if not len(row):
-                return out
-            donor = (mix(col.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(attempt)) % U64(k)).astype(np.int64)
-            ok = ~empty[row, donor]
-            out[row[ok], col[ok]] = packed[row[ok], donor[ok]]
-            row, col = row[~ok], col[~ok]
-    for r in np.unique(row):  # very small sets: one of the filled buckets by hash
-        filled, at = np.flatnonzero(~empty[r]), col[row == r]
-        with np.errstate(over="ignore"):
-            out[r, at] = packed[r, filled[(mix(at.astype(U64) + U64(77)) % U64(len(filled))).astype(np.int64)]]
+    out[n > 0] = ((53 - width) << MANTISSA | mantissa).astype(np.uint16)[n > 0]
     return out
 
 

@@ -98,6 +98,29 @@ def test_estimate_is_near_the_truth():
         assert (1 - t**rows) ** bands <= hyperminhash.MISS
 
 
+def test_hyperminhash_very_small_sets():
+    rnd = np.random.default_rng(3)
+    rows, bands = hyperminhash.tune_bands(0.85)
+    for n in (6, 7, 8, 9, 10):  # of 8- to 12-word texts, against one word more
+        big = [rnd.integers(0, 2**63, size=n + 1, dtype=np.uint64) for _ in range(4000)]
+        a, b = (hyperminhash.sketch(sets, rows * bands) for sets in ([x[:-1] for x in big], big))
+        assert (hyperminhash.band_keys(a, rows, bands) == hyperminhash.band_keys(b, rows, bands)).any(axis=1).all()
+        assert abs((a == b).mean() - n / (n + 1)) < 0.005
+
+
+def test_hyperminhash_one_word_appended(spark):
+    rnd = random.Random(33)
+    texts = []
+    for n in range(8, 13):
+        for _ in range(60):
+            base = fresh_words(rnd, n)
+            texts += [" ".join(base), " ".join([*base, *fresh_words(rnd, 1)])]
+    ids = rnd.sample(range(10_000), len(texts))
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "id bigint, text string")
+    got = {r.id: r.component_id for r in hyperminhash.near_duplicates(frame, 3, 85, 100).collect()}
+    assert got == labels_by_force(ids, [shingles(t, 3) for t in texts], 85, 100)
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 480)] + [(7, 7)]
