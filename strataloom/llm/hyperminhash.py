@@ -216,20 +216,33 @@ def links(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int, mi
     return texts.select("task", "node", "side", "text").repartition(n, "task").sortWithinPartitions("task", "node", "side").mapInArrow(compare, "src bigint, dst bigint")
 
 
+def _same_id(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """(src, dst): links between the representatives of the classes that hold different texts of one id."""
+    one = F.struct("n_shingles", "fp_a", "fp_b")
+    ids = common.durable(some.groupBy("id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("id"))
+    held = common.rows_of(some, "id", ids).select("id", "n_shingles", "fp_a", "fp_b").join(reps, ["n_shingles", "fp_a", "fp_b"]).select("id", "rep")
+    least = held.groupBy("id").agg(F.min("rep").alias("src"))
+    return held.join(least, "id").where("rep <> src").select("src", F.col("rep").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS, units=None, unit_rows: DataFrame | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs(id, text): texts of a component link from num / den.
 
     With units, those are compared that it makes of docs; unit_rows(id, text) has them as rows.
 
-    A text without words links with nothing. Rows of one id are one node. A null id links with nothing and has no
+    A text without words links with nothing. Rows of one id are one node, whatever their texts; units of one id with
+    different texts aren't linked by it. A null id links with nothing and has no
     component. An empty table gives no row.
     """
     start = common.mark()
     sk = common.durable(sketches(docs, size, num / den, miss, most, units))
     some = sk.where("n_shingles > 0 and id is not null")
     reps = common.durable(some.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("id").alias("rep")))
-    classes = some.join(reps, [some.id == reps.rep, some.n_shingles == reps.n_shingles, some.fp_a == reps.fp_a, some.fp_b == reps.fp_b], "left_semi").select(F.col("id").alias("rep"), "n_shingles", "bands").dropDuplicates(["rep", "n_shingles"])
-    found = common.components(links(common.durable(classes), (docs if unit_rows is None else unit_rows).where("id is not null"), size, num, den, miss, most))
+    classes = some.join(reps, [some.id == reps.rep, some.n_shingles == reps.n_shingles, some.fp_a == reps.fp_a, some.fp_b == reps.fp_b], "left_semi").select(F.col("id").alias("rep"), "n_shingles", some.fp_a, some.fp_b, "bands").dropDuplicates(["rep", "n_shingles", "fp_a", "fp_b"])
+    edges = links(common.durable(classes), (docs if unit_rows is None else unit_rows).where("id is not null"), size, num, den, miss, most)
+    if units is None:
+        edges = edges.unionByName(_same_id(some, reps))
+    found = common.components(edges)
     labels = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "fp_a", "fp_b", F.coalesce("component_id", "rep").alias("component_id"))
     out = sk.drop("bands").join(labels, ["n_shingles", "fp_a", "fp_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))

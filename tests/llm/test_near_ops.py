@@ -82,6 +82,15 @@ def test_hyperminhash_repeated_rows_and_empty(spark):
     assert hyperminhash.near_duplicates(frame.limit(0), 3, 85, 100).count() == 0
 
 
+def test_hyperminhash_different_texts_of_one_id(spark):
+    rnd = random.Random(44)
+    a, b, c, d, e = (" ".join(fresh_words(rnd, 40)) for _ in range(5))
+    # 5 holds a and b of one size: both keep their links; 7 holds c and d, which 1 and 2 hold as well
+    rows = [(5, a), (5, b), (6, a + " more"), (8, b + " more"), (1, c), (2, d), (7, c), (7, d), (9, e)]
+    got = {(r.id, r.component_id) for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "id bigint, text string"), 3, 85, 100).collect()}
+    assert got == {(5, 5), (6, 5), (8, 5), (1, 1), (2, 1), (7, 1), (9, 9)}
+
+
 def test_estimate_is_near_the_truth():
     rnd = np.random.default_rng(0)
     for n, j in ((50, 0.9), (400, 0.85), (3000, 0.5)):
