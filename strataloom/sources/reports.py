@@ -15,7 +15,9 @@ def write_csv(rows: DataFrame, out: str) -> None:
 
 
 def _cells(rows: DataFrame) -> tuple[list[str], list[list[str]]]:
-    got = rows.limit(MOST_ROWS).collect()
+    got = rows.limit(MOST_ROWS + 1).collect()
+    if len(got) > MOST_ROWS:
+        raise ValueError(f"a report holds at most {MOST_ROWS} rows")
     return rows.columns, [["" if v is None else str(v) for v in r] for r in got]
 
 

@@ -53,3 +53,10 @@ def test_reports(spark, tmp_path):
     assert "<td>a|b</td>" in reports.html_table(rows, "t")
     reports.write_csv(rows, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_reports_are_whole(spark):
+    assert reports.markdown(spark.range(reports.MOST_ROWS)).count("\n") == reports.MOST_ROWS + 2
+    for report in (reports.markdown, reports.html_table):
+        with pytest.raises(ValueError, match="at most"):
+            report(spark.range(reports.MOST_ROWS + 1))
