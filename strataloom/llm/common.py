@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time, and the rows of an Arrow batch.
@@ -27,18 +28,29 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The shared folder of spark.checkpoint.dir; one of our own only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+class _Written(threading.local):
+    """The tables of one driver thread, so that queries on other threads keep theirs."""
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+        _every.append(self.tables)
+
+
+_every: list[list[tuple[SparkSession, str]]] = []
+_written = _Written()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -46,24 +58,27 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.tables.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
 def mark() -> int:
-    """How many tables durable() has written; for drop_scratch(since)."""
-    return len(_written)
+    """How many tables durable() holds on this thread; for drop_scratch(since)."""
+    return len(_written.tables)
 
 
 def drop_scratch(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete the tables that durable() wrote since the mark, but for those kept. Whatever reads them must be stored before."""
-    paths = {getattr(df, "_scratch_path", None) for df in keep}
-    stay = [x for x in _written[since:] if x[1] in paths]
-    gone = [x for x in _written[since:] if x[1] not in paths]
-    _written[since:] = stay
-    for spark, path in gone:
+    """Delete the tables that durable() wrote on this thread since the mark, but for those kept. Whatever reads them must be stored before."""
+    paths, tables = {getattr(df, "_scratch_path", None) for df in keep}, _written.tables
+    gone = [x for x in tables[since:] if x[1] not in paths]
+    tables[since:] = [x for x in tables[since:] if x[1] in paths]
+    _delete(gone)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -72,7 +87,23 @@ def drop_scratch(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
             return
 
 
-atexit.register(drop_scratch)
+@atexit.register
+def _at_exit() -> None:
+    for tables in _every:
+        _delete(tables)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever marks the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 #: A set of ids up to this size is broadcast (under 64 MB in memory); a larger one is joined by a shuffle.
@@ -84,6 +115,30 @@ def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+#: Rows of one key that a task may join, if that is more than a partition's share; no key of a table of FEW rows is hot.
+LEAST_HOT, FEW = 200, 20_000
+
+
+def _hot_limit(spark: SparkSession, total: int) -> int:
+    return max(LEAST_HOT, 2 * total // int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_each(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with table, which has one row a key; a key of many rows is dealt over several tasks by a hash of `spread`.
+
+    total is about the number of rows, counts(keys, n) that of each key, if known. Hot keys are those of over twice a partition's share: fewer than partitions, so
+    their list is broadcast whatever the size of the corpus.
+    """
+    if total <= FEW:
+        return rows.join(table, keys, how)
+    limit = _hot_limit(rows.sparkSession, total)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("n_hot"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt_hot", F.coalesce(F.pmod(F.xxhash64(spread), "n_hot").cast("int"), F.lit(0))).drop("n_hot")
+    dealt = table.join(F.broadcast(hot), keys, "left").withColumn("salt_hot", F.explode(F.sequence(F.lit(0), F.coalesce("n_hot", F.lit(1)) - 1))).drop("n_hot")
+    return salted.join(dealt, [*keys, "salt_hot"], how).drop("salt_hot")
+
+
 # ---- texts in Arrow batches -------------------------------------------------------------------------
 
 
@@ -131,7 +186,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (found.n, found.s) == seen or not found.n:
             break
         seen = (found.n, found.s)
-        now = durable(_star(_star(now, large=True), large=False))
+        now = durable(_star(_star(now, found.n, large=True), found.n, large=False))
         drop_scratch(start, keep=(now,))
     else:
         raise RuntimeError("connected components did not settle")
@@ -139,18 +194,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(root)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: each node's larger neighbours are tied to its least one. Small: its smaller ones and itself are."""
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """Large: each node's larger neighbours are tied to its least one. Small: its smaller ones and itself are.
+
+    A hub's neighbours are dealt over several tasks; its least neighbour is found by an aggregate with map-side combine.
+    """
+    near = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
-        near = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    else:
-        near = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
-    least = near.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-    tied = near.join(least, "x")
+        near = near.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    least = near.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"), F.count("*").alias("n"))
+    tied = join_each(near, least.select("x", "m"), ["x"], "y", 2 * total, counts=least.select("x", "n"))
     if large:
         out = tied.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
     return out.where("u <> v").distinct()
-
-

@@ -2,13 +2,16 @@
 
 A text's shingle hashes fall into buckets; a bucket's register keeps the leading-zero count of its least remainder and
 the mantissa bits that follow, two bytes in all; for an empty bucket it is the set's least hash by a function of that
-register. Bands of registers find the candidates, the Jaccard similarity that is estimated from equal registers, corrected for chance collisions, decides
-which are verified, and the full shingle sets decide which are links.
-
-Texts with equal shingle sets are one class from the start. The classes that bands join form a cluster. A cluster is
-dealt into blocks by size of set and hash; a task compares two blocks, so that no task holds more than two blocks, no
-pair is a row, and only the links of a spanning forest leave it. Sizes further apart than the threshold allows never
-meet. Texts have to share all registers of some band: at the threshold they do but for `MISS` of the pairs.
+register. Bands of registers find the candidates, the Jaccard similarity that is estimated from equal registers, corrected
+for chance collisions, decides which are verified, and the full shingle sets decide which are links.
+
+Texts with equal shingle sets are one class from the start. Each class is first held against the least class of each of
+its bands: the links found join most copies. Where a band still holds classes that no link joins, all classes of what
+it connects are dealt into blocks by size of set and hash, and a task compares two blocks; classes that are already joined
+are not compared, and the largest joined group of each cluster never meets itself. So a group of copies costs work in
+proportion to its rows, no task holds more than two blocks, which are bounded in rows and bytes, no pair is a row, and
+only the links of a spanning forest leave a task. Sizes further apart than the threshold allows never meet. Texts have to
+share all registers of some band: at the threshold they do but for `MISS` of the pairs.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from .words import U64, Words, mix
 MISS = 1e-6
 MOST_REGISTERS = 192
 MANTISSA = 10
-#: Classes in a block, and standard deviations below the threshold at which an estimate rules a pair out.
-BLOCK = 400
-SIGMAS = 5.0
+#: Classes in a block and bytes of their sets, a larger set being a block of its own.
+BLOCK, BLOCK_BYTES = 400, 16 << 20
+#: Standard deviations below the threshold at which an estimate rules a pair out: 1e-9 of the pairs at the threshold.
+#: Sets of up to SMALL shingles are always verified.
+SIGMAS, SMALL = 6.0, 64
 #: Shingles that are hashed at a time for the registers of empty buckets.
 ROWS = 1024
 
@@ -99,39 +104,60 @@ def estimate(equal: np.ndarray, k: int, n: np.ndarray, m: np.ndarray) -> np.ndar
     return (equal / k - chance) / (1 - chance)
 
 
-def sketches(docs: DataFrame, size: int, threshold: float, miss: float = MISS, most: int = MOST_REGISTERS, units=None) -> DataFrame:
-    """(id, n_shingles, fp_a, fp_b, bands array): set size, a 128-bit digest of the set, the band keys. docs(id, text).
+class Source:
+    """Texts to compare: docs(id, text), or with `cut` the units that it makes of runs of docs' rows, text last.
 
-    units turns a run of (ids, texts) into that of the units to compare, in the same Python worker.
+    cut(batch) gives the units' key columns, of this schema, and their texts.
     """
-    rows, bands = tune_bands(threshold, miss, most)
-    common.small_batches(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            texts = common.text_column(batch.column(1))
-            for a, b in common.chunks(texts):
-                ids, parts = batch.column(0)[a:b], texts[a:b]
-                if units is not None:
-                    ids, parts = units(ids, parts)
-                sets = Words(parts, lower=True).shingles(size)
-                n = np.array([len(s) for s in sets], dtype=np.int64)
-                with np.errstate(over="ignore"):
-                    fp = [np.array([mix(s ^ U64(seed)).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64) for seed in (0x2545F4914F6CDD1D, 0x6C62272E07BB0142)]
-                keys = band_keys(sketch(sets, rows * bands), rows, bands)
-                flat = pa.array(keys[n > 0].ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(fp[0]), pa.array(fp[1]), lists], ["id", "n_shingles", "fp_a", "fp_b", "bands"])
-
-    return docs.select("id", "text").mapInArrow(run, "id bigint, n_shingles bigint, fp_a bigint, fp_b bigint, bands array<bigint>")
-
-
-def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int, k: int):
-    """Links of a spanning forest among the pairs of different sides (or of all, when there is one side)."""
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    registers = sketch(sets, k)
+    def __init__(self, docs: DataFrame, schema: str = "id bigint", cut=None):
+        self.docs, self.schema, self.cut = docs, schema, cut or (lambda batch: (batch.columns[:1], common.text_column(batch.column(1))))
+        self.names = [part.split()[0] for part in schema.split(",")]
+
+    def made(self, docs: DataFrame, size: int, schema: str, extra) -> DataFrame:
+        """Key columns, set size, a 128-bit digest of the set and extra(sets) of every text."""
+        common.small_batches(docs.sparkSession)
+        names, cut, last = self.names, self.cut, docs.columns.index("text")
+
+        def run(batches):
+            for batch in batches:
+                batch = batch.set_column(last, "text", common.text_column(batch.column(last)))
+                for a, b in common.chunks(batch.column(last)):
+                    keys, parts = cut(batch.slice(a, b - a))
+                    sets = Words(parts, lower=True).shingles(size)
+                    n = np.array([len(s) for s in sets], dtype=np.int64)
+                    with np.errstate(over="ignore"):
+                        fp = [np.array([mix(s ^ U64(seed)).sum(dtype=U64) for s in sets], dtype=U64).view(np.int64) for seed in (0x2545F4914F6CDD1D, 0x6C62272E07BB0142)]
+                    more = extra(sets, n)
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(n), *map(pa.array, fp), *more.values()], [*names, "n_shingles", "fp_a", "fp_b", *more])
+
+        return docs.mapInArrow(run, f"{self.schema}, n_shingles bigint, fp_a bigint, fp_b bigint, {schema}")
+
+    def sketches(self, size: int, rows: int, bands: int) -> DataFrame:
+        """... and bands array: the band keys, none for an empty set."""
+
+        def extra(sets, n):
+            flat = pa.array(band_keys(sketch(sets, rows * bands), rows, bands)[n > 0].ravel())
+            return {"bands": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)), flat)}
+
+        return self.made(self.docs, size, "bands array<bigint>", extra)
+
+    def sets(self, docs: DataFrame, size: int, k: int) -> DataFrame:
+        """... and registers and shingles, as bytes."""
+
+        def extra(sets, n):
+            registers = sketch(sets, k)
+            return {"registers": pa.array([r.tobytes() for r in registers], pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}
+
+        return self.made(docs, size, "registers binary, shingles binary", extra)
+
+
+def _forest(ids: np.ndarray, label: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int):
+    """Links of a spanning forest among the pairs of different sides (or of all, when there is one side) and labels."""
+    n, k = np.array([len(s) for s in sets], dtype=np.int64), registers.shape[1]
     t = num / den
-    parent = list(range(len(ids)))
+    _, group = np.unique(label, return_inverse=True)
+    parent = list(range(int(group.max()) + 1))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -139,81 +165,129 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
             x = parent[x]
         return x
 
-    left = np.flatnonzero(side == side.min())
-    right = np.flatnonzero(side == side.max())
-    one = side.min() == side.max()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+    one = side.max() == 0
     found = []
     for i in left:
         js = right[right > i] if one else right
-        js = js[(n[js] * den >= n[i] * num) & (n[i] * den >= n[js] * num)]
+        js = js[(group[js] != group[i]) & (n[js] * den >= n[i] * num) & (n[i] * den >= n[js] * num)]
         if not len(js):
             continue
         likely = estimate((registers[js] == registers[i]).sum(axis=1), k, n[js], n[i])
-        js = js[likely >= t - SIGMAS * np.sqrt(t * (1 - t) / np.minimum(k, n[js]))]
+        js = js[(n[js] <= SMALL) | (likely >= t - SIGMAS * np.sqrt(t * (1 - t) / np.minimum(k, n[js])))]
         for j in js:
-            if root(i) == root(j):
+            if root(group[i]) == root(group[j]):
                 continue
             common_ones = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if den * common_ones >= num * (len(sets[i]) + len(sets[j]) - common_ones):
-                parent[root(j)] = root(i)
+                parent[root(group[j])] = root(group[i])
                 found.append((int(ids[i]), int(ids[j])))
     return found
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
-    """(src, dst): links that connect each component of the classes. classes(rep, n_shingles, bands), docs(id, text)."""
-    rows, bands = tune_bands(num / den, miss, most)
-    k = rows * bands
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    near = keys.join(lead, "key").where("rep <> lead").select(F.col("lead").alias("src"), F.col("rep").alias("dst")).distinct()
-    cluster = common.durable(common.components(near).withColumnRenamed("component_id", "cluster"))
-    kind = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(den / num)).cast("int")
-    member = common.durable(cluster.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").withColumn("kind", kind))
-    count = member.groupBy("cluster", "kind").agg(F.count("*").alias("n"))
-    whole = count.groupBy("cluster").agg(F.sum("n").alias("all"))
-    blocks = count.join(whole, "cluster").withColumn("blocks", F.when(F.col("all") <= BLOCK, F.lit(0)).otherwise(F.ceil(F.col("n") / BLOCK))).select("cluster", "kind", F.col("blocks").cast("int").alias("blocks"))
-    above = blocks.select("cluster", (F.col("kind") - 1).alias("kind"), F.col("blocks").alias("above"))
-    below = blocks.select("cluster", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("below"))
-    plan = blocks.join(above, ["cluster", "kind"], "left").join(below, ["cluster", "kind"], "left").na.fill(0, ["above", "below"])
-    # the tasks of a member in block b of its kind: (kind, i, kind, j) with i <= j, and those with the kinds beside it
-    tasks = F.when(F.col("blocks") == 0, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("hi"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
-        F.expr("""concat(
-            transform(sequence(0, blocks - 1), x -> struct(kind as lo, least(x, b) as i, kind as hi, greatest(x, b) as j, if(x < b, 1, 0) as side)),
-            if(above > 0, transform(sequence(0, above - 1), x -> struct(kind as lo, b as i, kind + 1 as hi, x as j, 0 as side)), array()),
-            if(below > 0, transform(sequence(0, below - 1), x -> struct(kind - 1 as lo, x as i, kind as hi, b as j, 1 as side)), array()))""")
-    )
-    dealt = member.join(plan, ["cluster", "kind"]).withColumn("b", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
-    texts = dealt.select("node", "cluster", F.explode(tasks).alias("t")).select("node", F.xxhash64("cluster", "t.lo", "t.i", "t.hi", "t.j").alias("task"), "cluster", "t.side")
-    texts = texts.join(common.rows_of(docs, "id", member.select(F.col("node").alias("id"))).select(F.col("id").alias("node"), "text"), "node")
-    common.small_batches(docs.sparkSession)
-
-    def compare(batches):
-        held: list = []
-
-        def done():
-            ids, side, sets = np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held]
-            order = np.argsort(ids, kind="stable")
-            return _forest(ids[order], [sets[i] for i in order], side[order], num, den, k)
-
-        at = None
+def _compare(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, dst): links that tasks(task, side, node, label) find among their nodes. sets(node, registers, shingles)."""
+    spark = tasks.sparkSession
+
+    def run(batches):
+        def done(left, right):
+            held = left + right
+            ids, label = (np.array([x[c] for x in held]) for c in (0, 1))
+            side = np.repeat([0, 1], [len(left), len(right)])
+            registers = np.stack([np.frombuffer(x[2], np.uint16) for x in held])
+            found = _forest(ids, label, registers, [np.frombuffer(x[3], U64) for x in held], side, num, den)
+            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["src", "dst"])] if found else []
+
+        at, left, right, size, met = None, [], [], 0, False
         for batch in batches:
-            texts = common.text_column(batch.column(3))
-            task, node, side = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            out = []
-            for a, b in common.chunks(texts):
-                for i, s in zip(range(a, b), Words(texts[a:b], lower=True).shingles(size), strict=True):
-                    if task[i] != at:
-                        out += done() if len(held) > 1 else []
-                        held, at = [], task[i]
-                    held.append((node[i], side[i], s))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["src", "dst"])
-        if len(held) > 1 and (out := done()):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["src", "dst"])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.select("task", "node", "side", "text").repartition(n, "task").sortWithinPartitions("task", "node", "side").mapInArrow(compare, "src bigint, dst bigint")
+            for task, side, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                if task != at:
+                    yield from done(left, right) if left and (right or not met) else []
+                    at, left, right, size, met = task, [], [], 0, False
+                if not side:
+                    left.append(row)
+                    continue
+                right.append(row)
+                met, size = True, size + len(row[3])
+                if size > BLOCK_BYTES:  # only pairs with the left side count, so these can go
+                    yield from done(left, right) if left else []
+                    right, size = [], 0
+        yield from done(left, right) if left and (right or not met) else []
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    common.small_batches(spark)
+    tasks = common.durable(tasks)
+    rows = common.join_each(tasks, sets, ["node"], "task", tasks.count()).select("task", "side", "node", "label", "registers", "shingles")
+    return common.durable(rows.repartition(n, "task").sortWithinPartitions("task", "side", "node").mapInArrow(run, "src bigint, dst bigint"))
+
+
+def _lead_tasks(near: DataFrame, total: int) -> DataFrame:
+    """Tasks that hold each node of near(src, dst) against its src, BLOCK nodes at a time."""
+    count = near.groupBy("src").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = common.join_each(near, count, ["src"], "dst", total)
+    task = lambda part: F.xxhash64("src", part).alias("task")
+    right = dealt.select(task(F.pmod(F.xxhash64("dst"), "parts").cast("int")), F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("dst").alias("label"))
+    left = count.select("src", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(task(F.col("part")), F.lit(0).alias("side"), F.col("src").alias("node"), F.col("src").alias("label"))
+    return right.unionByName(left)
+
+
+def _block_tasks(member: DataFrame, num: int, den: int) -> DataFrame:
+    """Tasks that compare the members (node, label, n_shingles, cluster) of each cluster that differ in label.
+
+    A cluster's largest label is pool 0, the others are pool 1; blocks are of one kind (size of set) and pool. Pairs of
+    blocks of pool 0 hold no pair, pairs of kinds that aren't neighbours none that can be a link.
+    """
+    total = member.count()
+    sizes = member.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    big = sizes.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("big"))
+    step = math.log(den / num) * (1 + 1e-9)  # so that rounding never puts a kind between two sizes that may link
+    kind = F.floor(F.log(F.col("n_shingles").cast("double")) / step).cast("int")
+    member = common.join_each(member, big, ["cluster"], "node", total).select("node", "label", "n_shingles", "cluster", kind.alias("kind"), (F.col("label") != F.col("big")).cast("int").alias("pool"))
+    cells = member.groupBy("cluster", "kind", "pool").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
+    whole = cells.groupBy("cluster").agg(((F.sum("n") <= BLOCK) & (F.sum("words") * 8 <= BLOCK_BYTES)).alias("small"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.exp((F.col("kind") + 1) * step)))))
+    cells = cells.join(whole, "cluster").select("cluster", F.when(F.col("small"), 0).otherwise(F.col("kind")).alias("k"), F.when(F.col("small"), 1).otherwise(F.col("pool")).alias("p"), "kind", "pool", F.when(F.col("small"), 1).otherwise(F.ceil(F.col("n") / most)).cast("int").alias("blocks"))
+    a, b = cells.select("cluster", "kind", "pool", "k", "p", "blocks").distinct(), cells.select("cluster", F.col("k").alias("k2"), F.col("p").alias("p2"), F.col("blocks").alias("blocks2")).distinct()
+    near = a.join(b, "cluster").where("abs(k - k2) <= 1 and p + p2 > 0")
+    plan = near.groupBy("cluster", "kind", "pool", "k", "p", "blocks").agg(F.collect_list(F.struct("k2", "p2", "blocks2")).alias("cells"))  # six at most
+    dealt = common.join_each(member, plan, ["cluster", "kind", "pool"], "node", total).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    own, other = F.expr("struct(k as k, p as p, b as b)"), "struct(c.k2 as k, c.p2 as p, j as b)"
+    partners = F.expr(f"flatten(transform(cells, c -> transform(sequence(0, c.blocks2 - 1), j -> {other})))")
+    each = dealt.select("cluster", "node", "label", own.alias("own"), F.explode(partners).alias("other"))
+    return each.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
+
+
+def links(classes: DataFrame, sets, num: int, den: int) -> DataFrame:
+    """(src, dst): links that connect each component of classes(rep, n_shingles, fp_a, fp_b, bands).
+
+    sets(nodes) gives (node, registers, shingles) of durable nodes(node), one row for each class.
+    """
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("n")).where("lead < last")
+    total = classes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    met = common.join_each(keys, lead.select("key", "lead"), ["key"], "rep", total, counts=lead.select("key", "n"))
+    near = common.durable(met.where("rep <> lead").select(F.col("lead").alias("src"), F.col("rep").alias("dst")).distinct())
+    n_near = near.count()
+    if not n_near:
+        return near
+    nodes = common.durable(near.select(F.col("src").alias("node")).union(near.select("dst")).distinct())
+    held = common.durable(sets(nodes))
+    found = _compare(_lead_tasks(near, n_near), held, num, den)
+    label = common.durable(common.components(found).withColumnRenamed("component_id", "label"))
+    ends = near
+    for end, spread in (("src", "dst"), ("dst", "src")):
+        ends = common.join_each(ends, label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), [end], spread, n_near, "left")
+    named = [F.coalesce(f"label_{end}", end).alias(end) for end in ("src", "dst")]
+    apart = common.durable(ends.select(*named).where("src <> dst").distinct())
+    if apart.isEmpty():
+        return found
+    cluster = common.durable(common.components(apart).withColumnRenamed("node", "label").withColumnRenamed("component_id", "cluster"))
+    total = nodes.count()
+    labelled = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    member = common.join_each(labelled, cluster, ["label"], "node", total)
+    size = classes.select(F.col("rep").alias("node"), "n_shingles").distinct()
+    more = _compare(_block_tasks(common.durable(member.join(size, "node")), num, den), held, num, den)
+    return found.unionByName(more)
 
 
 def _same_id(some: DataFrame, reps: DataFrame) -> DataFrame:
@@ -225,28 +299,46 @@ def _same_id(some: DataFrame, reps: DataFrame) -> DataFrame:
     return held.join(least, "id").where("rep <> src").select("src", F.col("rep").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS, units=None, unit_rows: DataFrame | None = None) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of docs(id, text): texts of a component link from num / den.
+def near_rows(sk: DataFrame, sets, num: int, den: int, same_id: bool = False) -> DataFrame:
+    """sk and the component_id of each row, null for an empty set or a null id. sk(id, n_shingles, fp_a, fp_b, bands) is durable.
 
-    With units, those are compared that it makes of docs; unit_rows(id, text) has them as rows.
-
-    A text without words links with nothing. Rows of one id are one node, whatever their texts; units of one id with
-    different texts aren't linked by it. A null id links with nothing and has no
-    component. An empty table gives no row.
+    sets(nodes, classes) gives (node, registers, shingles) of the classes(node, n_shingles, fp_a, fp_b) of durable nodes(node).
     """
-    start = common.mark()
-    sk = common.durable(sketches(docs, size, num / den, miss, most, units))
+    digest = ["n_shingles", "fp_a", "fp_b"]
     some = sk.where("n_shingles > 0 and id is not null")
-    reps = common.durable(some.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("id").alias("rep")))
-    classes = some.join(reps, [some.id == reps.rep, some.n_shingles == reps.n_shingles, some.fp_a == reps.fp_a, some.fp_b == reps.fp_b], "left_semi").select(F.col("id").alias("rep"), "n_shingles", some.fp_a, some.fp_b, "bands").dropDuplicates(["rep", "n_shingles", "fp_a", "fp_b"])
-    edges = links(common.durable(classes), (docs if unit_rows is None else unit_rows).where("id is not null"), size, num, den, miss, most)
-    if units is None:
+    reps = common.durable(some.groupBy(*digest).agg(F.min("id").alias("rep")))
+    # one row for each class, with the bands of its least row; rows of a class have the same bands
+    classes = common.durable(some.join(reps.withColumnRenamed("rep", "id"), ["id", *digest], "left_semi").select(F.col("id").alias("rep"), *digest, "bands").dropDuplicates(["rep", *digest]))
+
+    edges = links(classes, lambda nodes: sets(nodes, classes.select(F.col("rep").alias("node"), *digest).join(nodes, "node", "left_semi")), num, den)
+    if same_id:
         edges = edges.unionByName(_same_id(some, reps))
-    found = common.components(edges)
-    labels = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "fp_a", "fp_b", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sk.drop("bands").join(labels, ["n_shingles", "fp_a", "fp_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
-    out = common.durable(out.select("id", "n_shingles", component.alias("component_id")))
+    label = common.components(edges).withColumnRenamed("node", "rep")
+    labels = reps.join(label, "rep", "left").select(*digest, F.coalesce("component_id", "rep").alias("component_id"))
+    found = common.join_each(sk.drop("bands"), labels, digest, "id", sk.count(), "left")
+    return found.withColumn("component_id", F.expr("if(n_shingles > 0 and id is not null, component_id, null)"))
+
+
+def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of docs(id, text): texts of a component link from num / den. Durable.
+
+    A text without words links with nothing. Rows of one id are one node, whatever their texts. A null id links with
+    nothing and has no component. An empty table gives no row.
+    """
+    start = common.mark()
+    rows, bands = tune_bands(num / den, miss, most)
+    docs = docs.select("id", "text")
+    source = Source(docs)
+    sk = common.durable(source.sketches(size, rows, bands))
+
+    def sets(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        some = common.rows_of(docs, "id", nodes.select(F.col("node").alias("id")))
+        digest = ["n_shingles", "fp_a", "fp_b"]
+        made = source.sets(some, size, rows * bands).withColumnRenamed("id", "node")
+        return made.join(classes, ["node", *digest], "left_semi").groupBy("node", *digest).agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles")).drop(*digest)
+
+    found = near_rows(sk, sets, num, den, same_id=True)
+    out = common.durable(found.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
     common.drop_scratch(start, keep=(out,))
     return out
 

@@ -21,22 +21,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import U64, Words
+from .words import _LOW, U64, Words
 
 CAPACITY = 2048
 END_ID = 1
 #: Lengths are rounded up to this many tokens in the histogram and the patterns.
 UNIT = 8
-#: Shares by which a length's documents are ranked, so that one length may be that of most documents.
-SALTS = 32
+#: Pieces of one length that a task ranks; a length of more is dealt over as many tasks as it needs.
+RANKED = 200_000
 #: The linear program ends within this share of its bound.
 GAP = 2e-4
 #: Runs whose ids a worker keeps, about 40 bytes each.
 CACHE_ENTRIES = 500_000
 
 
+class Runs:
+    """Spans of bytes: hashes, first and last eight bytes and lengths; what is longer than those is compared as bytes."""
+
+    def __init__(self, words: Words, starts: np.ndarray, ends: np.ndarray):
+        self.words, self.starts, self.ends = words, starts, ends
+        self.hashes, self.lengths = words.hash_spans(starts, ends), ends - starts
+        self.heads = words.blocks(starts) & _LOW[np.minimum(self.lengths, 8)]
+        self.tails = np.where(self.lengths > 8, words.blocks(np.maximum(ends - 8, 0)), U64(0))
+
+    def raw(self, at: np.ndarray) -> list[bytes]:
+        data = memoryview(np.ascontiguousarray(self.words.data))
+        return [bytes(data[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
 class IdTable:
-    """Ids by the 64-bit hash of their run, in open addressing: looked up for many runs at a time.
+    """Ids by their run, in open addressing by its hash: looked up for many runs at a time, and a hit is one of equal bytes.
 
     The runs that came first are the frequent ones; when the table is full, the first half stays.
     """
@@ -47,36 +61,51 @@ class IdTable:
 
     def _clear(self) -> None:
         self.slots = np.full(int(self.mask) + 1, -1, dtype=np.int32)
-        self.keys, self.starts, self.lengths = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.heads, self.tails = (np.zeros(0, U64) for _ in range(3))
+        self.sizes, self.starts, self.lengths = (np.zeros(0, np.int64) for _ in range(3))
+        self.long: dict[int, bytes] = {}  # by entry: runs of more than 16 bytes
         self.pool = np.zeros(0, "<u4")
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        out = np.full(len(hashes), -1, dtype=np.int64)
+    def _same(self, entry: np.ndarray, runs: Runs, at: np.ndarray) -> np.ndarray:
+        out = (self.heads[entry] == runs.heads[at]) & (self.tails[entry] == runs.tails[at]) & (self.sizes[entry] == runs.lengths[at])
+        long = np.flatnonzero(out & (runs.lengths[at] > 16))
+        if len(long):
+            out[long] = [self.long[e] == raw for e, raw in zip(entry[long].tolist(), runs.raw(at[long]), strict=True)]
+        return out
+
+    def find(self, runs: Runs) -> np.ndarray:
+        """The entry of each run, or -1."""
+        out = np.full(len(runs.hashes), -1, dtype=np.int64)
         if not len(self.keys):
             return out
-        at, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
+        at, todo = (runs.hashes & self.mask).astype(np.int64), np.arange(len(runs.hashes))
         while len(todo):
             entry = self.slots[at]
             some = entry >= 0
             hit = some.copy()
-            hit[some] = self.keys[entry[some]] == hashes[todo[some]]
+            hit[some] = (self.keys[entry[some]] == runs.hashes[todo[some]]) & self._same(entry[some], runs, todo[some])
             out[todo[hit]] = entry[hit]
             go = some & ~hit
             todo, at = todo[go], at[go] + 1 & int(self.mask)
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
-        """New and distinct hashes with their ids; of more than half the table's entries, the first."""
-        hashes, ids = hashes[: self.entries // 2], ids[: self.entries // 2]
-        if len(self.keys) and len(self.keys) + len(hashes) > self.entries:
+    def add(self, runs: Runs, new: np.ndarray, ids: list[bytes]) -> None:
+        """The runs at `new`, of distinct hashes, with their ids; of more than half the table's entries, the first."""
+        new, ids = new[: self.entries // 2], ids[: self.entries // 2]
+        if len(self.keys) and len(self.keys) + len(new) > self.entries:
             half = min(self.entries // 2, len(self.keys))
-            keys, starts, lengths, pool = self.keys[:half], self.starts[:half], self.lengths[:half], self.pool
+            held = [x[:half] for x in (self.keys, self.heads, self.tails, self.sizes, self.starts, self.lengths)]
+            pool, long = self.pool, {e: raw for e, raw in self.long.items() if e < half}
             self._clear()
-            self._place(keys)
-            self.starts, self.lengths, self.pool = starts, lengths, pool[: int(starts[-1] + lengths[-1])]
-        lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        self._place(hashes)
+            self._place(held[0])
+            _, self.heads, self.tails, self.sizes, self.starts, self.lengths = held
+            self.pool, self.long = pool[: int(self.starts[-1] + self.lengths[-1])], long
+        base, lengths = len(self.keys), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        self._place(runs.hashes[new])
+        self.heads, self.tails = np.concatenate([self.heads, runs.heads[new]]), np.concatenate([self.tails, runs.tails[new]])
+        self.sizes = np.concatenate([self.sizes, runs.lengths[new]])
+        long = np.flatnonzero(runs.lengths[new] > 16)
+        self.long.update(zip((base + long).tolist(), runs.raw(new[long]), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
@@ -125,8 +154,8 @@ class WordTokens:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, runs: list[bytes], hashes: np.ndarray) -> None:
-        plain, other = [], []
+    def _learn(self, held: Runs, new: np.ndarray) -> None:
+        runs, plain, other = held.raw(new), [], []
         for i, run in enumerate(runs):
             (plain if run.isalpha() or run.decode().isalpha() else other).append(i)
         found: list[bytes] = [b""] * len(runs)
@@ -138,7 +167,7 @@ class WordTokens:
             part = other[a : a + 2000]
             for i, got in zip(part, self.model.encode_batch_fast([runs[i].decode() for i in part], add_special_tokens=False), strict=True):
                 found[i] = array("I", got.ids).tobytes()
-        self.table.add(hashes, found)
+        self.table.add(held, new, found)
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """Per text: its ids as little-endian unsigned 32-bit words."""
@@ -152,16 +181,14 @@ class WordTokens:
         second[1:] = of[1:] == of[:-1]
         run_starts = np.where(second, ends[of] - 1, starts[of])
         run_ends = ends[of] - (cut[of] & ~second)
-        hashes = words.hash_spans(run_starts, run_ends)
-        entries = self.table.find(hashes)
+        runs = Runs(words, run_starts, run_ends)
+        entries = self.table.find(runs)
         if (entries < 0).any():
             gaps = np.flatnonzero(entries < 0)
-            new, first = np.unique(hashes[gaps], return_index=True)
-            first = np.sort(gaps[first])  # in the order of the text
-            raw = data.tobytes()
-            self._learn([raw[a:b] for a, b in zip(run_starts[first].tolist(), run_ends[first].tolist(), strict=True)], hashes[first])
-            entries = self.table.find(hashes)  # all: the table may have been thinned out
-            if (entries < 0).any():  # then once more for what has just gone
+            _, first = np.unique(runs.hashes[gaps], return_index=True)
+            self._learn(runs, np.sort(gaps[first]))  # in the order of the text
+            entries = self.table.find(runs)  # all: the table may have been thinned out
+            if (entries < 0).any():  # then once more for what has just gone, or has the hash of another run
                 return [x for k in range(len(texts)) for x in self.encode_batch(texts[k : k + 1])] if len(texts) > 1 else [self.encode_whole(texts[0].as_py())]
         ids, begins = self.table.gather(entries)
         at = begins[np.searchsorted(of, words.word_at)]
@@ -337,19 +364,23 @@ def slot_table(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray
 def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """pieces and the sequence and offset of each.
 
-    pieces is read twice and must be durable. The driver gets the histogram, of capacity / unit rows at most. Ranks are
-    two-level: within a salt of a length by a window, and over the salts by a table of lengths times salts.
+    Rows may repeat: a row number, made durable with the pieces, deals them. The driver gets the histogram, of capacity / unit rows at most, and
+    a count for every RANKED pieces of a length. Ranks are two-level: within a share of a length by a window, and over
+    the shares by their counts.
     """
     slots = capacity // unit
     kind = F.ceil(F.col("length") / unit).cast("int")
-    ranked = pieces.withColumn("kind", kind).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = ranked.groupBy("kind", "salt").agg(F.count("*").alias("n")).collect()  # lengths times salts at most
+    spark = pieces.sparkSession
+    ranked = common.durable(pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("row"))).withColumn("kind", kind)
+    shares = spark.createDataFrame([(r.kind, 1 + (r.n - 1) // RANKED) for r in ranked.groupBy("kind").agg(F.count("*").alias("n")).collect()], "kind int, shares bigint")
+    ranked = ranked.join(F.broadcast(shares), "kind").withColumn("salt", F.pmod(F.xxhash64("row"), "shares"))
+    counts = ranked.groupBy("kind", "salt").agg(F.count("*").alias("n")).collect()
     demand, before = np.zeros(slots, dtype=np.int64), {}
     for row in sorted(counts, key=lambda r: (r.kind, r.salt)):
-        before[row.kind, row.salt] = int(demand[row.kind - 1])
+        before.setdefault(row.kind, {})[row.salt] = int(demand[row.kind - 1])
         demand[row.kind - 1] += row.n
     table = slot_table(plan_patterns(demand, slots))
-    within = Window.partitionBy("kind", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    within = Window.partitionBy("kind", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "row")
     ranked = ranked.withColumn("rank", F.row_number().over(within).cast("bigint"))
 
     def deal(batches):
@@ -358,10 +389,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
                 continue
             col = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name in ("kind", "salt", "rank")}
             kinds, salts, ranks = col["kind"].astype(np.int64), col["salt"].astype(np.int64), col["rank"].astype(np.int64) - 1
-            first = np.zeros((slots + 1, SALTS), dtype=np.int64)
-            for (k, s), n in before.items():
-                first[k, s] = n
-            ranks = ranks + first[kinds, salts]
+            ranks += [before[k][share] for k, share in zip(kinds.tolist(), salts.tolist(), strict=True)]
             sequence, slot = np.zeros(len(ranks), dtype=np.int64), np.zeros(len(ranks), dtype=np.int64)
             for k in np.unique(kinds):
                 at = np.flatnonzero(kinds == k)
@@ -379,7 +407,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(common.durable(cut_pieces(docs, path, capacity)), capacity)
+    return pack(cut_pieces(docs, path, capacity), capacity)
 
 
 def sequences(encoded: DataFrame, packed: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Passages that repeat inside longer paragraphs, which whole paragraphs can't show.
 
 Of the hashes of all runs of RUN words in a text, winnowing (Schleimer et al.) keeps the least of every SPREAD that
-follow each other; a passage of RUN + SPREAD - 1 = 49 words or more that two documents share leaves the same hash in both,
-wherever it stands and whatever stands around it. One exchange counts the hashes; a document's repeated runs are merged,
-at every place where they stand.
-The first document by doc_id keeps its run, the others lose it, also where the run overlaps one that they are the first
-to have: each of its words then stands in a document before.
+follow each other; a passage of RUN + SPREAD - 1 = 49 words or more that stands twice, in one document or in two, leaves
+the same hash at both places, whatever stands around it. Shorter runs with more spread would find shorter passages by
+chance, but leave up to SPREAD - 1 words standing at each end of every passage that has to be found. Runs are equal where
+96 bits of two independent hashes are. One exchange counts the hashes; a document's repeated runs are merged.
+
+Places are in order of doc_id, the text's digest and the word. The first place of a run stays, every other one goes, also
+where the run overlaps one that is the first of its kind: each word that goes stands at a place before.
 """
 
 from __future__ import annotations
@@ -16,24 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import U64, Words, _power_tables, mix
+from .words import U64, Words
 
 RUN, SPREAD = 40, 10
 
 
-def run_hashes(words: Words, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `run` words that lie in one text, and the first word of each."""
-    total = len(words.starts)
-    if total < run:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    powers, inverse = _power_tables(total + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(words.hashes * powers[:total], dtype=U64)])
-        left = np.repeat(words.word_at[1:], words.counts()) - np.arange(total)
-        at = np.flatnonzero(left >= run)
-        return mix((sums[at + run] - sums[at]) * inverse[at]), at
-
-
 def winnow(h: np.ndarray, owner: np.ndarray, spread: int = SPREAD) -> np.ndarray:
     """Places of the hashes that are the least, the last of equals, of some `spread` neighbours of their text."""
     n = len(h)
@@ -52,94 +41,89 @@ def winnow(h: np.ndarray, owner: np.ndarray, spread: int = SPREAD) -> np.ndarray
     return np.flatnonzero(chosen)
 
 
-def places(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h, at, owner and the first word of the last run of each place of a hash; runs of one hash that overlap are one place."""
+def places(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first run, and the first word of the last, of each place of a hash; runs of one hash that overlap are one place."""
     order = np.lexsort((at, h, owner))
     h, at, owner = h[order], at[order], owner[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] - at[:-1] >= RUN)
     begin = np.flatnonzero(first)
     last = at[np.append(begin, len(h))[1:] - 1]
-    back = np.argsort(at[begin], kind="stable")
-    begin = begin[back]
-    return h[begin], at[begin], owner[begin], last[back]
+    back = np.argsort(order[begin])
+    return order[begin][back], last[back]
+
+
+def blanked(texts: pa.Array, gone) -> pa.Array:
+    """The texts with blanks for the lines whose places are gone; every other byte stays where it is."""
+    out = texts.cast(pa.binary()).to_pylist()
+    for k, lines in enumerate(gone):
+        if lines:
+            some = set(lines)
+            out[k] = b"\n".join(b" " * len(x) if i in some else x for i, x in enumerate(out[k].split(b"\n")))
+    return pa.array(out, pa.binary())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, word, words, start, end): the winnowed runs of each document at all their places; start and end in code points."""
+    """(h, g, doc_id, digest, word, words): the winnowed runs of docs(doc_id, digest, text, gone) at all their places."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ids, texts = np.asarray(batch.column(0)), common.text_column(batch.column(1))
+            keys, texts, gone = batch.columns[:2], common.text_column(batch.column(2)), batch.column(3)
             for a, b in common.chunks(texts):
-                words = Words(texts[a:b], lower=True)
-                h, at = run_hashes(words)
+                words = Words(blanked(texts[a:b], gone[a:b].to_pylist()), lower=True)
+                h, at = words.windows(RUN)
                 owner = np.searchsorted(words.word_at, at, side="right") - 1
                 pick = winnow(h, owner)
-                h, at, owner, last = places(h[pick], at[pick], owner[pick])
-                chars = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
-                origin = chars[words.text_at[owner]]
-                ints = [at - words.word_at[owner], last - at + RUN, chars[words.starts[at]] - origin, chars[words.ends[last + RUN - 1]] - origin]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][owner]), *[pa.array(x.astype(np.int32)) for x in ints]], ["h", "doc_id", "word", "words", "start", "end"])
+                if not len(pick):
+                    continue
+                g = words.windows(RUN, words.hash_spans(words.starts, words.ends, lane=1))[0][pick]
+                h, at, owner = h[pick], at[pick], owner[pick]
+                first, last = places(h, at, owner)
+                at, owner, rows = at[first], owner[first], pa.array(owner[first])
+                ints = [at - words.word_at[owner], last - at + RUN]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].astype(np.uint32).view(np.int32)), *[k[a:b].take(rows) for k in keys], *[pa.array(x) for x in ints]], ["h", "g", "doc_id", "digest", "word", "words"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "h bigint, doc_id bigint, word int, words int, start int, end int")
+    return docs.select("doc_id", "digest", "text", "gone").mapInArrow(run, "h bigint, g int, doc_id bigint, digest bigint, word bigint, words bigint")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs): each document's runs that another document has; runs of (word, words, start, end, lead)."""
-    keys = common.durable(fingerprints(docs))
-    lead = keys.groupBy("h").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("h", "lead")
-    return keys.join(lead, "h").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "words", "start", "end", "lead"))).alias("runs"))  # one document's
+    """(doc_id, digest, runs): each document's runs with more than one place; runs of (word, words, lead_id, first)."""
+    keys = common.durable(fingerprints(docs).withColumn("lead", F.struct("doc_id", "digest", "word")))
+    lead = keys.groupBy("h", "g").agg(F.min("lead").alias("first"), F.max("lead").alias("last"), F.count("*").alias("n")).where("first < last")
+    met = common.join_each(keys, lead.select("h", "g", "first"), ["h", "g"], "lead", keys.count(), counts=lead.select("h", "g", "n"))
+    run = F.struct("word", "words", F.col("first.doc_id").alias("lead_id"), (F.col("first") == F.col("lead")).alias("first"))
+    return met.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(run)).alias("runs"))  # one document's
 
 
-def merged(runs: list[tuple[int, int, int, int, int]], doc_id: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
-    """Spans (start, end, words, lead) that stay because the document is the first, and those that go.
+def merged(runs: list[tuple[int, int, int, bool]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Spans (first word, word after the last, lead's doc_id) of the words that stay as first, and of those that go.
 
-    Every run that another document leads goes; of the document's own runs what is outside of those stays.
+    Every run that isn't the first of its kind goes; of the others what is outside of those stays.
     """
-    gone = _union([r for r in runs if r[4] != doc_id])
+    gone = _union([r[:3] for r in runs if not r[3]])
     stay, k = [], 0
-    for word, last, start, end, lead in _union([r for r in runs if r[4] == doc_id]):
+    for word, last, lead in _union([r[:3] for r in runs if r[3]]):
         while k < len(gone) and gone[k][1] <= word:
             k += 1
         j = k
         while j < len(gone) and gone[j][0] < last:
             if gone[j][0] > word:
-                stay.append((start, gone[j][2], gone[j][0] - word, lead))
-            word, start = gone[j][1], gone[j][3]
+                stay.append((word, gone[j][0], lead))
+            word = gone[j][1]
             j += 1
         if word < last:
-            stay.append((start, end, last - word, lead))
-    return stay, [(start, end, last - word, lead) for word, last, start, end, lead in gone]
+            stay.append((word, last, lead))
+    return stay, gone
 
 
 def _union(runs):
-    """(word, last, start, end, lead) of the runs that overlap, in order; last is the word after them."""
+    """(word, word after the last, lead) of the runs that overlap, in order."""
     out = []
-    for word, words, start, end, lead in runs:
+    for word, words, lead in runs:
         if out and word < out[-1][1]:
-            at, last, begin, stop, least = out[-1]
-            out[-1] = (at, max(last, word + words), begin, max(stop, end), min(least, lead))
+            at, last, least = out[-1]
+            out[-1] = (at, max(last, word + words), min(least, lead))
         else:
-            out.append((word, word + words, start, end, lead))
-    return out
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_words, component_doc_id, kept) of every repeated passage, durable."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stay, gone = merged([(r["word"], r["words"], r["start"], r["end"], r["lead"]) for r in runs], doc_id)
-                rows += [(doc_id, *s, True) for s in stay] + [(doc_id, *s, False) for s in gone]
-            if rows:
-                *ints, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in ints], pa.array(kept)], ["doc_id", "start", "end", "n_words", "component_doc_id", "kept"])
-
-    start = common.mark()
-    out = common.durable(repeated(docs).mapInArrow(run, "doc_id bigint, start bigint, end bigint, n_words bigint, component_doc_id bigint, kept boolean"))
-    common.drop_scratch(start, keep=(out,))
+            out.append((word, word + words, lead))
     return out

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import chat, oracles
+from . import chat, oracles, pipeline
 from .byte_bpe import op8_byte_bpe
 from .chat import op1_chat_parts
 from .epsilon_grid import op9_epsilon_grid
@@ -19,7 +17,7 @@ from .toxicity import op10_toxicity_votes
 
 def queries() -> dict:
     ops = [op1_chat_parts, op2_hyperminhash, op3_licence_model, op4_pack, op5_secret_owners, op6_weak_quality, op7_paragraph_bands, op8_byte_bpe, op9_epsilon_grid, op10_toxicity_votes]
-    return {op.__name__: op for op in ops} | {"pipeline": corpus_pipeline.run}
+    return {op.__name__: op for op in ops} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict:

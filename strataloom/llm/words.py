@@ -1,12 +1,15 @@
 """Words and shingles of many texts at once, as arrays.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D, which are single bytes in UTF-8, so words of characters and words
-of bytes are the same. Words and shingles are held as 64-bit hashes; two different shingles of a corpus of 10**12
-shingles share one with a probability of about 10**-7 for a given pair of documents.
+of bytes are the same. Words and shingles are held as 64-bit hashes without algebraic structure: two different shingles
+of two documents share one with a chance of 2**-64, so sets of ten thousand shingles are compared wrongly with a chance
+below 10**-11. Where hashes of all runs of a corpus meet, both lanes are used, or the bytes are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,22 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C55 | 1
-_powers = np.ones(1, dtype=U64)
-_inverse = np.ones(1, dtype=U64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse mod 2 ** 64, for i < n."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        back = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, _BASE, U64)]), dtype=U64)
-            _inverse = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, back, U64)]), dtype=U64)
-    return _powers[:n], _inverse[:n]
+_STEP = U64(0xD6E8FEB86659FD93)
+_SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+#: The lowest k bytes of a block.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
+#: Longer spans are hashed one by one.
+LONG = 512
 
 
 class Words:
@@ -55,7 +48,7 @@ class Words:
         raw = np.frombuffer(values, dtype=np.uint8)[offsets[0] : offsets[-1]] if values is not None else np.zeros(0, np.uint8)
         self.text_at = offsets - offsets[0]
         self.data = _LOWER[raw] if lower else raw
-        self._sums = None
+        self._blocks = None
         inside = ~_SPACE[raw]
         n = len(raw)
         first = np.zeros(n + 1, dtype=bool)
@@ -70,28 +63,50 @@ class Words:
         if hashed:
             self.hashes = self.hash_spans(self.starts, self.ends)
 
-    def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span, from prefix sums of a polynomial."""
-        n = len(self.data)
-        powers, inverse = _power_tables(n + 1)
+    def blocks(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, as one number; zeros follow the data."""
+        if self._blocks is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._blocks = np.ndarray((len(self.data) + 1,), "<u8", buffer=padded, strides=(1,))
+        return self._blocks[at]
+
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """A hash of the bytes of each span: blocks of eight, each mixed into the last; of long spans BLAKE2.
+
+        Nothing is linear over the bytes, so no pair of words collides by its structure. The two lanes are independent.
+        """
+        n = ends - starts
         with np.errstate(over="ignore"):
-            if self._sums is None:
-                self._sums = np.zeros(n + 1, dtype=U64)
-                np.cumsum(_TABLE[self.data] * powers[:n], out=self._sums[1:])
-            return mix((self._sums[ends] - self._sums[starts]) * inverse[starts])
+            out = mix((n.astype(U64) + U64(1)) * _SEEDS[lane])
+            todo, at = np.flatnonzero(n > 0), 0
+            while len(todo) and at < LONG:
+                left = n[todo] - at
+                out[todo] = mix((out[todo] ^ (self.blocks(starts[todo] + at) & _LOW[np.minimum(left, 8)])) * _STEP + _SEEDS[lane])
+                todo, at = todo[left > 8], at + 8
+        if len(todo):
+            raw = memoryview(np.ascontiguousarray(self.data))
+            out[todo] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, salt=bytes([lane])).digest(), "little") for a, b in zip(starts[todo].tolist(), ends[todo].tolist(), strict=True)]
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.word_at)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of `size` words that lie in one text, and the first word of each."""
+    def windows(self, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of `size` words that lie in one text, and the first word of each.
+
+        Runs of a power of two words are made of two halves, any other of such runs.
+        """
         total = len(self.starts)
         if total < size:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
-            acc = np.zeros(total - size + 1, dtype=U64)
-            for k in range(size):
-                acc = mix(acc * U64(0xD6E8FEB86659FD93) + self.hashes[k : total - size + 1 + k])
+            acc, done, half, width = None, 0, self.hashes if hashes is None else hashes, 1
+            while done < size:
+                if size & width:
+                    acc = half if acc is None else mix(acc[: len(half) - done] * _STEP + half[done : done + len(acc)])
+                    done += width
+                if done < size:
+                    half, width = mix(half[:-width] * _STEP + half[width:]), 2 * width
         left = np.repeat(self.word_at[1:], self.counts()) - np.arange(total)  # words of the text from here on
         at = np.flatnonzero(left[: total - size + 1] >= size)
         return acc[at], at
@@ -109,7 +124,7 @@ class Words:
                 acc = U64(n)
                 with np.errstate(over="ignore"):
                     for h in self.hashes[self.word_at[k] : self.word_at[k + 1]]:
-                        acc = mix(np.array([acc * U64(0xD6E8FEB86659FD93) + h], dtype=U64))[0]
+                        acc = mix(np.array([acc * _STEP + h], dtype=U64))[0]
                 out.append(np.array([acc], dtype=U64))
             else:
                 out.append(np.zeros(0, U64))

@@ -59,9 +59,12 @@ def near_texts(rnd, groups=12, size=60):
     return out
 
 
-@pytest.mark.parametrize("block", [400, 7])
+@pytest.mark.parametrize("block", [400, 7, 2])
 def test_hyperminhash_components(spark, monkeypatch, block):
     monkeypatch.setattr(hyperminhash, "BLOCK", block)
+    monkeypatch.setattr(hyperminhash, "BLOCK_BYTES", 5000 * block)
+    monkeypatch.setattr(common, "FEW", 0 if block == 2 else common.FEW)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
     rnd = random.Random(block)
     texts = near_texts(rnd) + [None, "", "  ", "one", "one", "long " * 20_000]
     ids = rnd.sample(range(1000), len(texts))
@@ -197,10 +200,10 @@ def test_paragraphs(spark):
     keys = [(r[0], r[1]) for r in rows]
     want = labels_by_force(keys, [r[4] for r in rows], 80, 100)
     size = Counter(want.values())
-    got = {(r.id >> 22, r.id & (paragraphs.PLACES - 1)): (r.component_id >> 22, r.component_id & (paragraphs.PLACES - 1)) for r in paragraphs.repeats(frame).collect()}
-    assert got == {k: c for k, c in want.items() if size[c] > 1}
-    spans = {((r.id >> 22), r.id & (paragraphs.PLACES - 1)): (r.start, r.end) for r in paragraphs.split_paragraphs(frame).collect()}
-    assert spans == {(r[0], r[1]): (r[2], r[3]) for r in rows}
+    found = paragraphs.repeats(frame).collect()
+    assert {(r.doc_id, r.place): (r.component_doc_id, r.kept) for r in found} == {k: (c[0], k == c) for k, c in want.items() if size[c] > 1}
+    spans = {(r[0], r[1]): (r[2], r[3]) for r in rows}
+    assert all((r.start, r.end) == spans[r.doc_id, r.place] for r in found)
     left = {r.doc_id: r.text for r in paragraphs.drop_repeats(frame).collect()}
     assert left.pop(None) == " ".join(shared[0])
     whole = {i: "\n".join(line for k, line in enumerate((t or "").split("\n")) if want.get((i, k), (i, k)) == (i, k)) for i, t in docs}
@@ -245,7 +248,7 @@ def test_passages_inside_paragraphs(spark):
         docs.append((i, " ".join(body) + "\n" + " ".join(fresh(5))))
     docs += [(90, " ".join(["same"] * 400)), (91, " ".join(["same"] * 300)), (92, None), (93, " ".join(shared[0]))]
     frame = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    places = {(r.id >> 22, r.id & (paragraphs.PLACES - 1)) for r in paragraphs.repeats(frame).collect() if r.id != r.component_id}
+    places = {(r.doc_id, r.place) for r in paragraphs.repeats(frame).collect() if not r.kept}
     whole = {i: "\n".join(line for k, line in enumerate((t or "").split("\n")) if (i, k) not in places) for i, t in docs}
     left = {r.doc_id: r.text for r in paragraphs.drop_repeats(frame).collect()}
     check_passages({i: t or "" for i, t in docs}, whole, left)
@@ -261,7 +264,8 @@ def words_left(spark, texts, passage):
     """Words of the passage in what is left of each text, each occurrence counted, and op7's passage rows."""
     frame = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = {r.doc_id: W.findall(r.text) for r in paragraphs.drop_repeats(frame).collect()}
-    rows = sorted((r.doc_id, r.start, r.end, r.n_words, r.component_doc_id, r.kept) for r in passages.spans(frame.select("doc_id", "text")).collect())
+    lists = paragraphs._passages(frame, paragraphs._listed(paragraphs.repeats(frame)))
+    rows = sorted((r.doc_id, r.start, r.end, r.n_words, r.component_doc_id, r.kept) for r in paragraphs.spans(frame, lists).collect())
     return {i: sum(w in set(passage) for w in left.get(i, [])) for i in texts}, rows
 
 
@@ -292,15 +296,118 @@ def test_passage_nested_in_a_longer_one(spark, size):
 
 
 def test_places_of_one_hash_that_overlap_are_one(spark):
-    docs = spark.createDataFrame([(1, " ".join(["same"] * 5000)), (2, " ".join(["same"] * 300))], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, 1, " ".join(["same"] * 5000), None), (2, 1, " ".join(["same"] * 300), None)], "doc_id bigint, digest bigint, text string, gone array<bigint>")
     assert passages.fingerprints(docs).count() == 2
-    assert sorted((r.doc_id, r.kept) for r in passages.spans(docs).collect()) == [(1, True), (2, False)]
+    assert sorted((r.doc_id, r.runs[0]["first"]) for r in passages.repeated(docs).collect()) == [(1, True), (2, False)]
+
+
+def test_passage_twice_in_one_document(spark):
+    rnd = random.Random(8)
+    p, fresh = fresh_words(rnd, 80), lambda: " ".join(fresh_words(rnd, 60))
+    text = "\n".join([fresh() + " " + " ".join(p) + " " + fresh(), fresh() + " " + " ".join(p) + " " + fresh()])
+    left, rows = words_left(spark, {7: text}, p)
+    assert 80 <= left[7] < 80 + 2 * passages.SPREAD
+    assert [(r[0], r[5]) for r in rows] == [(7, True), (7, False)]
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("base", [0, 1 << 42, (1 << 62) + 5, -9])
+def test_substring_dedup_keys_rows_not_ids(spark, base):
+    rnd = random.Random(3)
+    w, v = (" ".join(fresh_words(rnd, 60)) for _ in range(2))
+    rows = [(base + 1, w), (base + 2, w + "\n" + v), (base + 2, v + "\nshort"), (base + 3, v), (base + 3, v), (None, w)]
+    docs = spark.createDataFrame([(i, t, "x", "y", len(t)) for i, t in rows], SCHEMA)
+    left = sorted(((r.doc_id, r.text, r.n_chars) for r in paragraphs.drop_repeats(docs).collect()), key=str)
+    kept = "\n".join(t for _, t, _ in left)
+    assert w in kept and v in kept and "short" in kept  # nothing goes without a copy that stays
+    assert sum(t.count(v) for i, t, _ in left) == 1 and sum(t.count(w) for i, t, _ in left if i is not None) == 1
+    assert all(n == len(t) for _, t, n in left)
+
+
+def test_substring_dedup_millions_of_lines(spark):
+    rnd = random.Random(4)
+    w = " ".join(fresh_words(rnd, 60))
+    docs = spark.createDataFrame([(5, "a\n" * 5_000_000 + w, "", "", 0), (6, w + "\nend", "", "", 0), (4, w, "", "", 0)], SCHEMA)
+    found = sorted((r.doc_id, r.start, r.end, r.component_doc_id, r.kept) for r in paragraphs.repeats(docs).collect())
+    assert found == [(4, 0, len(w), 4, True), (5, 10_000_000, 10_000_000 + len(w), 4, False), (6, 0, len(w), 4, False)]
+    left = {r.doc_id: r.text for r in paragraphs.drop_repeats(docs).collect()}
+    assert left == {4: w, 5: "a\n" * 4_999_999 + "a", 6: "end"}
+
+
+def test_substring_dedup_clashing_columns(spark):
+    w = " ".join(fresh_words(random.Random(5), 60))
+    names = ["gone", "cuts", "digest", "runs", "id", "node", "rep", "label", "cluster", "gone_", "cuts_", "digest_", "place", "start", "end", "h", "g", "component_id", "salt_hot", "n_hot"]
+    docs = spark.createDataFrame([(i, w + f"\nline {i}", *names) for i in (3, 4, 5)], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = paragraphs.drop_repeats(docs)
+    assert got.columns == docs.columns
+    rows = sorted(got.collect())
+    assert [r.text for r in rows] == [w + "\nline 3", "line 4", "line 5"] and all(list(r)[2:] == names for r in rows)
+
+
+def test_cut_text_by_force():
+    rnd = random.Random(6)
+    for _ in range(300):
+        lines = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(1, 6))]
+        text, places = "\n".join(lines), sorted(rnd.sample(range(len(lines)), rnd.randint(0, len(lines) - 1)))
+        ends = sorted(rnd.sample(range(len(text) + 1), 2 * min(2, (len(text) + 1) // 2)))
+        cuts = [(a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b]
+        want, at = [], 0
+        for k, line in enumerate(lines):
+            rest = "".join(c for i, c in enumerate(line, at) if not any(a <= i < b for a, b in cuts))
+            if k not in places and (rest == line or rest.strip()):
+                want.append(rest)
+            at += len(line) + 1
+        assert paragraphs.cut_text(text.encode(), places, iter(cuts)).decode() == "\n".join(want)
+
+
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_words_that_cancel_in_a_polynomial_differ(spark, n):
+    from strataloom.llm.words import Words
+    import pyarrow as pa
+
+    a, b = thue_morse(n)
+    words = Words(pa.array([a, b]))
+    assert words.hashes[0] != words.hashes[1]
+    docs = spark.createDataFrame([(1, f"one {a} two"), (2, f"one {b} two"), (3, f"one {a} two")], "id bigint, text string")
+    assert sorted((r.id, r.component_id) for r in hyperminhash.near_duplicates(docs, 3, 85, 100).collect()) == [(1, 1), (2, 2), (3, 1)]
+    runs = [list(x.replace("a", "xx ").replace("b", "yyy ").split()) for x in (a, b)]
+    long = Words(pa.array([" ".join(r) for r in runs]))
+    h = long.windows(40)[0]
+    assert len(set(h.tolist())) == len({tuple(r[i : i + 40]) for r in runs for i in range(len(r) - 39)})
+
+
+@pytest.mark.parametrize("n", [3, 6, 7, 8, 9, 10, 12, 16, 24, 40, 90, 200])
+def test_recall_of_bands_by_set_size(n):
+    """Pairs of sets at or just above 0.85, of equal and of different sizes: at least 0.999 share a band."""
+    rnd = np.random.default_rng(n)
+    rows, bands = hyperminhash.tune_bands(0.85)
+    missed = pairs = 0
+    for extra_a in range(0, 1 + n // 12):
+        for extra_b in range(1, n):
+            both = n - extra_a
+            if both <= 0 or both < 0.85 * (both + extra_a + extra_b):
+                break
+            if (extra_a, extra_b) not in {(0, 1), (1, 1), (0, 2)} and both >= 0.85 * (both + extra_a + extra_b + 1):
+                continue
+            pool = rnd.integers(0, 2**63, size=(2000, both + extra_a + extra_b), dtype=np.uint64)
+            a = hyperminhash.sketch([x[: both + extra_a] for x in pool], rows * bands)
+            b = hyperminhash.sketch([np.concatenate([x[:both], x[both + extra_a :]]) for x in pool], rows * bands)
+            missed += (~(hyperminhash.band_keys(a, rows, bands) == hyperminhash.band_keys(b, rows, bands)).any(axis=1)).sum()
+            pairs += len(pool)
+    assert missed <= 0.001 * pairs
 
 
 def test_pipeline(spark):
     import corpus_pipeline
-    from strataloom.llm import secrets
-    from pyspark.sql import functions as F
 
     rnd = random.Random(12)
     word = lambda: "".join(rnd.choice("aeioustn") for _ in range(rnd.randint(2, 8)))
