@@ -126,14 +126,17 @@ def _hot_limit(spark: SparkSession, total: int) -> int:
 def join_each(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with table, which has one row a key; a key of many rows is dealt over several tasks by a hash of `spread`.
 
-    total is about the number of rows, counts(keys, n) that of each key, if known. Hot keys are those of over twice a partition's share: fewer than partitions, so
+    total is about the number of rows, counts(keys, n) that of each key, if stored. Hot keys are those of over twice a partition's share: fewer than partitions, so
     their list is broadcast whatever the size of the corpus.
     """
     if total <= FEW:
         return rows.join(table, keys, how)
     limit = _hot_limit(rows.sparkSession, total)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    known = counts is not None
+    counts = counts if known else rows.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("n_hot"))
+    if known and hot.isEmpty():
+        return rows.join(table, keys, how)
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt_hot", F.coalesce(F.pmod(F.xxhash64(spread), "n_hot").cast("int"), F.lit(0))).drop("n_hot")
     dealt = table.join(F.broadcast(hot), keys, "left").withColumn("salt_hot", F.explode(F.sequence(F.lit(0), F.coalesce("n_hot", F.lit(1)) - 1))).drop("n_hot")
     return salted.join(dealt, [*keys, "salt_hot"], how).drop("salt_hot")
@@ -203,6 +206,7 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     if large:
         near = near.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
     least = near.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"), F.count("*").alias("n"))
+    least = durable(least) if 2 * total > FEW else least
     tied = join_each(near, least.select("x", "m"), ["x"], "y", 2 * total, counts=least.select("x", "n"))
     if large:
         out = tied.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))

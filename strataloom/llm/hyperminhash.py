@@ -263,9 +263,8 @@ def links(classes: DataFrame, sets, num: int, den: int) -> DataFrame:
     sets(nodes) gives (node, registers, shingles) of durable nodes(node), one row for each class.
     """
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("n")).where("lead < last")
-    total = classes.agg(F.sum(F.size("bands"))).first()[0] or 0
-    met = common.join_each(keys, lead.select("key", "lead"), ["key"], "rep", total, counts=lead.select("key", "n"))
+    lead = common.durable(keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    met = common.join_each(keys, lead.select("key", "lead"), ["key"], "rep", lead.agg(F.sum("n")).first()[0] or 0, counts=lead.select("key", "n"))
     near = common.durable(met.where("rep <> lead").select(F.col("lead").alias("src"), F.col("rep").alias("dst")).distinct())
     n_near = near.count()
     if not n_near:
@@ -299,24 +298,31 @@ def _same_id(some: DataFrame, reps: DataFrame) -> DataFrame:
     return held.join(least, "id").where("rep <> src").select("src", F.col("rep").alias("dst")).distinct()
 
 
+#: Labels up to this number are broadcast, about 15 MB; more are joined by a shuffle.
+BROADCAST_LABELS = 250_000
+
+
 def near_rows(sk: DataFrame, sets, num: int, den: int, same_id: bool = False) -> DataFrame:
-    """sk and the component_id of each row, null for an empty set or a null id. sk(id, n_shingles, fp_a, fp_b, bands) is durable.
+    """The rows of sk that others equal or are linked with, and their component_id.
 
-    sets(nodes, classes) gives (node, registers, shingles) of the classes(node, n_shingles, fp_a, fp_b) of durable nodes(node).
+    sk(id, n_shingles, fp_a, fp_b, bands) is durable. sets(nodes, classes) gives (node, registers, shingles) of the
+    classes(node, n_shingles, fp_a, fp_b) of durable nodes(node).
     """
     digest = ["n_shingles", "fp_a", "fp_b"]
     some = sk.where("n_shingles > 0 and id is not null")
-    reps = common.durable(some.groupBy(*digest).agg(F.min("id").alias("rep")))
-    # one row for each class, with the bands of its least row; rows of a class have the same bands
-    classes = common.durable(some.join(reps.withColumnRenamed("rep", "id"), ["id", *digest], "left_semi").select(F.col("id").alias("rep"), *digest, "bands").dropDuplicates(["rep", *digest]))
-
+    # rows of a class have the same bands; its representative is its least id
+    classes = common.durable(some.groupBy(*digest).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    reps = classes.select("rep", *digest)
     edges = links(classes, lambda nodes: sets(nodes, classes.select(F.col("rep").alias("node"), *digest).join(nodes, "node", "left_semi")), num, den)
     if same_id:
         edges = edges.unionByName(_same_id(some, reps))
     label = common.components(edges).withColumnRenamed("node", "rep")
-    labels = reps.join(label, "rep", "left").select(*digest, F.coalesce("component_id", "rep").alias("component_id"))
-    found = common.join_each(sk.drop("bands"), labels, digest, "id", sk.count(), "left")
-    return found.withColumn("component_id", F.expr("if(n_shingles > 0 and id is not null, component_id, null)"))
+    labels = classes.select("rep", *digest, "n").join(label, "rep", "left").where("n > 1 or component_id is not null")
+    labels = common.durable(labels.select(*digest, "n", F.coalesce("component_id", "rep").alias("component_id")))
+    rows, table = some.drop("bands"), labels.drop("n")
+    if labels.count() <= BROADCAST_LABELS:
+        return rows.join(F.broadcast(table), digest)
+    return common.join_each(rows, table, digest, "id", labels.agg(F.sum("n")).first()[0], counts=labels.drop("component_id"))
 
 
 def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float = MISS, most: int = MOST_REGISTERS) -> DataFrame:
@@ -337,8 +343,12 @@ def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float
         made = source.sets(some, size, rows * bands).withColumnRenamed("id", "node")
         return made.join(classes, ["node", *digest], "left_semi").groupBy("node", *digest).agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles")).drop(*digest)
 
-    found = near_rows(sk, sets, num, den, same_id=True)
-    out = common.durable(found.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+    found = near_rows(sk, sets, num, den, same_id=True).select("id", "n_shingles", "component_id")
+    found = common.durable(found)
+    ids = common.durable(found.groupBy("id").agg(F.min("component_id").alias("component_id")))
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids
+    whole = sk.select("id", "n_shingles").join(few, "id", "left")  # an id has one component, whatever its texts
+    out = common.durable(whole.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")))
     common.drop_scratch(start, keep=(out,))
     return out
 

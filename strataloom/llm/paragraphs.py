@@ -82,9 +82,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         few = F.broadcast(held) if held.count() <= common.BROADCAST_IDS // 4 else held
         return made.join(few, KEY).groupBy(F.col("id").alias("node")).agg(F.first("registers").alias("registers"), F.first("shingles").alias("shingles"))
 
-    found = common.durable(hyperminhash.near_rows(sk, sets, NUM, DEN).where("component_id is not null").select(*KEY, "start", "end", "n_words", "component_id").distinct())
-    first = found.groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("n"))
-    met = common.join_each(found, first.where("n > 1").select("component_id", "first"), ["component_id"], "digest", found.count(), counts=first.select("component_id", "n"))
+    found = common.durable(hyperminhash.near_rows(sk, sets, NUM, DEN).select(*KEY, "start", "end", "n_words", "component_id").distinct())
+    first = common.durable(found.groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    met = common.join_each(found, first.select("component_id", "first"), ["component_id"], "digest", found.count(), counts=first.select("component_id", "n"))
     out = common.durable(met.select(*KEY, "start", "end", "n_words", F.col("first.doc_id").alias("component_doc_id"), (F.struct(*KEY) == F.col("first")).alias("kept")))
     common.drop_scratch(start, keep=(out,))
     return out

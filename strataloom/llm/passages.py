@@ -82,16 +82,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 first, last = places(h, at, owner)
                 at, owner, rows = at[first], owner[first], pa.array(owner[first])
                 ints = [at - words.word_at[owner], last - at + RUN]
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].astype(np.uint32).view(np.int32)), *[k[a:b].take(rows) for k in keys], *[pa.array(x) for x in ints]], ["h", "g", "doc_id", "digest", "word", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].astype(np.uint32).view(np.int32)), *[k[a:b].take(rows) for k in keys], *[pa.array(x.astype(np.int32)) for x in ints]], ["h", "g", "doc_id", "digest", "word", "words"])
 
-    return docs.select("doc_id", "digest", "text", "gone").mapInArrow(run, "h bigint, g int, doc_id bigint, digest bigint, word bigint, words bigint")
+    return docs.select("doc_id", "digest", "text", "gone").mapInArrow(run, "h bigint, g int, doc_id bigint, digest bigint, word int, words int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, runs): each document's runs with more than one place; runs of (word, words, lead_id, first)."""
-    keys = common.durable(fingerprints(docs).withColumn("lead", F.struct("doc_id", "digest", "word")))
-    lead = keys.groupBy("h", "g").agg(F.min("lead").alias("first"), F.max("lead").alias("last"), F.count("*").alias("n")).where("first < last")
-    met = common.join_each(keys, lead.select("h", "g", "first"), ["h", "g"], "lead", keys.count(), counts=lead.select("h", "g", "n"))
+    keys = common.durable(fingerprints(docs))
+    many = common.durable(keys.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1"))
+    few = F.broadcast(many.select("h", "g")) if many.count() <= common.BROADCAST_IDS // 2 else many
+    some = common.durable(keys.join(few, ["h", "g"], "left_semi"))
+    place = F.struct("doc_id", "digest", "word")
+    first = some.groupBy("h", "g").agg(F.min(place).alias("first"))
+    met = common.join_each(some, first, ["h", "g"], "word", some.count(), counts=many).withColumn("lead", place)
     run = F.struct("word", "words", F.col("first.doc_id").alias("lead_id"), (F.col("first") == F.col("lead")).alias("first"))
     return met.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(run)).alias("runs"))  # one document's
 
