@@ -9,7 +9,8 @@ Output: one segment per message, in order, with its place in the formatted conve
 one after the other, so one of any length needs no more memory than a batch.
 
 Defined results: a null text counts as empty, a null role too; messages are ordered by turn (nulls first), then role,
-then text; repeated messages are all kept; a null conv_id is a conversation of its own; a part of unknown kind raises.
+then text; repeated messages are all kept; a null conv_id is a conversation of its own;
+a part of unknown kind is an attachment of kind `other` without tokens, and its parts, if any, are visited.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 CONTENT = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int,parts:array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>>>"
 SEGMENT = "conv_id bigint, turn bigint, role string, segment string, loss_start bigint, loss_end bigint, attachments array<struct<ordinal:int,kind:string,ref:string,tokens:bigint>>, expanded_tokens bigint"
 
-ESCAPED = re.compile(r"\\|<(?=/?(?:turn|image|audio|document)\b)")
+ESCAPED = re.compile(r"\\|<(?=/?(?:turn|image|audio|document|other)\b)")
 UNESCAPED = re.compile(r"\\([\\<])")
 HEADER = re.compile(r'<turn role=("(?:[^"\\]|\\.)*")>\n')
 CLOSE = "\n</turn>\n"
@@ -51,10 +52,7 @@ class Flatten:
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
-        method = getattr(self, f"visit_{part['type']}", None)
-        if method is None:
-            raise ValueError(f"unknown content part: {part['type']!r}")
-        method(part)
+        getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.body.append(escape(part.get("text") or ""))
@@ -71,6 +69,11 @@ class Flatten:
         for inner in part.get("parts") or []:
             self.visit(inner)
 
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 0)
+        for inner in part.get("parts") or []:
+            self.visit(inner)
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.attachments.append({"ordinal": len(self.attachments), "kind": kind, "ref": part.get("ref"), "tokens": tokens})
         self.body.append(f"<{kind} {len(self.attachments) - 1}>")
@@ -181,7 +184,7 @@ def op1_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(messages))
 
 
-_ESCAPED_SQL = r"regexp_replace(text, '(\\|<(/?(turn|image|audio|document)\b))', '\\\1', 'g')"
+_ESCAPED_SQL = r"regexp_replace(text, '(\\|<(/?(turn|image|audio|document|other)\b))', '\\\1', 'g')"
 OP1_SQL = f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

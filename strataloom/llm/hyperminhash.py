@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, size: int, num: int, den: int, miss: float
     found = common.durable(found)
     ids = common.durable(found.groupBy("id").agg(F.min("component_id").alias("component_id")))
     few = F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids
-    whole = sk.select("id", "n_shingles").join(few, "id", "left")  # an id has one component, whatever its texts
+    rows = sk.select("id", "n_shingles")  # an id has one component, whatever its texts
+    whole = rows.where("id is not null").join(few, "id", "left").unionByName(rows.where("id is null"), allowMissingColumns=True)
     out = common.durable(whole.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")))
     common.drop_scratch(start, keep=(out,))
     return out

@@ -2,9 +2,13 @@
 
 A multinomial logistic regression on sparse word n-grams is trained on the driver from the fixed notices below, their
 wordings and counter-examples. It is exported as a table of n-gram weights; paragraphs with a cue word are split into
-n-grams, joined to that table and summed. The probability is calibrated by a temperature that is fitted on wordings
-left out of the training; below a threshold, or if no template of the predicted family is contained well enough, the
-paragraph's family is unknown.
+n-grams, joined to that table and summed. The probability is calibrated by a temperature that is fitted on notices none
+of whose wordings were trained on; below a threshold, or if no template of the predicted family is contained well
+enough, the paragraph's family is unknown.
+
+A paragraph is a line, and beside its lines a wrapped paragraph: lines that follow each other up to a blank line or to
+one that ends a sentence, read as one. Every notice and template of a family has a cue word, as CUES lists the words
+without which none of them can be confirmed; so paragraphs without one need no score.
 
 Defined results: a null text has no paragraphs; a paragraph without a cue word gives no row, nor does one without
 n-grams of the model; rows may repeat and are all reported; an empty table gives no row.
@@ -17,7 +21,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,26 +38,33 @@ NOTICES = {
         "Released under the MIT License.",
         "Licensed under the MIT license. See LICENSE for details.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, subject to the following conditions:",
         "SPDX-License-Identifier: MIT",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "This software is distributed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Licensed under the BSD 2-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GPLv3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the LGPLv2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -95,10 +106,10 @@ def ngrams(words: list[str]) -> list[str]:
 
 
 def wordings() -> list[tuple[str, int, int]]:
-    """(text, class, fold): each notice as it is and in other surroundings; the last class is unknown."""
+    """(text, class, fold): each notice as it is and in other surroundings, all in one fold; the last class is unknown."""
     frames = ["{}", "Copyright (c) 2020 The Authors. {}", "{} See the file for details.", "# {}", "Note: {}", "{} You may obtain a copy of it on request."]
-    out = [(frame.format(notice), k, i % 3) for k, family in enumerate(FAMILIES) for notice in NOTICES[family] for i, frame in enumerate(frames)]
-    return out + [(frame.format(text), len(FAMILIES), i % 3) for text in COUNTER for i, frame in enumerate(frames)]
+    out = [(frame.format(notice), k, i % 3) for k, family in enumerate(FAMILIES) for i, notice in enumerate(NOTICES[family]) for frame in frames]
+    return out + [(frame.format(text), len(FAMILIES), i % 3) for i, text in enumerate(COUNTER) for frame in frames]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -151,8 +162,20 @@ def model() -> Model:
     return _model[0]
 
 
+#: A line feed inside a wrapped paragraph: after a line that ends no sentence, before one that isn't blank.
+_WRAP = r"(?<=[^\s.!?:;])[ \t\r]*\n(?=[ \t]*\S)"
+
+
+def paragraphs(text: Column) -> Column:
+    """array of (kind, paragraph, n_lines, text): every line, and every wrapped paragraph of two lines or more, each by its place among its kind."""
+    line = lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("paragraph"), F.lit(1).alias("n_lines"), x.alias("text"))
+    wrapped = lambda x, i: F.struct(F.lit("wrapped").alias("kind"), i.alias("paragraph"), F.size(F.split(x, "\x01")).alias("n_lines"), F.translate(x, "\x01", " ").alias("text"))
+    joined = F.regexp_replace(F.translate(text, "\x01", " "), _WRAP, "\x01")
+    return F.concat(F.transform(F.split(text, "\n", -1), line), F.filter(F.transform(F.split(joined, "\n", -1), wrapped), lambda p: p["n_lines"] > 1))
+
+
 def scan(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
-    """(doc_id, paragraph, text, family, probability, template_share) of every paragraph with a cue and a known n-gram."""
+    """(doc_id, kind, paragraph, n_lines, text, family, probability, template_share) of every paragraph with a cue and a known n-gram."""
     m = fitted or model()
     spark = docs.sparkSession
     classes = [*FAMILIES, UNKNOWN]
@@ -163,7 +186,7 @@ def scan(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
     grams = spark.createDataFrame([(g, [float(v) for v in m.w[i]]) for g, i in m.index.items()], "gram string, w array<double>")
     shapes = spark.createDataFrame([(f, t) for f, ts in templates.items() for t in ts], "family string, template array<string>").groupBy("family").agg(F.collect_list("template").alias("templates"))
     cue = F.col("text").rlike(CUES)
-    each = docs.where(cue).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text")).where(cue).withColumn("row", F.monotonically_increasing_id())
+    each = docs.where(cue).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p")).select("doc_id", "p.kind", "p.paragraph", "p.n_lines", "p.text").where(cue).withColumn("row", F.monotonically_increasing_id())
     words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     runs = lambda n: F.expr(f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' ')), array())")
     held = common.durable(each.withColumn("words", words).withColumn("grams", F.array_distinct(F.concat(*[runs(n) for n in (1, 2, 3)]))).drop("words"))
@@ -175,7 +198,7 @@ def scan(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
     out = held.join(scored.select("row", "probability", "guess"), "row").join(F.broadcast(shapes), F.col("guess") == F.col("family"), "left")
     share = F.coalesce(F.expr("array_max(transform(templates, t -> size(array_intersect(t, grams)) / size(t)))"), F.lit(0.0))
     sure = (F.col("probability") >= LEAST_PROBABILITY) & (share >= LEAST_TEMPLATE)
-    return out.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), "text", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", share.alias("template_share"))
+    return out.select("doc_id", "kind", F.col("paragraph").cast("bigint").alias("paragraph"), F.col("n_lines").cast("bigint").alias("n_lines"), "text", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", share.alias("template_share"))
 
 
 def op3_licence_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,13 +40,13 @@ def _kind(k: int) -> str:
     name, pattern, group, least, _ = secrets.KINDS[k]
     p = pattern.replace("'", "''")
     secret = f"regexp_extract(hits[i], '{p}', {group})" if group else "hits[i]"
-    return f"""SELECT row, owner, {k} AS kind, '{name}' AS name, CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) AS BIGINT) AS b, length(hits[i]) AS size, {secret} AS secret
-FROM (SELECT row, owner, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT row, owner, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM docs_)) WHERE length({secret}) >= {least}"""
+    return f"""SELECT row, owner, repository, {k} AS kind, '{name}' AS name, CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) AS BIGINT) AS b, length(hits[i]) AS size, {secret} AS secret
+FROM (SELECT row, owner, repository, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT row, owner, repository, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM docs_)) WHERE length({secret}) >= {least}"""
 
 
-OP5 = f"""WITH docs_ AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+OP5 = f"""WITH docs_ AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository, coalesce(text, '') AS t FROM documents),
 found AS ({' UNION ALL '.join(f'({_kind(k)})' for k in range(len(secrets.KINDS)))}),
-judged AS (SELECT found.*, name || ':' || b || ':' || (b + size) AS span, live FROM found JOIN (SELECT secret, count(DISTINCT owner) < {secrets.WIDE_OWNERS} AS live FROM found GROUP BY 1) USING (secret))
+judged AS (SELECT found.*, name || ':' || b || ':' || (b + size) AS span, live FROM found JOIN (SELECT secret, count(DISTINCT owner) < {secrets.WIDE_OWNERS} AND count(DISTINCT repository) < {secrets.WIDE_REPOSITORIES} AS live FROM found GROUP BY 1) USING (secret))
 SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = {k}) AS n_{secrets.BASE[k][0]}" for k in range(len(secrets.BASE)))},
   sha256(coalesce(string_agg(span, ',' ORDER BY b, kind) FILTER (kind < {len(secrets.BASE)}), '')) AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY b, kind) FILTER (kind < {len(secrets.BASE)} OR live), '') AS spans,

@@ -151,26 +151,32 @@ def fit(patterns: dict[int, int], k: int) -> np.ndarray:
     return post[:, 1]
 
 
-def verdicts(counts: dict[str, np.ndarray], posterior: np.ndarray, rules=RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """base_failed, quality, kept."""
-    failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-    quality = posterior[pattern_of(votes(counts, rules))]
-    return failed, quality, ~failed & (quality >= KEEP_FROM)
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
-def score(docs: DataFrame, rules=RULES) -> DataFrame:
-    """One row per document with its base counts, base_failed, quality and kept. Two passes over the texts, no shuffle of them."""
-    posterior = fit(pattern_counts(docs, rules), len(rules))
+def counted(docs: DataFrame, rules=RULES) -> DataFrame:
+    """(doc_id, the base counts, base_failed, pattern) of every row; durable, so that texts are read once."""
+    common.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             texts = common.text_column(batch.column(1))
             for a, b in common.chunks(texts):
                 c = counts_of(texts[a:b])
-                failed, quality, kept = verdicts(c, posterior, rules)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *[pa.array(c[name].astype(np.int64)) for name in COUNTS[:5]], pa.array(failed), pa.array(kept), pa.array(quality)], ["doc_id", *COUNTS[:5], "base_failed", "kept", "quality"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *[pa.array(c[name].astype(np.int64)) for name in COUNTS[:5]], pa.array(base_failed(c)), pa.array(pattern_of(votes(c, rules)))], ["doc_id", *COUNTS[:5], "base_failed", "pattern"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, quality double")
+    return common.durable(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, pattern bigint"))
+
+
+def score(docs: DataFrame, rules=RULES) -> DataFrame:
+    """One row per document with its base counts, base_failed, quality and kept. One pass over the texts, no shuffle of rows."""
+    held = counted(docs, rules)
+    patterns = {r.pattern: r.n for r in held.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 3 ** rules at most
+    posterior = fit(patterns, len(rules))
+    table = docs.sparkSession.createDataFrame([(p, float(posterior[p])) for p in sorted(patterns)], "pattern bigint, quality double")
+    kept = ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)
+    return held.join(F.broadcast(table), "pattern").select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "quality")
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -182,7 +188,8 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
         for batch in batches:
             texts = common.text_column(batch.column(at))
             for a, b in common.chunks(texts):
-                yield batch.slice(a, b - a).filter(pa.array(verdicts(counts_of(texts[a:b]), posterior, rules)[2]))
+                c = counts_of(texts[a:b])
+                yield batch.slice(a, b - a).filter(pa.array(~base_failed(c) & (posterior[pattern_of(votes(c, rules))] >= KEEP_FROM)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership, in DataFrame operations only.
 
 Patterns find candidates in whole texts; a match's place comes from the lengths of what lies between the matches. The
-secret of each candidate is hashed and counted over distinct owners and repositories: one that many owners hold is an
-example that gets copied around, one that few hold looks live. Base kinds are always reported; further kinds are
+secret of each candidate is hashed and counted over distinct owners and repositories: one that many owners or very many
+repositories hold is an example that gets copied around, one that few hold looks live. The test tables tell no owner and
+no repository; there a document's source is its owner, and its language within the source the repository. Base kinds are always reported; further kinds are
 reported where they look live.
 
 Defined results: a null text counts as empty; a null owner or repository counts as one; rows may repeat and are all
@@ -30,8 +31,8 @@ MORE = [
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}", 0, 40, "PRIVATE KEY-----"),
 ]
 KINDS = BASE + MORE
-#: A secret that at least so many owners hold is an example.
-WIDE_OWNERS = 5
+#: A secret that at least so many owners, or so many of their repositories, hold is an example.
+WIDE_OWNERS, WIDE_REPOSITORIES = 5, 12
 
 
 def _found(text: Column, kind: int) -> Column:
@@ -50,11 +51,11 @@ def _found(text: Column, kind: int) -> Column:
     return F.when(passes, F.transform(hits, one)).otherwise(none)
 
 
-def candidates(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
-    """(row, doc_id, owner, repository, found) of every document, durable and without its text."""
+def candidates(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
+    """(row, doc_id, owner, repository, found) of every document, durable and without its text. A repository is one within its owner."""
     text = F.coalesce("text", F.lit(""))
     found = F.flatten(F.array(*[_found(text, k) for k in range(len(KINDS))]))
-    return common.durable(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), found.alias("found")))
+    return common.durable(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.concat_ws("/", F.coalesce(F.col(owner).cast("string"), F.lit("")), F.coalesce(F.col(repository).cast("string"), F.lit(""))).alias("repository"), found.alias("found")))
 
 
 def located(held: DataFrame) -> DataFrame:
@@ -66,16 +67,20 @@ def located(held: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(secret, owners, repositories, live): over distinct pairs, so a third of all rows may be of one owner."""
-    pairs = spans.select("secret", "owner", "repository").distinct()
-    counts = pairs.groupBy("secret").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    return counts.withColumn("live", F.col("owners") < WIDE_OWNERS)
+    """(secret, n, owners, repositories, live): over distinct pairs, so a third of all rows may be of one owner.
+
+    What few owners hold looks live, unless so many repositories hold it that it can only be an example.
+    """
+    pairs = spans.groupBy("secret", "owner", "repository").agg(F.count("*").alias("n"))
+    counts = pairs.groupBy("secret").agg(F.sum("n").alias("n"), F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
+    return counts.withColumn("live", (F.col("owners") < WIDE_OWNERS) & (F.col("repositories") < WIDE_REPOSITORIES))
 
 
 def judged(held: DataFrame) -> DataFrame:
-    """located() with what ownership says of each secret, durable."""
-    spans = located(held)
-    return common.durable(spans.join(ownership(spans), "secret"))
+    """located() with what ownership says of each secret, durable. A secret that many rows hold is dealt over several tasks."""
+    spans = common.durable(located(held))
+    known = common.durable(ownership(spans))
+    return common.durable(common.join_each(spans, known.drop("n"), ["secret"], "row", spans.count(), counts=known.select("secret", "n")))
 
 
 _NAMES = "array(" + ",".join(f"'{k[0]}'" for k in KINDS) + ")"
@@ -102,8 +107,8 @@ def report(held: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
-    """docs with every reported span replaced by [secret]; all columns stay. Texts without a candidate are not shuffled.
+def redact(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
+    """docs with every reported span replaced by [secret]; all columns stay, whatever their names. Texts without a candidate are not shuffled.
 
     Spans follow from a text alone and from who holds its secrets, so they are tied to texts by their digest.
     """
@@ -116,15 +121,17 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "source") -
         case when size(a) > 0 and x.begin < element_at(a, -1).end
              then concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, x.end))))
              else concat(a, array(named_struct('begin', x.begin, 'end', x.end))) end)""")
-    per = spans.select("doc_id", "begin", "end").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("bigint").alias("begin"), F.col("end").cast("bigint").alias("end")))).alias("s")).select(F.col("doc_id").alias("digest_"), merged.alias("cuts_"))
-    clean = F.expr("""concat(
-        array_join(transform(sequence(0, size(cuts_) - 1), i -> concat(
-            substring(text, cast(if(i = 0, 0L, get(cuts_, i - 1).end) + 1 as int), cast(get(cuts_, i).begin - if(i = 0, 0L, get(cuts_, i - 1).end) as int)), '[secret]')), ''),
-        substring(text, cast(element_at(cuts_, -1).end + 1 as int), length(text)))""")
-    put = some.withColumn("digest_", F.sha2("text", 256)).join(per, "digest_", "left").withColumn("text", F.when(F.size("cuts_") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    digest, cuts = (common.fresh(c, docs.columns) for c in ("digest", "cuts"))
+    per = spans.select("doc_id", "begin", "end").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("begin").cast("bigint").alias("begin"), F.col("end").cast("bigint").alias("end")))).alias("s")).select(F.col("doc_id").alias(digest), merged.alias(cuts))
+    clean = F.expr(f"""concat(
+        array_join(transform(sequence(0, size({cuts}) - 1), i -> concat(
+            substring(text, cast(if(i = 0, 0L, get({cuts}, i - 1).end) + 1 as int), cast(get({cuts}, i).begin - if(i = 0, 0L, get({cuts}, i - 1).end) as int)), '[secret]')), ''),
+        substring(text, cast(element_at({cuts}, -1).end + 1 as int), length(text)))""")
+    cut = F.size(cuts) > 0
+    put = some.withColumn(digest, F.sha2("text", 256)).join(per, digest, "left").withColumn("text", F.when(cut, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        put = put.withColumn("n_chars", F.length("text").cast("bigint"))
-    return docs.where(~hit).unionByName(put)
+        put = put.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return docs.where(~hit).unionByName(put.select(*common.quoted(docs.columns)))
 
 
 def op5_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Toxicity by weak supervision.
 
-Lexicon voters (whole words) and pattern voters (beginnings of words) are learnt from labelled rows outside the held-out
-quarter. A generative label model estimates how often each votes on toxic and on clean texts by expectation-maximisation,
-and how the voters depend on each other: a voter's weight is the inverse of its summed residual correlations, so nested
-or joint voters count once. A logistic regression on the votes is trained on the posterior labels; it scores every text.
+Voters are lexicon entries (whole words), pattern voters (words that only begin with an entry, two-word phrases), and
+words and beginnings that labelled rows outside the held-out quarter show to be far more frequent in toxic texts. A
+generative label model estimates by expectation-maximisation how often each voter and the annotator vote on toxic and
+on clean texts, and how voters depend on each other in either class: a voter's weight is the inverse of its summed
+residual correlations, so nested or joint voters count once. The annotator's label is one more voter, whose accuracies
+are estimated with the others from a prior; none of the accuracies is fixed. A logistic regression on the votes is
+trained on the posterior labels; it scores every text.
 
-At most SAMPLE labelled rows, chosen by a hash of doc_id, are used for the fit; that bound is the only one. Scores use
-the text alone.
+At most SAMPLE labelled rows, chosen by a hash of doc_id, are used for the fit, and at most VOTERS voters are taken from
+them; these bounds are the only ones. Scores use the text alone.
 
 Defined results: a null text counts as empty; an empty text has the score of a text without votes; a null doc_id isn't
 held out and is never learnt from; labels that contradict each other count as toxic; without labels of both kinds every
@@ -25,6 +28,16 @@ from .words import U64, Words, mix
 
 SAMPLE = 20_000
 VOTERS = 512
+# Insults by language, and phrases that are meant for a reader.
+LEXICON = """
+idiot moron imbecile stupid dumb fool jerk loser clown scum trash garbage filth vermin worthless useless pathetic
+disgusting repulsive vile despicable ugly creep freak pervert liar coward traitor scumbag dirtbag bastard bitch asshole
+shit fuck damn crap retard hate kill
+dumm dumm idiotisch blöd trottel depp arschloch scheisse scheiße abschaum wertlos ekelhaft widerlich lügner versager
+idiota estúpido estúpida imbécil basura escoria inútil patético patética asqueroso asquerosa mierda cabrón perdedor
+stupide imbécile crétin ordure déchet inutile pathétique dégoûtant dégoûtante minable salaud merde connard nul
+""".split()
+PHRASES = ["shut up", "go away", "drop dead", "get lost", "halt maul", "halt's maul", "verpiss dich", "cállate ya", "vete ya", "ferme la", "ta gueule"]
 #: Bytes of the beginnings that pattern voters look at.
 BEGINNINGS = (4, 5, 6, 7)
 #: A voter is seen in at least so many toxic rows, and so much more often than in clean ones.
@@ -40,21 +53,36 @@ def fold(doc_id: F.Column) -> F.Column:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of every word and beginning, with repeats."""
+    """(owner, hash) of every word, beginning and pair of words, with repeats."""
     words = Words(texts, lower=True, hashed=False)
     starts, ends = words.starts, words.ends.copy()
     owner = np.repeat(np.arange(len(texts)), words.counts())
     for _ in range(2):  # up to two marks at the end, one at the beginning
         ends -= (ends - starts > 1) & _TRIM[words.data[ends - 1]]
     starts = starts + ((ends - starts > 1) & _TRIM[words.data[starts]])
-    out = [(owner, words.hash_spans(starts, ends))]
+    whole = words.hash_spans(starts, ends)
+    out = [(owner, whole)]
     for k in BEGINNINGS:
         at = np.flatnonzero(ends - starts > k)
         with np.errstate(over="ignore"):
             out.append((owner[at], mix(words.hash_spans(starts[at], starts[at] + k) + U64(k))))
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    with np.errstate(over="ignore"):
+        out.append((owner[at], mix(whole[at] * U64(0xD6E8FEB86659FD93) + whole[at + 1])))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+def fixed_voters() -> np.ndarray:
+    """Hashes of lexicon entries, of beginnings that are entries, and of phrases."""
+    entries = sorted(set(LEXICON))
+    words = Words(pa.array(entries), lower=True)
+    size = (words.ends - words.starts).astype(np.int64)
+    with np.errstate(over="ignore"):
+        stems = mix(words.hashes + size.astype(U64))[np.isin(size, BEGINNINGS)]
+    phrases = features(pa.array(PHRASES))[1][-len(PHRASES) :]  # of two words each; pairs come last
+    return np.unique(np.concatenate([words.hashes, stems, phrases]))
+
+
 class Lookup:
     """Places of hashes in a sorted list of them."""
 
@@ -83,7 +111,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def choose_voters(sample: DataFrame) -> np.ndarray:
-    """Hashes of the features that tell toxic rows apart, VOTERS at most."""
+    """Hashes of the fixed voters and of the features that tell toxic rows apart, VOTERS of these at most."""
 
     def toxic_counts(batches):
         for batch in batches:
@@ -121,35 +149,49 @@ def choose_voters(sample: DataFrame) -> np.ndarray:
     worth = 2 * positive * np.log(np.maximum(positive / np.maximum(seen_by, 1), 1e-12) / base)
     good = np.flatnonzero((share1 >= LEAST_LIFT * share0) & (worth >= 2 * np.log(max(len(some), 2))))
     worth = worth[good]
-    return lookup.keys[np.sort(good[np.lexsort((lookup.keys[good], -worth))[:VOTERS]])]
+    return np.union1d(fixed_voters(), lookup.keys[good[np.lexsort((lookup.keys[good], -worth))[:VOTERS]]])
+
+
+#: What the annotator is believed to do at first: votes on toxic and on clean rows. The belief counts for half of the rows.
+ANNOTATOR, BELIEF = (0.85, 0.01), 0.5
+ROUNDS, CORRELATED = 25, 0.05
+
+
+def discounts(dense: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """For each voter the sum of its positive residual correlations with the others, in the class of these row weights."""
+    total = max(float(weights.sum()), 1e-9)
+    together = (dense * weights[:, None].astype(dense.dtype)).T @ dense / total
+    spread = np.sqrt(np.maximum(theta * (1 - theta), 1e-9))
+    residual = (together - np.outer(theta, theta)) / np.outer(spread, spread)
+    np.fill_diagonal(residual, 0)
+    return np.where(residual > CORRELATED, residual, 0).sum(axis=1)
 
 
 def label_model(owner: np.ndarray, voter: np.ndarray, toxic: np.ndarray, k: int) -> np.ndarray:
-    """Posterior probability of `toxic` of each row from its votes. The label is one more voter, of fixed accuracies."""
+    """Posterior probability of `toxic` of each row from its votes and its label, which is voter k."""
     n = len(toxic)
+    dense = np.zeros((n, k + 1), dtype=np.float32)
+    dense[owner, voter] = 1
+    dense[:, k] = toxic
     post = np.where(toxic > 0, 0.9, 0.02)
-    some = np.unique(owner)
-    dense = np.zeros((len(some), k), dtype=np.int32)
-    dense[np.searchsorted(some, owner), voter] = 1
-    both = dense[toxic[some] > 0]
-    m = max(len(both), 1)
-    rate = both.mean(axis=0) if len(both) else np.zeros(k)
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-    residual = (both.T @ both / m - np.outer(rate, rate)) / np.outer(spread, spread)
-    weight = 1 / np.maximum(np.where(residual > 0.05, residual, 0).sum(axis=1), 1)
-    prior = (toxic.sum() + 1) / (n + 2)
-    annotator = np.log(prior / (1 - prior)) + np.where(toxic > 0, np.log(0.9 / 0.01), np.log(0.1 / 0.99))
-    for _ in range(25):
+    weight = np.ones(k + 1)
+    for r in range(ROUNDS):
         p1, p0 = post.sum(), (1 - post).sum()
-        theta1 = (np.bincount(voter, post[owner], k) + 0.5) / (p1 + 1)
-        theta0 = (np.bincount(voter, 1 - post[owner], k) + 0.5) / (p0 + 1)
+        theta1, theta0 = (dense.T @ post + 0.5) / (p1 + 1), (dense.T @ (1 - post) + 0.5) / (p0 + 1)
+        theta1[k] = (theta1[k] + BELIEF * ANNOTATOR[0]) / (1 + BELIEF)
+        theta0[k] = (theta0[k] + BELIEF * ANNOTATOR[1]) / (1 + BELIEF)
         theta1 = np.maximum(theta1, 1.5 * theta0)  # a voter never speaks for clean
+        if r % 5 == 0:
+            shared = np.maximum(discounts(dense[:, :k], post, theta1[:k]), discounts(dense[:, :k], 1 - post, theta0[:k]))
+            weight[:k] = 1 / (1 + shared)  # the annotator reads the text, not the votes
         llr1, llr0 = np.log(theta1 / theta0), np.log((1 - np.minimum(theta1, 0.999)) / (1 - np.minimum(theta0, 0.99)))
-        logit = annotator + (weight * llr0).sum() + np.bincount(owner, (weight * (llr1 - llr0))[voter], n)
+        prior = (p1 + 1) / (n + 2)
+        logit = np.log(prior / (1 - prior)) + (weight * llr0).sum() + dense @ (weight * (llr1 - llr0))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            break
+        done = np.abs(new - post).max() < 1e-6
         post = new
+        if done:
+            break
     return post
 
 

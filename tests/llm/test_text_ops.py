@@ -73,8 +73,9 @@ def test_chat_parts():
     assert segment == '<turn role="user">\nsee \\<image 0> <image 0><document 1>in<audio 2>\n</turn>\n'
     assert [(a["ordinal"], a["kind"], a["ref"], a["tokens"]) for a in attached] == [(0, "image", "i.png", 85 + 340), (1, "document", "d.pdf", 1200), (2, "audio", "a.wav", 38)]
     assert tokens == 425 + 1200 + 38
-    with pytest.raises(ValueError):
-        chat.format_message("user", [{"type": "video"}])
+    segment, _, _, attached, tokens = chat.format_message("user", [{"type": "video", "ref": "v"}, {"type": None}, {"type": "text", "text": "<other 0>"}])
+    assert segment == '<turn role="user">\n<other 0><other 1>\\<other 0>\n</turn>\n' and tokens == 0
+    assert [(a["kind"], a["ref"]) for a in attached] == [("other", "v"), ("other", None)]
 
 
 def test_chat_digests(spark):
@@ -125,6 +126,16 @@ def test_word_tokens_survive_a_small_table(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokens_of_runs_with_one_hash(monkeypatch):
+    import tokenizers
+
+    monkeypatch.setattr(Words, "hash_spans", lambda self, starts, ends, lane=0: (ends - starts).astype(np.uint64) % np.uint64(3))
+    own, plain = packing.WordTokens(P.path("word_bpe_49k.json")), tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["one two six ten", "abcabcabcabcabcabcabc abcabcabcabcabdabcabc one", "six two", "", "a b c one. two, end"] * 2
+    for text, ids in zip(texts, own.encode_batch(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, lengths, capacity):
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -240,20 +251,79 @@ def test_quality(spark):
     assert quality.score(empty(spark)).count() == 0 and quality.keep_good(docs(spark)).columns == docs(spark).columns
 
 
+def test_quality_posterior_by_force():
+    """The posterior over vote vectors is that of the same model run over the documents one by one."""
+    rnd = np.random.default_rng(4)
+    k = 3
+    votes = np.concatenate([rnd.choice([-1, 0, 1], p=[0.02, 0.3, 0.68], size=(400, k)), rnd.choice([-1, 0, 1], p=[0.5, 0.3, 0.2], size=(80, k))])
+    counts = Counter(quality.pattern_of(votes).tolist())
+    got = quality.fit(dict(counts), k)[quality.pattern_of(votes)]
+    prior, belief = np.array([0.2, 0.8]), np.array([[0.35, 0.3, 0.35], [0.01, 0.4, 0.59]])
+    table, weight, post = [[list(belief[c]) for _ in range(k)] for c in (0, 1)], 0.2 * len(votes) + 1, None
+    for _ in range(quality.ROUNDS):
+        p = np.array([[prior[c] * np.prod([table[c][j][v + 1] for j, v in enumerate(row)]) for c in (0, 1)] for row in votes])
+        new = p / p.sum(axis=1, keepdims=True)
+        if post is not None and np.abs(new - post).max() < 1e-9:
+            break
+        post = new
+        prior = (post.sum(axis=0) + np.array([0.2, 0.8]) * weight) / (len(votes) + weight)
+        for c in (0, 1):
+            for j in range(k):
+                seen = np.array([post[votes[:, j] == v, c].sum() for v in (-1, 0, 1)])
+                table[c][j] = list((seen + belief[c] * weight) / (seen.sum() + weight))
+    assert np.abs(got - post[:, 1]).max() < 1e-6
+
+
 # ---- op3 --------------------------------------------------------------------------------------------
 
 
 def test_licences(spark):
     texts = [None, "", "plain text", "He lost his driver's license.\nReleased under the MIT License.", "x\nLicensed under CC BY-NC 4.0.\n", "All rights reserved.", "this work is licensed under the gnu general public license, version 3", "The court on copyright and Apache helicopters.", "license " * 3000]
     got = {}
-    for r in licences.scan(docs(spark, texts)).collect():
+    for r in licences.scan(docs(spark, texts)).where("kind = 'line'").collect():
         got.setdefault(r.doc_id, []).append((r.paragraph, r.family))
     assert got[3] == [(0, "unknown"), (1, "mit")] and got[4] == [(1, "cc-by-nc")] and got[5] == [(0, "proprietary")] and got[6] == [(0, "gpl")]
     assert got[7] == [(0, "unknown")] and got[8] == [(0, "unknown")] and not {0, 1, 2} & set(got)
     assert licences.scan(empty(spark)).count() == 0
-    held = [(t, k) for t, k, f in licences.wordings() if f == 2]
-    model = licences.Model([w for w in licences.wordings() if w[2] != 2] + [w for w in licences.wordings() if w[2] == 2][:3])
-    assert np.mean([model.predict(t)[0] == k for t, k in held]) > 0.9
+    notices = {t: k for family, k in zip(licences.FAMILIES, range(99), strict=False) for t in licences.NOTICES[family]}
+    assert all(re.search(licences.CUES, t) for t in notices), "a notice without a cue could never be scored"
+    model = licences.model()
+    assert np.mean([model.predict(t)[0] == k for t, k in notices.items()]) > 0.95
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, subject to the following conditions:",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "apache-2.0": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.",
+}
+
+
+def test_wrapped_licences(spark):
+    texts = [f"The first line of a file.\n\n{t}\n\nAnd some text that follows it\nover two lines." for t in WRAPPED.values()]
+    got = {}
+    for r in licences.scan(docs(spark, texts)).where("family <> 'unknown'").collect():
+        got.setdefault(r.doc_id, set()).add((r.kind, r.family))
+    for i, family in enumerate(WRAPPED):
+        assert any(f == family for _, f in got[i]) and all(f == family for _, f in got[i])
+    assert all(("wrapped", f) in got[i] for i, f in enumerate(WRAPPED) if f != "apache-2.0")
+
+
+def test_licence_scores_by_force(spark):
+    rnd = random.Random(9)
+    pieces = [t for ts in licences.NOTICES.values() for t in ts] + licences.COUNTER + ["license", "plain words", "copyright of the road"]
+    texts = ["\n".join(rnd.choice(pieces) + rnd.choice(["", " and more of it", "!"]) for _ in range(4)) for _ in range(40)]
+    model = licences.model()
+    rows = licences.scan(docs(spark, texts)).collect()
+    assert len(rows) > 60
+    for r in rows:
+        p = licences._softmax(((model.vector(r.text) @ model.w + model.b) / model.temperature)[None])[0]
+        assert abs(p.max() - r.probability) < 1e-9
+        k = int(p.argmax())
+        grams = set(licences.ngrams(licences.tokens(r.text)))
+        share = 0.0 if k == len(licences.FAMILIES) else max(len(grams & set(g)) / len(g) for g in (licences.ngrams(licences.tokens(t)) for t in licences.NOTICES[licences.FAMILIES[k]]))
+        sure = k < len(licences.FAMILIES) and p.max() >= licences.LEAST_PROBABILITY and share >= licences.LEAST_TEMPLATE
+        assert abs(share - r.template_share) < 1e-12 and r.family == (licences.FAMILIES[k] if sure else licences.UNKNOWN)
 
 
 # ---- op10 -------------------------------------------------------------------------------------------
@@ -279,3 +349,41 @@ def test_toxicity(spark):
     assert np.mean([got[i].predicted for i in held if i % 8 == 0]) > 0.9 and np.mean([got[i].predicted for i in held if i % 8]) < 0.02
     none = toxicity.score(frame, toxicity.fit(frame, marks.limit(0)))
     assert none.where("predicted = 1").isEmpty() and toxicity.score(empty(spark), toxicity.fit(empty(spark), marks)).count() == 0
+
+
+def test_toxicity_scores_by_force(spark):
+    rnd = random.Random(13)
+    words = ["idiot", "idiots", "Shut", "up", "shut", "up!", "the", "(scum)", "scummy", "trashy,", "trash...", "good", "day", "drop", "dead"]
+    texts = [None, "", *[" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for _ in range(150)]]
+    keys = toxicity.fixed_voters()
+    weights = np.linspace(-1, 2, len(keys))
+    model = toxicity.Model(keys, weights, -2.0)
+    entries, phrases = set(toxicity.LEXICON), set(toxicity.PHRASES)
+    of = lambda text: toxicity.features(pa.array([text]))[1]
+    begin = lambda e: int(of(e + "x")[list(toxicity.BEGINNINGS).index(len(e.encode())) + 1])
+    weight = dict(zip(keys.tolist(), weights.tolist(), strict=True))
+    for r in toxicity.score(docs(spark, texts), model).collect():
+        plain = []
+        for w in W.findall((texts[r.doc_id] or "").lower()):
+            for _ in range(2):
+                w = w[:-1] if len(w) > 1 and w[-1] in ".,;:!?\"'()" else w
+            plain.append(w[1:] if len(w) > 1 and w[0] in ".,;:!?\"'()" else w)
+        votes = {int(of(w)[0]) for w in plain if w in entries}
+        votes |= {begin(e) for w in plain for e in entries if len(e.encode()) in toxicity.BEGINNINGS and w.startswith(e) and len(w) > len(e)}
+        votes |= {int(of(f"{a} {b}")[-1]) for a, b in zip(plain, plain[1:], strict=False) if f"{a} {b}" in phrases}
+        logit = -2.0 + sum(weight[v] for v in votes)
+        assert abs(r.score - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def test_label_model_learns_accuracies_and_correlations():
+    rnd = np.random.default_rng(3)
+    n = 3000
+    truth = rnd.random(n) < 0.2
+    label = np.where(truth, rnd.random(n) < 0.75, rnd.random(n) < 0.03)
+    one = np.where(truth, rnd.random(n) < 0.6, rnd.random(n) < 0.03)
+    votes = np.stack([one, one, one, one, np.where(truth, rnd.random(n) < 0.6, rnd.random(n) < 0.03), np.where(truth, rnd.random(n) < 0.6, rnd.random(n) < 0.03)], axis=1)
+    owner, voter = np.nonzero(votes)
+    post = toxicity.label_model(owner, voter, label.astype(np.int64), 6)
+    assert ((post > 0.5) == truth).mean() > (label == truth).mean() + 0.01
+    d = toxicity.discounts(votes.astype(np.float32), truth.astype(float), votes[truth].mean(axis=0))
+    assert (d[:4] > 2.5).all() and (d[4:] < 0.5).all()  # four copies of a voter count about once
