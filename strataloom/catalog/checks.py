@@ -11,7 +11,7 @@ from ..sources.trees import release_pair
 from . import query
 from .releases import C2, F1, S2, P2, sql
 
-PATHS = ["a/b.txt", "a-b/c.txt", "/etc/passwd", "../up.txt", "a/../b", "", ".", "Foo.txt", "foo.TXT", "CON.txt", "dir/nul", "com1.log/x", "bad:name.txt", "tail./x", "space /x", "x" * 241, "d/" + "é" * 130, "que?", "a\\b", "Straße.txt", "strasse.TXT", "tab\tname", "ok/lpt1x"]
+PATHS = ["a/b.txt", "a-b/c.txt", "/etc/passwd", "../up.txt", "a/../b", "", ".", "Foo.txt", "foo.TXT", "CON.txt", "dir/nul", "com1.log/x", "bad:name.txt", "tail./x", "space /x", "x" * 241, "d/" + "é" * 130, "que?", "a\\b", "Straße.txt", "strasse.TXT", "tab\tname", "ok/lpt1x", "nfd/e\u0301.txt", "nfc/\u00e9.txt"]
 
 
 def _literal(rows: list[tuple], names: list[str]) -> str:
@@ -47,15 +47,19 @@ _RESERVED_SQL = ", ".join(f"'{n}'" for n in C.RESERVED)
   CASE WHEN regexp_matches(path, '[\\x00-\\x1f]') THEN 'control-character' END,
   CASE WHEN regexp_matches(path, '[<>:"|?*\\\\]') THEN 'reserved-character' END,
   CASE WHEN len([p FOR p IN string_split(path, '/') IF regexp_matches(p, '[ .]$') AND p NOT IN ('.', '..')]) > 0 THEN 'trailing-space-or-dot' END,
-  CASE WHEN len([p FOR p IN string_split(path, '/') IF upper(rtrim(string_split(p, '.')[1], ' .')) IN ({_RESERVED_SQL})]) > 0 THEN 'reserved-name' END,
-  CASE WHEN length(path) > 240 THEN 'long-path' END,
-  CASE WHEN len([p FOR p IN string_split(path, '/') IF octet_length(encode(p)) > 255]) > 0 THEN 'long-component' END], lambda x: x IS NOT NULL), ',') AS issues FROM {_PATHS_SQL}"""
+  CASE WHEN len([p FOR p IN string_split(path, '/') IF upper(rtrim(string_split(p, '.')[1], ' .')) IN ({_RESERVED_SQL})]) > 0 THEN 'reserved-name' END], lambda x: x IS NOT NULL), ',') AS issues FROM {_PATHS_SQL}"""
     )
 )
 def path_portability(spark, sf):
     return _paths(spark, sf).select("path", C.portability(F.col("path")).alias("issues"))
 
 
+@query(sql(f"""SELECT path, array_to_string(list_filter([CASE WHEN nfc_normalize(path) <> path THEN 'not-nfc' END, CASE WHEN length(path) > 240 THEN 'long-path' END,
+  CASE WHEN len([p FOR p IN string_split(path, '/') IF octet_length(encode(p)) > 255]) > 0 THEN 'long-component' END], lambda x: x IS NOT NULL), ',') AS warnings FROM {_PATHS_SQL}"""))
+def path_warnings(spark, sf):
+    return C.portability_warnings(_paths(spark, sf))
+
+
 @query(sql(f"SELECT path, first_path FROM (SELECT path, first(path) OVER (PARTITION BY lower(path) ORDER BY string_split(path, '/')) AS first_path FROM {_PATHS_SQL}) WHERE path <> first_path"))
 def path_collisions(spark, sf):
     return C.collisions(_paths(spark, sf).withColumn("key", F.lower("path")))
@@ -156,12 +160,13 @@ def required_files_missing(spark, sf):
     return extra.unionByName(v1.select("path")).join(v2.select("path"), "path", "left_anti")
 
 
-_HINT_SQL = "lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN (" + ", ".join(f"'{s}'" for s in T.PRECOMPRESSED) + ")"
-_SUFFIXED = "(SELECT path || suffix AS path, size FROM v2, (VALUES (''), ('.GZ'), ('.zip'), ('.d/x'), ('.bak')) AS t(suffix))"
+_HINT_SQL = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ('.7z', '.zip', '.rar', '.gz', '.xz', '.bz2', '.zst', '.mp4', '.mkv', '.mov', '.webm', '.mp3', '.aac', '.ogg', '.opus', '.flac', '.jpg', '.jpeg', '.png', '.webp', '.avif', '.heic', '.gif', '.pdf', '.woff', '.woff2')"
+_SUFFIXES = ["", ".GZ", ".zip", ".d/x", ".bak", ".tgz", ".pdf", ".aac", ".avi", "/.gz", ".m4a"]
+_SUFFIXED = "(SELECT path || suffix AS path, size FROM v2, (VALUES " + ", ".join(f"('{s}')" for s in _SUFFIXES) + ") AS t(suffix))"
 
 
 def _suffixed(spark, sf):
-    return release_pair(spark, sf)[1].select(F.explode(F.array(*[F.concat("path", F.lit(s)) for s in ("", ".GZ", ".zip", ".d/x", ".bak")])).alias("path"), "size")
+    return release_pair(spark, sf)[1].select(F.explode(F.array(*[F.concat("path", F.lit(s)) for s in _SUFFIXES])).alias("path"), "size")
 
 
 @query(sql(f"SELECT path, {_HINT_SQL} AS precompressed FROM {_SUFFIXED}"))

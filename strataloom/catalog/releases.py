@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, codec, diff, install, release
+from ..operators import archive, chunking, codec, diff, install, release
 from ..operators.chunking import chunk_sql
 from ..sources.ranges import pack_slices
 from ..sources.trees import PAIR_SQL, release_pair
@@ -44,7 +44,7 @@ def chunk_hash(spark, sf):
     return _pair(spark, sf)[3].groupBy("chunk_id").agg(F.count("*").alias("refs"), F.min("raw_len").alias("raw_len"))
 
 
-@query(sql(C2, "SELECT count(*) AS chunk_refs, CAST(coalesce(min(raw_len), 0) AS BIGINT) AS min_len, CAST(coalesce(sum(raw_len), 0) AS BIGINT) AS total_len, CAST(coalesce(max(raw_len), 0) AS BIGINT) AS max_len, CASE WHEN count(*) > 0 THEN sum(raw_len) / count(*) ELSE 0.0 END AS avg_len FROM c2"))
+@query(sql(C2, "SELECT count(*) AS chunk_refs, CAST(coalesce(min(raw_len), 0) AS BIGINT) AS min_len, CAST(coalesce(sum(raw_len), 0) AS BIGINT) AS total_len, CAST(coalesce(max(raw_len), 0) AS BIGINT) AS max_len, CASE WHEN count(*) > 0 THEN round_even(sum(raw_len) / count(*), 2) ELSE 0.0 END AS avg_len FROM c2"))
 def chunk_stats(spark, sf):
     return chunking.chunk_stats(_pair(spark, sf)[3])
 
@@ -113,9 +113,13 @@ def chunk_fastcdc(spark, sf):
     return chunking.content_chunks(_pair(spark, sf)[1], "fastcdc", stride=_STRIDE)
 
 
+_FIXED = chunking.Cutting("fixed", fixed_size=chunking.FIXED_SIZE)
+
+
 @query()
 def codec_choice(spark, sf):
-    return codec.choose_codecs(_pair(spark, sf)[1])
+    """Stored bytes of the second release's chunks by codec."""
+    return codec.choose_codecs(release.stored_chunks(_pair(spark, sf)[1], _FIXED))
 
 
 @query(sql(C2, S2, "SELECT * FROM s2"))
@@ -128,7 +132,7 @@ def pack_offsets(spark, sf):
     return release.pack_offsets(release.first_writers(_pair(spark, sf)[3]))
 
 
-_METRICS = """metrics AS (SELECT * , CASE WHEN logical_size > 0 THEN stored_bytes / logical_size ELSE 0.0 END AS storage_ratio FROM
+_METRICS = """metrics AS (SELECT * , CASE WHEN logical_size > 0 THEN round_even(stored_bytes / logical_size, 6) ELSE 0.0 END AS storage_ratio FROM
   (SELECT count(*) AS file_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS logical_size FROM v2),
   (SELECT count(*) AS unique_chunks, CAST(coalesce(sum(raw_len), 0) AS BIGINT) AS stored_bytes, CAST(coalesce(sum(refs - 1), 0) AS BIGINT) AS reused_refs FROM s2))"""
 
@@ -212,17 +216,50 @@ def file_diff(spark, sf):
     return diff.file_diff(*_pair(spark, sf)[:2])
 
 
+_LEFT = lambda whole, part: f"greatest(0, {whole} - {part})"
+_RATIO = lambda part, whole, none: f"CASE WHEN {whole} > 0 THEN round_even({part} / {whole}, 6) ELSE {none} END"
+
+
+# Chunks are stored as they are here, so that SQL can tell the stored bytes.
 @query(
-    sql(F1, F2, FD, C1, C2, U1, U2, """ch AS (SELECT count(*) FILTER (u1.chunk_id IS NOT NULL AND u2.chunk_id IS NOT NULL) AS reused_chunks, count(*) FILTER (u1.chunk_id IS NULL) AS added_chunks,
-  count(*) FILTER (u2.chunk_id IS NULL) AS removed_chunks, CAST(coalesce(sum(u2.raw_len) FILTER (u1.chunk_id IS NULL), 0) AS BIGINT) AS added_bytes,
-  CAST(coalesce(sum(u2.raw_len) FILTER (u1.chunk_id IS NOT NULL), 0) AS BIGINT) AS reused_bytes, CAST(coalesce(sum(u1.raw_len) FILTER (u2.chunk_id IS NULL), 0) AS BIGINT) AS removed_bytes,
-  CAST(coalesce(sum(u2.raw_len), 0) AS BIGINT) AS new_stored_bytes FROM u1 FULL JOIN u2 ON u1.chunk_id = u2.chunk_id),
+    sql(F1, F2, FD, C1, C2, U1, U2, """ch AS (SELECT count(u1.chunk_id) AS old_unique_chunks, count(u2.chunk_id) AS new_unique_chunks, count(*) FILTER (u1.chunk_id IS NOT NULL AND u2.chunk_id IS NOT NULL) AS reused_chunks, count(*) FILTER (u1.chunk_id IS NULL) AS added_chunks,
+  count(*) FILTER (u2.chunk_id IS NULL) AS removed_chunks, CAST(coalesce(sum(u2.raw_len) FILTER (u1.chunk_id IS NULL), 0) AS BIGINT) AS down, CAST(coalesce(sum(u2.raw_len), 0) AS BIGINT) AS stored FROM u1 FULL JOIN u2 ON u1.chunk_id = u2.chunk_id),
 fl AS (SELECT count(*) FILTER (status = 'added') AS files_added, count(*) FILTER (status = 'removed') AS files_removed, count(*) FILTER (status IN ('added', 'changed')) AS files_changed,
-  count(*) FILTER (status = 'unchanged') AS files_unchanged, CAST(coalesce(sum(new_size) FILTER (status IN ('added', 'changed')), 0) AS BIGINT) AS changed_file_bytes, CAST(coalesce(sum(new_size), 0) AS BIGINT) AS new_logical_bytes FROM fd)""",
-    "SELECT ch.*, fl.*, CASE WHEN reused_chunks + added_chunks > 0 THEN reused_chunks / (reused_chunks + added_chunks) ELSE 1.0 END AS chunk_reuse_ratio, greatest(0, changed_file_bytes - added_bytes) AS saved_vs_changed_files, greatest(0, new_logical_bytes - added_bytes) AS saved_vs_full FROM ch, fl")
+  count(*) FILTER (status = 'unchanged') AS files_unchanged, CAST(coalesce(sum(new_size) FILTER (status IN ('added', 'changed')), 0) AS BIGINT) AS changed_file_bytes, CAST(coalesce(sum(new_size), 0) AS BIGINT) AS logical_size_new FROM fd)""",
+    f"""SELECT ch.* EXCLUDE (down, stored), fl.*, down AS download_pack_bytes, down AS download_raw_bytes, stored AS stored_size_new, stored AS raw_unique_size_new, {_RATIO('reused_chunks', 'new_unique_chunks', '1.0')} AS chunk_reuse_ratio,
+  {_LEFT('stored', 'down')} AS saved_vs_full_stored, {_RATIO(_LEFT('stored', 'down'), 'stored', '0.0')} AS saved_ratio_vs_full_stored, {_LEFT('changed_file_bytes', 'down')} AS saved_vs_changed_files, {_RATIO(_LEFT('changed_file_bytes', 'down'), 'changed_file_bytes', '1.0')} AS saved_ratio_vs_changed_files,
+  {_LEFT('changed_file_bytes', 'down')} AS raw_saved_vs_changed_files, {_RATIO(_LEFT('changed_file_bytes', 'down'), 'changed_file_bytes', '1.0')} AS raw_saved_ratio_vs_changed_files FROM ch, fl""")
 )
 def diff_summary(spark, sf):
-    return diff.diff_summary(*_pair(spark, sf))
+    v1, v2, c1, c2 = _pair(spark, sf)
+    return diff.diff_summary(release.file_digests(v1), release.file_digests(v2), diff.stored_raw(c1), diff.stored_raw(c2))
+
+
+@query()
+def diff_summary_packed(spark, sf):
+    """The bytes that an update moves as they are stored: cut by content, compressed by the better codec."""
+    v1, v2, _, _ = _pair(spark, sf)
+    cutting = chunking.Cutting("cdc", min=chunking.CDC_MIN, avg=chunking.CDC_AVG, max=chunking.CDC_MAX)
+    old, new = (release.stored_chunks(v, cutting).select("chunk_id", "raw_len", "pack_len") for v in (v1, v2))
+    return diff.diff_summary(release.file_digests(v1), release.file_digests(v2), old, new)
+
+
+# The size of an uncompressed archive: a block for each header, contents in whole blocks, two blocks at the end, in records of twenty.
+_TAR = lambda rows: f"(SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(ceil((coalesce(sum(512 + 512 * ((size + 511) // 512)), 0) + 1024) / 10240.0) * 10240 AS BIGINT) AS tar_bytes FROM {rows})"
+
+
+@query(sql(F1, F2, "changed AS (SELECT f2.* FROM f2 LEFT JOIN f1 ON f1.path = f2.path WHERE f1.file_hash IS DISTINCT FROM f2.file_hash)", f"SELECT 'full' AS kind, * FROM {_TAR('f2')} UNION ALL SELECT 'changed', * FROM {_TAR('changed')}"))
+def baseline_tar_sizes(spark, sf):
+    v1, v2, _, _ = _pair(spark, sf)
+    changed = diff.changed_files(v1, v2).select("path")
+    return archive.tar_sizes(v2).select(F.lit("full").alias("kind"), "*").unionByName(archive.tar_sizes(v2.join(changed, "path", "left_semi")).select(F.lit("changed").alias("kind"), "*"))
+
+
+@query()
+def baseline_archive_sizes(spark, sf):
+    """Compressed archives of the second release and of its changed files."""
+    v1, v2, _, _ = _pair(spark, sf)
+    return archive.baseline_sizes(v1, v2)
 
 
 @query(sql(F1, F2, "SELECT f2.path FROM f2 LEFT JOIN f1 ON f1.path = f2.path WHERE f1.file_hash IS DISTINCT FROM f2.file_hash ORDER BY string_split(f2.path, '/') LIMIT 20"))
@@ -259,7 +296,7 @@ _TAMPER = """bad AS (SELECT chunk_id, CASE WHEN chunk_id LIKE 'a%' THEN raw_len
 
 @query(
     sql(C1, C2, S2, P2, "plan AS (SELECT chunk_id, raw_len, pack_offset FROM p2 WHERE chunk_id NOT IN (SELECT chunk_id FROM c1))", _TAMPER,
-        """SELECT * FROM (SELECT b.chunk_id, CASE WHEN n > 1 THEN 'duplicate' WHEN p2.chunk_id IS NULL THEN 'unknown' WHEN b.raw_len IS DISTINCT FROM p2.raw_len OR b.pack_offset IS DISTINCT FROM p2.pack_offset THEN 'differs' END AS violation
+        """SELECT * FROM (SELECT b.chunk_id, CASE WHEN n > 1 THEN 'duplicate' WHEN p2.chunk_id IS NULL THEN 'unknown' WHEN b.raw_len IS DISTINCT FROM p2.raw_len THEN 'differs: raw_len' WHEN b.pack_offset IS DISTINCT FROM p2.pack_offset THEN 'differs: pack_offset' END AS violation
 FROM (SELECT chunk_id, count(*) AS n, min(raw_len) AS raw_len, min(pack_offset) AS pack_offset FROM bad GROUP BY 1) b LEFT JOIN p2 ON p2.chunk_id = b.chunk_id) WHERE violation IS NOT NULL""")
 )
 def patch_plan_violations(spark, sf):

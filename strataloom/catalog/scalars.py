@@ -8,12 +8,12 @@ from ..functions import text as T
 from . import query
 from .checks import _literal
 
-SIZES = ["64KiB", "1.5 MiB", "2gb", "100", "7b", " 3 kb ", "0.5GiB", "12 xb", "", "KiB", "250MB", "1e3"]
-_SIZE_RE = "^([0-9]+(?:\\.[0-9]+)?)\\s*([kmg]i?b|b)?$"
+SIZES = ["64KiB", "1.5 MiB", "2gb", "100", "7b", " 3 kb ", "0.5GiB", "12 xb", "", "KiB", "250MB", "1e3", "1.5", "1 000", "-5", "1e3 kb", ".5kib", "-1.5b", "5.KB", "\t9 mb"]
+_SIZE_RE = "^([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?)([kmg]i?b|b)$"
 
 
-@query(f"""SELECT text, coalesce(CAST(floor(CAST(nullif(regexp_extract(t, '{_SIZE_RE}', 1), '') AS DOUBLE) * CASE regexp_extract(t, '{_SIZE_RE}', 2) WHEN 'kib' THEN 1024 WHEN 'mib' THEN 1048576 WHEN 'gib' THEN 1073741824 WHEN 'kb' THEN 1000 WHEN 'mb' THEN 1000000 WHEN 'gb' THEN 1000000000 ELSE 1 END) AS BIGINT), -1) AS bytes
-FROM (SELECT text, lower(trim(text)) AS t FROM {_literal([(s,) for s in SIZES], ['text'])})""")
+@query(f"""SELECT text, coalesce(CASE WHEN regexp_matches(t, '{_SIZE_RE}') THEN CAST(trunc(CAST(regexp_extract(t, '{_SIZE_RE}', 1) AS DOUBLE) * CASE regexp_extract(t, '{_SIZE_RE}', 2) WHEN 'kib' THEN 1024 WHEN 'mib' THEN 1048576 WHEN 'gib' THEN 1073741824 WHEN 'kb' THEN 1000 WHEN 'mb' THEN 1000000 WHEN 'gb' THEN 1000000000 ELSE 1 END) AS BIGINT)
+ WHEN regexp_matches(t, '^[+-]?[0-9]+$') THEN CAST(t AS BIGINT) END, -1) AS bytes FROM (SELECT text, replace(lower(trim(text, ' ' || chr(9))), ' ', '') AS t FROM {_literal([(s,) for s in SIZES], ['text'])})""")
 def parse_size(spark, sf):
     return spark.createDataFrame([(s,) for s in SIZES], "text string").select("text", F.coalesce(T.parse_size(F.col("text")), F.lit(-1)).alias("bytes"))
 
@@ -58,13 +58,23 @@ def json_path_coalesce(spark, sf):
     return e.select("event_id", F.coalesce(T.json_first(F.col("props"), "$.metrics.k", "$.k", "$.page"), F.lit("none")).alias("value"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MiB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown FROM (SELECT doc_id, n_chars * (1 + doc_id % 3) AS n FROM documents)")
+# Sizes from bytes to TiB, of either sign and unknown.
+@query("""SELECT doc_id, k, CASE WHEN n IS NULL THEN '0 B' WHEN abs(n) >= 1099511627776 THEN printf('%.2f TiB', n / 1099511627776.0::DOUBLE) WHEN abs(n) >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0::DOUBLE)
+ WHEN abs(n) >= 1048576 THEN printf('%.2f MiB', n / 1048576.0::DOUBLE) WHEN abs(n) >= 1024 THEN printf('%.2f KiB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown
+FROM (SELECT doc_id, k, CASE WHEN doc_id % 50 = 0 THEN NULL ELSE n_chars * (1 - 2 * (doc_id % 2)) * CAST(pow(1024, k) AS BIGINT) END AS n FROM documents, range(0, 5) AS t(k))""")
 def fmt_bytes(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.select("doc_id", T.fmt_bytes(F.col("n_chars") * (1 + F.col("doc_id") % 3)).alias("shown"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("k"))
+    n = F.when(F.col("doc_id") % 50 != 0, F.col("n_chars") * (1 - 2 * (F.col("doc_id") % 2)) * F.pow(F.lit(1024), "k").cast("bigint"))
+    return d.select("doc_id", "k", T.fmt_bytes(n).alias("shown"))
 
 
-@query("SELECT p_partkey, CASE WHEN abs(x) < 0.000001::DOUBLE THEN '0' WHEN abs(x) < 1 THEN printf('%.6f', x) ELSE printf('%.3f', x) END AS shown FROM (SELECT p_partkey, p_size / 32.0::DOUBLE - 0.25 AS x FROM part)")
+@query("SELECT p_partkey, CASE WHEN x IS NULL OR abs(x) < 0.000001::DOUBLE THEN '0' WHEN abs(x) < 1 THEN printf('%.6f', x) ELSE printf('%.3f', x) END || ' USD' AS shown FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_size / 32.0::DOUBLE - 0.25 END AS x FROM part)")
 def fmt_cost(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    return p.select("p_partkey", T.fmt_cost(F.col("p_size") / F.lit(32.0) - 0.25).alias("shown"))
+    return p.select("p_partkey", T.fmt_cost(F.when(F.col("p_partkey") % 9 != 0, F.col("p_size") / F.lit(32.0) - 0.25)).alias("shown"))
+
+
+@query("SELECT event_id, replace(props, '\"k\": 1', '\"k\": one') AS props, replace(props, 'k', 'k\\\"q') AS quoted FROM events")
+def json_string_rewrite(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", F.replace("props", F.lit('"k": 1'), F.lit('"k": one')).alias("props"), T.replace_strings(F.col("props"), "k", 'k"q').alias("quoted"))

@@ -9,6 +9,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 
 def _spark() -> SparkSession:
     return SparkSession.builder.appName("strataloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -20,11 +22,25 @@ def _abs(path: str) -> str:
     return path if "://" in path else f"file:{os.path.abspath(path)}"
 
 
+def _cutting(a):
+    from .operators.chunking import Cutting
+
+    if a.chunk_size:
+        return Cutting("fixed", fixed_size=a.chunk_size)
+    return Cutting(a.chunker, a.fixed_size, a.chunk_min, a.chunk_avg, a.chunk_max, a.stride)
+
+
+def _tree(spark, path: str):
+    from .sources import trees
+
+    tree = trees.directory_tree(spark, _abs(path)).select("path", "content", "size")
+    return tree if "://" in path else tree.join(trees.local_metadata(spark, path), "path", "left")
+
+
 def pack(spark, a):
-    from .sources import store, trees
+    from .sources import store
 
-    tree = trees.directory_tree(spark, _abs(a.tree)).select("path", "content", "size")
-    return store.write_release(tree, _abs(a.out), a.id, a.seq, a.chunk_size, a.force)
+    return store.write_release(_tree(spark, a.tree), _abs(a.out), a.id, a.seq, force=a.force, expires_at=a.expires_at, not_before=a.not_before, cutting=_cutting(a), codec_policy=a.codec)
 
 
 def inspect(spark, a):
@@ -52,7 +68,8 @@ def release_check(spark, a):
         "collisions": [r.asDict() for r in checks.collisions(checks.casefold_keys(paths)).limit(100).collect()],
         "content": [r.asDict() for r in store.verify(held).limit(100).collect()],
     }
-    return {"ok": not any(issues.values())} | issues
+    warnings = [r.asDict() for r in checks.portability_warnings(paths).where("warnings <> ''").limit(100).collect()]
+    return {"ok": not any(issues.values()), "portable_ok": not (issues["unsafe"] or issues["unportable"] or issues["collisions"]), "warnings": warnings} | issues
 
 
 def diff(spark, a):
@@ -60,8 +77,64 @@ def diff(spark, a):
     from .sources import store
 
     old, new = (store.load_release(spark, _abs(x)) for x in (a.old, a.new))
-    pairs = [store.extract_files(x).select("path", "content", "size") for x in (old, new)]
-    return d.diff_summary(*pairs, old.references, new.references).first().asDict()
+    return d.diff_summary(old.files, new.files, old.chunks, new.chunks).first().asDict()
+
+
+def make_patch(spark, a):
+    from .sources import store
+
+    return store.write_plan(*(store.load_release(spark, _abs(x)) for x in (a.old, a.new)), _abs(a.out))
+
+
+def baselines(spark, a):
+    from .operators import archive
+    from .sources import trees
+
+    old, new = (trees.directory_tree(spark, _abs(x)).select("path", "content", "size") for x in (a.old, a.new))
+    return {r.kind: r.asDict() for r in archive.baseline_sizes(old, new).collect()}
+
+
+def compare_plans(spark, a):
+    """Cut both trees by each chunker, store the chunks by each codec and hold what an update moves against whole archives."""
+    import time
+
+    from .operators import archive, chunking, diff as d, release
+    from .sources import trees
+
+    old, new = (trees.directory_tree(spark, _abs(x)).select("path", "content", "size") for x in (a.old, a.new))
+    rows = []
+    for mode in a.chunkers.split(","):
+        for codec in a.codecs.split(","):
+            began = time.monotonic()
+            stored = [scratch.durable(release.stored_chunks(t, chunking.Cutting(mode, a.fixed_size, a.chunk_min, a.chunk_avg, a.chunk_max, a.stride), codec).drop("payload")) for t in (old, new)]
+            seconds = time.monotonic() - began
+            one = d.diff_summary(*map(release.file_digests, (old, new)), *stored).first()
+            rows.append({"plan": f"{codec}:{mode}", "external": False, "bytes": one.download_pack_bytes, "seconds": round(seconds, 4), "chunk_reuse_ratio": one.chunk_reuse_ratio})
+    for r in archive.baseline_sizes(old, new).collect():
+        rows += [{"plan": f"external:{r.kind}-tar.{kind}", "external": True, "bytes": n, "seconds": None, "chunk_reuse_ratio": None} for kind, n in (("gz", r.gz_bytes), ("zst", r.zst_bytes)) if n is not None]
+    table = spark.createDataFrame([(k, r["plan"], r["external"], r["bytes"], r["seconds"], a.downloads) for k, r in enumerate(rows)], "ordinal int, plan string, external boolean, bytes bigint, seconds double, downloads bigint")
+    from .plans import policy
+
+    recommended = policy.recommend(policy.enrich(table, a.cost_per_gib, a.cost_per_hour), []).first()
+    return {"plans": rows, "recommended": recommended.asDict()}
+
+
+def light_zip(spark, a):
+    from .sources import reports
+
+    return reports.light_zip(a.folder, a.out, a.max_mb)
+
+
+def review_zip(spark, a):
+    from .sources import reports
+
+    return reports.review_zip(a.folder, a.out, a.max_mb)
+
+
+def cleanup(spark, a):
+    from .sources import reports
+
+    return reports.cleanup(a.folder, a.min_mb, a.apply)
 
 
 def extract(spark, a):
@@ -81,9 +154,10 @@ def fetch(spark, a):
 
     held, now = store.load_release(spark, _abs(a.release), tuple(map(_abs, a.mirror))), installed.installed_document(a.install)
     own = installed.installed_tree(spark, a.install) if now else None
-    tree, missing = store.fetch(held, own, None, now and now["release_seq"], a.allow_downgrade)
-    totals = missing.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("raw_len"), F.lit(0)).alias("bytes")).first()
-    return {"files": installed.write_tree(tree, a.install, held.document), "downloaded_chunks": totals.chunks, "downloaded_bytes": totals.bytes}
+    allowed = store.load_plan(spark, _abs(a.plan), held, now)[1] if a.plan else None
+    tree, missing = store.fetch(held, own, None, now and now["release_seq"], a.allow_downgrade, allowed)
+    totals = missing.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("raw_len"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("pack_len"), F.lit(0)).alias("pack_bytes")).first()
+    return {"files": installed.write_tree(tree, a.install, held.document), "downloaded_chunks": totals.chunks, "downloaded_bytes": totals.bytes, "downloaded_pack_bytes": totals.pack_bytes}
 
 
 def audit_install(spark, a):
@@ -99,7 +173,7 @@ def repair_install(spark, a):
     from .sources import installed, store
 
     held = store.load_release(spark, _abs(a.release))
-    installed.write_tree(store.repair(held, installed.installed_tree(spark, a.install)), a.install, held.document)
+    installed.write_tree(store.repair(held, installed.installed_tree(spark, a.install)), a.install, held.document, keep=True)
     return audit_install(spark, a)
 
 
@@ -144,13 +218,22 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=fn)
 
     flag = {"action": "store_true"}
-    add(pack, "tree", "out", id={"default": "release"}, seq={"type": int, "default": 1}, chunk_size={"type": int, "default": 262_144}, force=flag)
+    size = lambda n: {"type": int, "default": n}
+    sizes = {"fixed_size": size(256 << 10), "chunk_min": size(64 << 10), "chunk_avg": size(256 << 10), "chunk_max": size(1 << 20), "stride": size(16)}
+    add(pack, "tree", "out", id={"default": "release"}, seq=size(1), chunk_size=size(None), chunker={"default": "cdc"}, codec={"default": "auto"}, expires_at={"default": None}, not_before={"default": None}, force=flag, **sizes)
+    add(make_patch, "old", "new", "out")
+    add(baselines, "old", "new")
+    price = lambda x: {"type": float, "default": x}
+    add(compare_plans, "old", "new", chunkers={"default": "fixed,cdc,fastcdc"}, codecs={"default": "auto"}, downloads=size(1000), cost_per_gib=price(0.05), cost_per_hour=price(1.0), **sizes)
+    add(light_zip, "folder", "out", max_mb=price(50.0))
+    add(review_zip, "folder", "out", max_mb=price(10.0))
+    add(cleanup, "folder", min_mb=price(100.0), apply=flag)
     add(inspect, "release")
     add(verify, "release")
     add(release_check, "release")
     add(diff, "old", "new")
     add(extract, "release", "path", "out")
-    add(fetch, "release", "install", mirror={"action": "append", "default": []}, allow_downgrade=flag)
+    add(fetch, "release", "install", mirror={"action": "append", "default": []}, plan={"default": None}, allow_downgrade=flag)
     add(audit_install, "release", "install")
     add(repair_install, "release", "install")
     add(doctor, "install", fix=flag)

@@ -17,7 +17,7 @@ def unsafe(path: Column) -> Column:
 
 
 def portability(path: Column) -> Column:
-    """The issues of a path, in a fixed order, joined by commas; empty for none. Normal forms are casefold_keys' concern."""
+    """What keeps a path from common file systems, in a fixed order, joined by commas; empty for none."""
     parts = F.split(path, "/")
     base = lambda p: F.upper(F.regexp_replace(F.regexp_extract(p, r"^([^.]*)", 1), r"[ .]+$", ""))
     issues = F.array(
@@ -25,12 +25,26 @@ def portability(path: Column) -> Column:
         F.when(path.rlike(BAD_CHARACTERS), "reserved-character"),
         F.when(F.exists(parts, lambda p: p.rlike(r"[ .]$") & ~p.isin(".", "..")), "trailing-space-or-dot"),
         F.when(F.exists(parts, lambda p: base(p).isin(RESERVED)), "reserved-name"),
-        F.when(F.length(path) > MOST_PATH, "long-path"),
-        F.when(F.exists(parts, lambda p: F.octet_length(p) > MOST_COMPONENT), "long-component"),
     )
     return F.array_join(F.array_compact(issues), ",")
 
 
+def portability_warnings(paths: DataFrame) -> DataFrame:
+    """(path, warnings): what may give trouble with older tools: another normal form than NFC, lengths. Joined by commas."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            odd = [p is not None and not unicodedata.is_normalized("NFC", p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd)], ["path", "odd"])
+
+    parts = F.split("path", "/")
+    warnings = F.array(F.when(F.col("odd"), "not-nfc"), F.when(F.length("path") > MOST_PATH, "long-path"), F.when(F.exists(parts, lambda p: F.octet_length(p) > MOST_COMPONENT), "long-component"))
+    return paths.select("path").mapInArrow(run, "path string, odd boolean").select("path", F.array_join(F.array_compact(warnings), ",").alias("warnings"))
+
+
 def casefold_keys(paths: DataFrame) -> DataFrame:
     """(path, key): backslashes as slashes, NFC, full case folding; Arrow batches, as no built-in folds fully."""
     import unicodedata
@@ -39,7 +53,7 @@ def casefold_keys(paths: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [None if p is None else unicodedata.normalize("NFC", unicodedata.normalize("NFC", p.replace("\\", "/")).casefold()) for p in batch.column(0).to_pylist()]
+            keys = [None if p is None else unicodedata.normalize("NFC", p.replace("\\", "/")).casefold() for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], ["path", "key"])
 
     return paths.select("path").mapInArrow(run, "path string, key string")

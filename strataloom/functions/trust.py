@@ -85,6 +85,8 @@ def trust_errors(spark: SparkSession, document: dict, signature: dict | None, ro
 
 
 def hmac_token(secret: bytes, prefix: str, expires: int) -> str:
+    """A token for the paths below a prefix, closing slashes aside, until a Unix second."""
     import hmac
 
+    prefix = prefix.rstrip("/")
     return f"{expires}.{hmac.new(secret, f'{prefix}{chr(10)}{expires}'.encode(), hashlib.sha256).hexdigest()}"

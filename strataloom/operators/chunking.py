@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,14 @@ def gear_table() -> np.ndarray:
     return np.array([source.getrandbits(64) for _ in range(GEAR_SIZE)], dtype=np.uint64)
 
 
-def fixed_chunks(tree: DataFrame, size: int = FIXED_SIZE) -> DataFrame:
-    """(path, file_offset, raw_len, chunk_id): a chunk every `size` bytes, the last shorter; an empty file has none."""
+def fixed_chunks(tree: DataFrame, size: int = FIXED_SIZE, payload: bool = False) -> DataFrame:
+    """(path, file_offset, raw_len, chunk_id): a chunk every `size` bytes, the last shorter; an empty file has none. With the bytes if asked."""
     if size <= 0:
         raise ValueError("chunk size must be positive")
     at = F.expr(f"if(octet_length(content) > 0, sequence(0, octet_length(content) - 1, {size}), array())")
     cut = tree.select("path", "content", F.explode(at).alias("file_offset"))
     part = F.substring("content", F.col("file_offset") + 1, F.lit(size))
-    return cut.select("path", F.col("file_offset").cast("bigint").alias("file_offset"), F.octet_length(part).cast("bigint").alias("raw_len"), F.sha2(part, 256).alias("chunk_id"))
+    return cut.select("path", F.col("file_offset").cast("bigint").alias("file_offset"), F.octet_length(part).cast("bigint").alias("raw_len"), F.sha2(part, 256).alias("chunk_id"), *([part.alias("payload")] if payload else []))
 
 
 def _bits(avg: int) -> int:
@@ -89,8 +90,8 @@ def normalised_cuts(data: np.ndarray, gear: np.ndarray, low: int, avg: int, high
     return cuts
 
 
-def content_chunks(tree: DataFrame, mode: str = "cdc", low: int = CDC_MIN, avg: int = CDC_AVG, high: int = CDC_MAX, stride: int = 16) -> DataFrame:
-    """(path, file_offset, raw_len, chunk_id) by `gear`, `cdc` (normalised) or `fastcdc` (normalised, strided)."""
+def content_chunks(tree: DataFrame, mode: str = "cdc", low: int = CDC_MIN, avg: int = CDC_AVG, high: int = CDC_MAX, stride: int = 16, payload: bool = False) -> DataFrame:
+    """(path, file_offset, raw_len, chunk_id) by `gear`, `cdc` (normalised) or `fastcdc` (normalised, strided). With the bytes if asked."""
     import hashlib
 
     if mode not in ("gear", "cdc", "fastcdc"):
@@ -107,12 +108,35 @@ def content_chunks(tree: DataFrame, mode: str = "cdc", low: int = CDC_MIN, avg:
                 data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
                 cuts = gear_cuts(data, gear, low, avg, high) if mode == "gear" else normalised_cuts(data, gear, low, avg, high, stride if mode == "fastcdc" else 1)
                 for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-                    rows.append((path, a, b - a, hashlib.sha256(data[a:b]).hexdigest()))
+                    rows.append((path, a, b - a, hashlib.sha256(data[a:b]).hexdigest(), data[a:b].tobytes() if payload else b""))
             if rows:
-                p, a, n, h = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(h)], ["path", "file_offset", "raw_len", "chunk_id"])
+                p, a, n, h, body = zip(*rows, strict=True)
+                arrays = [pa.array(p), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(h), *([pa.array(body, pa.binary())] if payload else [])]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "file_offset", "raw_len", "chunk_id", "payload"][: len(arrays)])
 
-    return tree.select("path", "content").mapInArrow(run, "path string, file_offset bigint, raw_len bigint, chunk_id string")
+    return tree.select("path", "content").mapInArrow(run, "path string, file_offset bigint, raw_len bigint, chunk_id string" + (", payload binary" if payload else ""))
+
+
+# Other names of the chunkers, and the sizes of a release that names none.
+ALIASES = {"normalized-cdc": "cdc", "cdc-fast": "fastcdc", "gear-cdc": "gear"}
+
+
+@dataclass(frozen=True)
+class Cutting:
+    """How files are cut."""
+
+    mode: str = "cdc"
+    fixed_size: int = 256 << 10
+    min: int = 64 << 10
+    avg: int = 256 << 10
+    max: int = 1 << 20
+    stride: int = 16
+
+    def __call__(self, tree: DataFrame, payload: bool = False) -> DataFrame:
+        mode = ALIASES.get(self.mode, self.mode)
+        if mode == "fixed":
+            return fixed_chunks(tree, self.fixed_size, payload)
+        return content_chunks(tree, mode, self.min, self.avg, self.max, self.stride, payload)
 
 
 def gear_candidates(tree: DataFrame, avg: int = CDC_AVG) -> DataFrame:
@@ -134,13 +158,13 @@ def gear_candidates(tree: DataFrame, avg: int = CDC_AVG) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Over all references: number, least, mean and largest length; zeros when there are none."""
+    """Over all references: number, least, mean (two decimals) and largest length; zeros when there are none."""
     return chunks.agg(
         F.count("*").alias("chunk_refs"),
         F.coalesce(F.min("raw_len"), F.lit(0)).cast("bigint").alias("min_len"),
         F.coalesce(F.sum("raw_len"), F.lit(0)).cast("bigint").alias("total_len"),
         F.coalesce(F.max("raw_len"), F.lit(0)).cast("bigint").alias("max_len"),
-    ).withColumn("avg_len", F.when(F.col("chunk_refs") > 0, F.col("total_len") / F.col("chunk_refs")).otherwise(F.lit(0.0)))
+    ).withColumn("avg_len", F.when(F.col("chunk_refs") > 0, F.bround(F.col("total_len") / F.col("chunk_refs"), 2)).otherwise(F.lit(0.0)))
 
 
 def chunk_sql(view: str, size: int = FIXED_SIZE) -> str:

@@ -24,14 +24,19 @@ def chunks_removed(old: DataFrame, new: DataFrame) -> DataFrame:
     return chunks_added(new, old)
 
 
-def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, status, old_size, new_size): added, removed, changed or unchanged, by content; the size of no file is 0."""
-    a = file_digests(old).select("path", F.col("file_hash").alias("old_hash"), F.col("size").alias("old_size"))
-    b = file_digests(new).select("path", F.col("file_hash").alias("new_hash"), F.col("size").alias("new_size"))
+def file_status(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, status, old_size, new_size) of two file tables(path, size, file_hash): added, removed, changed or unchanged, by content; the size of no file is 0."""
+    a = old.select("path", F.col("file_hash").alias("old_hash"), F.col("size").alias("old_size"))
+    b = new.select("path", F.col("file_hash").alias("new_hash"), F.col("size").alias("new_size"))
     status = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("changed")
     return a.join(b, "path", "full_outer").select("path", status.alias("status"), F.coalesce("old_size", F.lit(0)).alias("old_size"), F.coalesce("new_size", F.lit(0)).alias("new_size"))
 
 
+def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """file_status of two trees."""
+    return file_status(file_digests(old), file_digests(new))
+
+
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Files of the new release whose content isn't the old one's at that path; removed files are none of them."""
     a = file_digests(old).select("path", F.col("file_hash").alias("was"))
@@ -51,38 +56,52 @@ def tree_compare(source: DataFrame, received: DataFrame) -> DataFrame:
     return d.agg(F.count_if(F.col("status") == "added").alias("missing"), F.count_if(F.col("status") == "removed").alias("extra"), F.count_if(F.col("status") == "changed").alias("mismatch")).withColumn("equal", (F.col("missing") + F.col("extra") + F.col("mismatch")) == 0)
 
 
-def diff_summary(old_tree: DataFrame, new_tree: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: chunk and byte totals, files by fate, reuse by number of distinct chunks; ratios are 1 where nothing counts."""
-    a = unique_chunks(old).select("chunk_id", F.col("raw_len").alias("old_len"))
-    b = unique_chunks(new).select("chunk_id", F.col("raw_len").alias("new_len"))
-    sides = a.join(b, "chunk_id", "full_outer")
-    is_old, is_new = F.col("old_len").isNotNull(), F.col("new_len").isNotNull()
+def stored_raw(chunks: DataFrame) -> DataFrame:
+    """Distinct chunks of references, stored as they are: (chunk_id, raw_len, pack_len)."""
+    return unique_chunks(chunks).withColumn("pack_len", F.col("raw_len"))
+
+
+def diff_summary(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row of what an update moves.
+
+    Files are (path, size, file_hash), chunks (chunk_id, raw_len, pack_len), one row each. Bytes to download are stored
+    ones, `download_raw_bytes` those before compression. Reuse goes by the number of distinct chunks. Added files count
+    as changed. Savings are at least 0; a ratio is 1 where nothing changed, and 0 of nothing stored.
+    """
+    a = old.select("chunk_id", F.lit(True).alias("is_old"))
+    b = new.select("chunk_id", F.lit(True).alias("is_new"), "raw_len", "pack_len")
+    is_old, is_new = F.coalesce("is_old", F.lit(False)), F.coalesce("is_new", F.lit(False))
     total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
-    chunks = sides.agg(
+    chunks = a.join(b, "chunk_id", "full_outer").agg(
+        F.count_if(is_old).alias("old_unique_chunks"),
+        F.count_if(is_new).alias("new_unique_chunks"),
         F.count_if(is_old & is_new).alias("reused_chunks"),
         F.count_if(~is_old).alias("added_chunks"),
         F.count_if(~is_new).alias("removed_chunks"),
-        total(~is_old, "new_len").alias("added_bytes"),
-        total(is_old & is_new, "new_len").alias("reused_bytes"),
-        total(~is_new, "old_len").alias("removed_bytes"),
-        total(is_new, "new_len").alias("new_stored_bytes"),
+        total(~is_old, "pack_len").alias("download_pack_bytes"),
+        total(~is_old, "raw_len").alias("download_raw_bytes"),
+        total(is_new, "pack_len").alias("stored_size_new"),
+        total(is_new, "raw_len").alias("raw_unique_size_new"),
     )
-    files = file_diff(old_tree, new_tree).agg(
+    changed = F.col("status").isin("added", "changed")
+    files = file_status(old_files, new_files).agg(
         F.count_if(F.col("status") == "added").alias("files_added"),
         F.count_if(F.col("status") == "removed").alias("files_removed"),
-        F.count_if(F.col("status").isin("added", "changed")).alias("files_changed"),  # added files count as changed
+        F.count_if(changed).alias("files_changed"),
         F.count_if(F.col("status") == "unchanged").alias("files_unchanged"),
-        F.coalesce(F.sum(F.when(F.col("status").isin("added", "changed"), F.col("new_size"))), F.lit(0)).cast("bigint").alias("changed_file_bytes"),
-        F.coalesce(F.sum("new_size"), F.lit(0)).cast("bigint").alias("new_logical_bytes"),
+        F.coalesce(F.sum(F.when(changed, F.col("new_size"))), F.lit(0)).cast("bigint").alias("changed_file_bytes"),
+        F.coalesce(F.sum("new_size"), F.lit(0)).cast("bigint").alias("logical_size_new"),
     )
+    left = lambda whole, part: F.greatest(F.lit(0), F.col(whole) - F.col(part)).cast("bigint")
+    ratio = lambda part, whole, none: F.when(F.col(whole) > 0, F.bround(F.col(part) / F.col(whole), 6)).otherwise(F.lit(none))
     one = chunks.crossJoin(files)  # one row each
-    distinct = F.col("reused_chunks") + F.col("added_chunks")
-    return one.select(
-        "*",
-        F.when(distinct > 0, F.col("reused_chunks") / distinct).otherwise(F.lit(1.0)).alias("chunk_reuse_ratio"),
-        F.greatest(F.lit(0), F.col("changed_file_bytes") - F.col("added_bytes")).cast("bigint").alias("saved_vs_changed_files"),
-        F.greatest(F.lit(0), F.col("new_logical_bytes") - F.col("added_bytes")).cast("bigint").alias("saved_vs_full"),
-    )
+    one = one.withColumn("chunk_reuse_ratio", ratio("reused_chunks", "new_unique_chunks", 1.0))
+    one = one.withColumn("saved_vs_full_stored", left("stored_size_new", "download_pack_bytes"))
+    one = one.withColumn("saved_ratio_vs_full_stored", ratio("saved_vs_full_stored", "stored_size_new", 0.0))
+    one = one.withColumn("saved_vs_changed_files", left("changed_file_bytes", "download_pack_bytes"))
+    one = one.withColumn("saved_ratio_vs_changed_files", ratio("saved_vs_changed_files", "changed_file_bytes", 1.0))
+    one = one.withColumn("raw_saved_vs_changed_files", left("changed_file_bytes", "download_raw_bytes"))
+    return one.withColumn("raw_saved_ratio_vs_changed_files", ratio("raw_saved_vs_changed_files", "changed_file_bytes", 1.0))
 
 
 def changed_paths_sample(old: DataFrame, new: DataFrame, n: int = 20) -> DataFrame:
@@ -90,14 +109,40 @@ def changed_paths_sample(old: DataFrame, new: DataFrame, n: int = 20) -> DataFra
     return changed_files(old, new).select("path").orderBy(F.split("path", "/")).limit(n)
 
 
+#: What a plan says of a chunk, and what has to hold of it against the release.
+PLAN_COLUMNS = ["raw_len", "codec", "compressed_hash", "pack_id", "pack_offset", "pack_len"]
+
+
 def patch_plan(old: DataFrame, stored_new: DataFrame) -> DataFrame:
-    """Chunks to transfer: those of the new release (chunk_id, raw_len, pack_offset) that the old one lacks."""
-    return stored_new.join(old.select("chunk_id").distinct(), "chunk_id", "left_anti").select("chunk_id", "raw_len", "pack_offset")
+    """Chunks to transfer: those of the new release's table that the old one lacks."""
+    named = [c for c in PLAN_COLUMNS if c in stored_new.columns]
+    return stored_new.join(old.select("chunk_id").distinct(), "chunk_id", "left_anti").select("chunk_id", *named)
 
 
 def patch_plan_violations(plan: DataFrame, stored: DataFrame) -> DataFrame:
-    """Plan rows that don't hold against the release: repeated, unknown, or with other columns (null-safe)."""
-    n = plan.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("raw_len").alias("raw_len"), F.min("pack_offset").alias("pack_offset"))
-    known = stored.select("chunk_id", F.col("raw_len").alias("is_len"), F.col("pack_offset").alias("is_offset"), F.lit(True).alias("known"))
-    what = F.when(F.col("n") > 1, "duplicate").when(F.col("known").isNull(), "unknown").when(~F.col("raw_len").eqNullSafe(F.col("is_len")) | ~F.col("pack_offset").eqNullSafe(F.col("is_offset")), "differs")
+    """(chunk_id, violation) of plan rows that don't hold against the release: missing id, repeated, unknown, or the first column that differs, null-safe."""
+    named = [c for c in PLAN_COLUMNS if c in plan.columns and c in stored.columns]
+    n = plan.groupBy("chunk_id").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in named])
+    known = stored.select("chunk_id", *[F.col(c).alias(f"is_{c}") for c in named], F.lit(True).alias("_known"))
+    what = F.when(F.coalesce(F.col("chunk_id"), F.lit("")) == "", "missing-id").when(F.col("_n") > 1, "duplicate").when(F.col("_known").isNull(), "unknown")
+    for c in named:
+        what = what.when(~F.col(c).eqNullSafe(F.col(f"is_{c}")), f"differs: {c}")
     return n.join(known, "chunk_id", "left").select("chunk_id", what.alias("violation")).where("violation is not null")
+
+
+def plan_errors(plan: dict, document: dict, installed: dict | None) -> list[str]:
+    """What speaks against applying a plan {old, new} of a release to an installation, in order. Each names id, sequence and root hash."""
+    old, new = plan.get("old") or {}, plan.get("new") or {}
+    seq = lambda d: int(d.get("release_seq", -1))
+    tests = [
+        ("not-a-plan", plan.get("schema") != "strata.patch-plan"),
+        ("target-root", new.get("root_hash") != document.get("root_hash")),
+        ("target-id", new.get("release_id") != document.get("release_id")),
+        ("target-seq", seq(new) != int(document.get("release_seq", 0))),
+        ("target-older-than-source", seq(new) < seq(old)),
+        ("nothing-installed", installed is None),
+        ("installed-root", installed is not None and installed.get("root_hash") != old.get("root_hash")),
+        ("installed-seq", installed is not None and seq(installed) != seq(old)),
+        ("installed-id", installed is not None and installed.get("release_id") != old.get("release_id")),
+    ]
+    return [name for name, bad in tests if bad]

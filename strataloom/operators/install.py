@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunking import fixed_chunks
+from . import prefix
 from .diff import unique_chunks
 from .release import file_digests
 
@@ -15,13 +15,16 @@ def resolve(chunks: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def extract(members: DataFrame, tree: DataFrame, size: int = 256) -> DataFrame:
-    """Files rebuilt from their chunks in order: (path, size, sha256, rebuilt_size). A file's chunks meet in one row."""
+    """Files rebuilt from their chunks in order: (path, size, sha256, rebuilt_size)."""
     parts = members.select("path", "size", F.explode(F.expr(f"if(octet_length(content) > 0, sequence(0, octet_length(content) - 1, {size}), array(0))")).alias("o"), "content")
     parts = parts.select("path", "size", "o", F.sha2(F.substring("content", F.col("o") + 1, F.lit(size)), 256).alias("chunk_id"))
-    payload = fixed_payloads(tree, size)
-    rows = parts.join(payload, "chunk_id").groupBy("path", "size").agg(F.array_sort(F.collect_list(F.struct("o", "payload"))).alias("p"))
-    body = F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.payload))")
-    return rows.select("path", "size", F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("bigint").alias("rebuilt_size"))
+    rows = parts.join(fixed_payloads(tree, size), "chunk_id").groupBy("path", "size").agg(in_order("o", "payload").alias("body"))
+    return rows.select("path", "size", F.sha2("body", 256).alias("sha256"), F.octet_length("body").cast("bigint").alias("rebuilt_size"))
+
+
+def in_order(place: str, payload: str) -> Column:
+    """An aggregate: the payloads of a group, one after the other by place; every byte is copied once. A group is one file."""
+    return F.expr(f"listagg({payload}) within group (order by {place})")
 
 
 def fixed_payloads(tree: DataFrame, size: int = 256) -> DataFrame:
@@ -58,13 +61,8 @@ def fetch_accounting(required: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def first_seen(stored: DataFrame) -> DataFrame:
-    """Ordinal of each chunk by its first use: ranks within a directory and the directories' totals before it."""
-    name = F.slice(F.split("first_path", "/"), 1, 2)
-    dealt = stored.withColumn("_dir", name)
-    total = dealt.groupBy("_dir").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_dir").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("_dir").orderBy(F.split("first_path", "/"), "first_offset")
-    out = dealt.withColumn("_k", F.row_number().over(within)).join(F.broadcast(total.select("_dir", "_base")), "_dir")
-    return out.select("chunk_id", "first_path", "first_offset", (F.col("_base") + F.col("_k")).cast("bigint").alias("ordinal"))
+    """Ordinal of each chunk by its first use."""
+    return prefix.ordinals(stored.select("chunk_id", "first_path", "first_offset"), [F.split("first_path", "/"), F.col("first_offset")], "ordinal")
 
 
 def cache_index(entries: DataFrame) -> DataFrame:
@@ -85,16 +83,8 @@ def cache_upsert(index: DataFrame, touches: DataFrame) -> DataFrame:
 
 
 def cache_gc(index: DataFrame, limit: int, older_than: int | None = None) -> DataFrame:
-    """Rows that go, least recently used first, until the total is within the limit; rows too young stay and don't count.
-
-    The running sum is two-level over ranges of last_used, so one task sees one range; only range totals meet.
-    """
+    """Rows that go, least recently used first, until the total is within the limit; rows too young stay and don't count."""
     total = index.agg(F.coalesce(F.sum("raw_len"), F.lit(0)).alias("_all"))
     rows = index if older_than is None else index.where(F.col("last_used") <= older_than)
-    rows = rows.withColumn("_range", F.floor(F.col("last_used") / 86_400))
-    sums = rows.groupBy("_range").agg(F.sum("raw_len").alias("_n"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = Window.partitionBy("_range").orderBy("last_used", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    freed = F.col("_base") + F.coalesce(F.sum("raw_len").over(before), F.lit(0))
-    out = rows.join(base.select("_range", "_base"), "_range").withColumn("_freed", freed).crossJoin(F.broadcast(total))
+    out = prefix.sums_before(rows, [F.col("last_used"), F.col("chunk_id")], "raw_len", "_freed").crossJoin(F.broadcast(total))  # one row
     return out.where(F.col("_all") - F.col("_freed") > limit).select(*index.columns)

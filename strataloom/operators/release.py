@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.trees import order_key
+from . import prefix
+from .codec import compress_chunks
 
-PACK_SHARDS = 64
+#: Lines that a bucket of the root hash holds, about.
+BUCKET_LINES = 1 << 16
 
 
 def file_digests(tree: DataFrame) -> DataFrame:
@@ -25,21 +31,9 @@ def first_writers(chunks: DataFrame) -> DataFrame:
     return out.select("chunk_id", "raw_len", F.col("first.path").alias("first_path"), F.col("first.file_offset").alias("first_offset"), "refs")
 
 
-def pack_offsets(stored: DataFrame) -> DataFrame:
-    """stored(chunk_id, raw_len, first_path, first_offset) with its place in the pack.
-
-    The running sum is two-level: rows are dealt into ranges of the write order by the first component and a sorted
-    exchange; a range's total is added to the ranges after it. Only ranges, one per leading directory, meet in one task.
-    """
-    key = F.struct(order_key("first_path"), F.col("first_offset"), F.col("chunk_id"))
-    shard = F.concat_ws("/", F.slice(order_key("first_path"), 1, 2))
-    dealt = stored.withColumn("_key", key).withColumn("_shard", F.slice(order_key("first_path"), 1, 2)).withColumn("_name", shard)
-    total = dealt.groupBy("_name", "_shard").agg(F.sum("raw_len").alias("_sum"))
-    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("_name", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_name").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("_in", F.coalesce(F.sum("raw_len").over(within), F.lit(0))).join(F.broadcast(base), "_name")
-    return out.select(*stored.columns, (F.col("_base") + F.col("_in")).cast("bigint").alias("pack_offset"))
+def pack_offsets(stored: DataFrame, length: str = "raw_len") -> DataFrame:
+    """stored(chunk_id, raw_len, first_path, first_offset, ...) with its place in the pack: the sum of `length` before it in write order."""
+    return prefix.sums_before(stored, [order_key("first_path"), F.col("first_offset"), F.col("chunk_id")], length, "pack_offset")
 
 
 def file_offsets(chunks: DataFrame) -> DataFrame:
@@ -48,12 +42,22 @@ def file_offsets(chunks: DataFrame) -> DataFrame:
     return chunks.select("path", "file_offset", "raw_len", F.coalesce(F.sum("raw_len").over(before), F.lit(0)).cast("bigint").alias("running_offset"))
 
 
-def release_metrics(tree: DataFrame, chunks: DataFrame) -> DataFrame:
+def stored_chunks(tree: DataFrame, cutting, codec: str = "auto") -> DataFrame:
+    """Every chunk once, as it is stored: chunk_id, raw_len, first_path, first_offset, refs, codec, pack_len, compressed_hash, payload."""
+    parts = cutting(tree, payload=True)
+    body = parts.select("chunk_id", "payload").dropDuplicates(["chunk_id"])
+    return compress_chunks(first_writers(cutting(tree)).join(body, "chunk_id"), codec)
+
+
+def release_metrics(tree: DataFrame, chunks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One row of totals. stored(pack_len) has what is stored for each chunk; without it chunks are stored raw."""
     files = tree.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("logical_size"))
     each = chunks.groupBy("chunk_id").agg(F.first("raw_len").alias("raw_len"), F.count("*").alias("refs"))
-    stored = each.agg(F.count("*").alias("unique_chunks"), F.coalesce(F.sum("raw_len"), F.lit(0)).cast("bigint").alias("stored_bytes"), F.coalesce(F.sum(F.col("refs") - 1), F.lit(0)).cast("bigint").alias("reused_refs"))
-    both = files.crossJoin(stored)  # one row each
-    return both.withColumn("storage_ratio", F.when(F.col("logical_size") > 0, F.col("stored_bytes") / F.col("logical_size")).otherwise(F.lit(0.0)))
+    unique = each.agg(F.count("*").alias("unique_chunks"), F.coalesce(F.sum("raw_len"), F.lit(0)).cast("bigint").alias("stored_bytes"), F.coalesce(F.sum(F.col("refs") - 1), F.lit(0)).cast("bigint").alias("reused_refs"))
+    if stored is not None:
+        unique = unique.drop("stored_bytes").crossJoin(stored.agg(F.coalesce(F.sum("pack_len"), F.lit(0)).cast("bigint").alias("stored_bytes")))
+    both = files.crossJoin(unique)  # one row each
+    return both.withColumn("storage_ratio", F.when(F.col("logical_size") > 0, F.bround(F.col("stored_bytes") / F.col("logical_size"), 6)).otherwise(F.lit(0.0)))
 
 
 def tree_size(tree: DataFrame) -> DataFrame:
@@ -61,24 +65,53 @@ def tree_size(tree: DataFrame) -> DataFrame:
 
 
 def _digest(rows: DataFrame, line: Column) -> DataFrame:
-    """SHA-256 over a line per file, in path order, in two levels: files of a directory pair, then their digests' lines."""
-    return rows.agg(F.array_sort(F.collect_list(F.struct(order_key().alias("k"), line.alias("line")))).alias("l")).select(F.sha2(F.array_join("l.line", ""), 256).alias("digest"), F.size("l").cast("bigint").alias("files"))
+    """SHA-256 over a line per file, in path order.
+
+    That digest is sequential by definition: its lines, not the contents, pass one task as a sorted stream, in bounded memory.
+    """
+
+    def run(batches):
+        total, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total.update(text)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()]), pa.array([n], pa.int64())], ["digest", "files"])
+
+    one = rows.select(order_key().alias("k"), line.cast("binary").alias("line")).repartition(1).sortWithinPartitions("k")
+    return one.select("line").mapInArrow(run, "digest string, files bigint")
 
 
 def tree_digest(tree: DataFrame, with_size: bool = True) -> DataFrame:
-    """SHA-256 of `path NUL size NUL hash` lines in path order, or of `path NUL hash` lines. The lines alone are gathered."""
+    """SHA-256 of `path NUL size NUL hash` lines in path order, or of `path NUL hash` lines. root_hash has no sequential step."""
     parts = ["path", F.col("size").cast("string"), "file_hash"] if with_size else ["path", "file_hash"]
     return _digest(file_digests(tree), F.concat(F.concat_ws("\0", *parts), F.lit("\n")))
 
 
-def root_hash(tree: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A digest of digests by bucket of path and chunk: every file and chunk line counts, none is gathered in one task."""
+def bucket_digits(lines: int, most: int = BUCKET_LINES) -> int:
+    """Hex digits of the buckets of so many lines: 3, 6, 9, ..., so that a bucket holds `most` lines at most, about."""
+    digits = 3
+    while lines > most * 16**digits:
+        digits += 3
+    return digits
+
+
+def root_hash(tree: DataFrame, chunks: DataFrame, most: int = BUCKET_LINES) -> DataFrame:
+    """A tree of digests by hash of path and chunk: every file and chunk line counts.
+
+    Lines are sorted and hashed in buckets of bucket_digits() of their key's digest; 4,096 buckets at a time are folded
+    into one, so a task holds one bucket's lines whatever the number of files.
+    """
 
     def folded(rows: DataFrame, key: str, line: Column, name: str) -> DataFrame:
-        bucket = F.substring(F.sha2(F.col(key), 256), 1, 3)
+        digits = bucket_digits(rows.count(), most)
+        bucket = F.substring(F.sha2(F.col(key), 256), 1, digits)
         leaf = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("leaf"))
-        top = leaf.agg(F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", "leaf"))).alias("l"))  # 4,096 buckets at most
-        return top.select(F.sha2(F.array_join("l", "\n"), 256).alias(name))
+        while digits:
+            digits -= 3
+            lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", "leaf"))), "\n")  # 4,096 at most
+            leaf = leaf.groupBy(F.substring("bucket", 1, digits).alias("above")).agg(F.sha2(lines, 256).alias("leaf")).withColumnRenamed("above", "bucket")
+        return leaf.agg(F.coalesce(F.max("leaf"), F.sha2(F.lit(""), 256)).alias(name))
 
     files = folded(file_digests(tree), "path", F.concat_ws(" ", "path", F.col("size").cast("string"), "file_hash"), "files_hash")
     parts = folded(chunks.select("chunk_id", "raw_len").distinct(), "chunk_id", F.concat_ws(" ", "chunk_id", F.col("raw_len").cast("string")), "chunks_hash")

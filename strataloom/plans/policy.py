@@ -20,13 +20,15 @@ def gib(n: Column) -> Column:
 
 
 def egress_cost(n: Column, downloads: Column, price: Column) -> Column:
-    return gib(n) * F.greatest(downloads, F.lit(0)) * price
+    return F.bround(gib(n) * F.greatest(downloads, F.lit(0)) * price, 6)
 
 
-def _best(key: list[str], where: Column | None = None) -> Column:
-    """The plan that is least by key, then by ordinal."""
-    chosen = F.struct(*key, "ordinal", "plan") if where is None else F.when(where, F.struct(*key, "ordinal", "plan"))
-    return F.min(chosen)["plan"]
+def _best(key: list[str], where: Column = F.lit(True)) -> Column:
+    """The plan that is least by key, then by ordinal, among those whose key is known."""
+    known = where
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    return F.min(F.when(known, F.struct(*key, "ordinal", "plan")))["plan"]
 
 
 def enrich(plans: DataFrame, transfer_price: float, hour_price: float) -> DataFrame:
@@ -38,46 +40,120 @@ def enrich(plans: DataFrame, transfer_price: float, hour_price: float) -> DataFr
 
 
 def recommend(costed: DataFrame, by: list[str]) -> DataFrame:
-    """By group: the cheapest in total, in transfer, of our own, the least bytes, the fastest, and the balanced one."""
+    """By group, over plans of known bytes, 0 included: the least bytes of all (also the choice for mass distribution) and
+    of our own, the choice for public distribution, the least total cost of all, of our own and of others, the fastest
+    of our own that was timed, and the cheapest of our own within a band of the least bytes.
+    """
+    costed = costed.where("bytes is not null")
     own, ext = ~F.col("external"), F.col("external")
     least = costed.groupBy(*by).agg(F.min(F.when(own, F.col("bytes"))).alias("_least"))
-    rows = costed.join(F.broadcast(least), by) if by else costed.crossJoin(F.broadcast(least))
+    rows = costed.join(least, by) if by else costed.crossJoin(F.broadcast(least))  # then it is one row
     band = own & (F.col("bytes") <= F.floor(F.col("_least") * F.lit(1 + BALANCED_RATIO)))
+    smallest = F.min(F.struct("bytes", "ordinal", "plan", "external"))
     return rows.groupBy(*by).agg(
+        smallest["plan"].alias("smallest"),
+        _best(["bytes"], own).alias("own_smallest"),
+        F.when(smallest["external"], smallest["plan"]).otherwise(_best(["bytes"], own)).alias("public"),
         _best(["total"]).alias("lowest_total"),
-        _best(["per_download"]).alias("lowest_transfer"),
         _best(["total"], own).alias("own_lowest_total"),
-        _best(["bytes"], own).alias("own_lowest_bytes"),
-        _best(["seconds"], own).alias("own_fastest"),
         _best(["total"], ext).alias("external_lowest_total"),
+        _best(["seconds"], own).alias("own_fastest"),
         _best(["total"], band).alias("balanced"),
     )
 
 
 def adaptive(runs: DataFrame) -> DataFrame:
-    """Bandwidth, speed and default choice; the fixed chunker overrides where it is close in bytes and not slower."""
+    """Bandwidth, speed and default choice over runs(ordinal, plan, bytes, seconds); an unknown time counts as none taken.
+
+    The default is the fastest near the least bytes; the fixed chunker overrides where it is close in bytes and not
+    slower. The fastest near plan of the strided chunker or a large-file profile is named beside it.
+    """
+    runs = runs.withColumn("bytes", F.coalesce("bytes", F.lit(0))).withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
     best = runs.agg(F.min("bytes").alias("_best"))
-    rows = runs.crossJoin(F.broadcast(best))
+    rows = runs.crossJoin(F.broadcast(best))  # one row
     near = F.col("bytes") <= F.col("_best") + F.greatest(F.floor(F.col("_best") * F.lit(NEAR_RATIO)), F.lit(NEAR_BYTES))
+    strided = F.col("plan").startswith("fastcdc") | F.col("plan").startswith("large-file")
     got = rows.agg(
         _best(["bytes"]).alias("bandwidth"),
         _best(["seconds"]).alias("speed"),
+        _best(["seconds"], near & strided).alias("near_best_strided"),
         F.min(F.when(near, F.struct("seconds", "ordinal", "plan"))).alias("_default"),
-        F.min(F.when(F.col("plan") == "fixed", F.struct("bytes", "seconds"))).alias("_fixed"),
+        F.min(F.when(F.col("plan") == "fixed", F.struct("ordinal", "bytes", "seconds"))).alias("_fixed"),
         F.min("_best").alias("best_bytes"),
     )
     close = (F.col("best_bytes") > 0) & ((F.col("_fixed.bytes") - F.col("best_bytes")) / F.col("best_bytes") <= FIXED_CLOSE) & (F.col("_fixed.seconds") <= F.col("_default.seconds"))
-    return got.select("bandwidth", "speed", F.when(F.coalesce(close, F.lit(False)), "fixed").otherwise(F.col("_default.plan")).alias("default"), "best_bytes")
+    return got.select("bandwidth", "speed", F.when(F.coalesce(close, F.lit(False)), "fixed").otherwise(F.col("_default.plan")).alias("default"), "near_best_strided", "best_bytes")
 
 
 def hybrid(plans: DataFrame) -> DataFrame:
-    """Over plans that move something: the smallest, the best of our own, the fastest of our own near it."""
-    rows = plans.where("bytes > 0")
+    """Over plans that move something: the smallest, the best of our own, the fastest timed of our own near it, else that
+    best one, and the fastest timed of our own. A time of 0 is taken for one that wasn't measured well: it comes last.
+    """
+    rows = plans.where("bytes > 0").withColumn("seconds", F.when(F.col("seconds") == 0, 1e99).otherwise(F.col("seconds")))
     own = ~F.col("external")
     best = rows.agg(F.min(F.when(own, F.col("bytes"))).alias("_own"))
-    rows = rows.crossJoin(F.broadcast(best))
+    rows = rows.crossJoin(F.broadcast(best))  # one row
     near = own & (F.col("bytes") <= F.greatest(F.floor(F.col("_own") * F.lit(1 + NEAR_RATIO)), F.col("_own") + NEAR_BYTES))
-    return rows.agg(_best(["bytes"]).alias("smallest"), _best(["bytes"], own).alias("own_best"), _best(["seconds"], near).alias("default"), _best(["seconds"], own).alias("speed"))
+    got = rows.agg(_best(["bytes"]).alias("smallest"), _best(["bytes"], own).alias("own_best"), _best(["seconds"], near).alias("_timed"), _best(["seconds"], own).alias("speed"))
+    return got.select("smallest", "own_best", F.coalesce("_timed", "own_best").alias("default"), "speed")
+
+
+#: Names of the baselines that a projection is held against.
+BASELINES = ["file_level_raw", "file_level_tar_zstd", "full_tar_zstd"]
+
+
+def project_costs(runs: DataFrame, downloads: int, price: float) -> DataFrame:
+    """runs(..., bytes and a column for each of BASELINES) with their cost, and bytes, cost and ratio saved against each.
+
+    What is held against a baseline that is unknown or 0 is null; bytes and ratios saved are at least 0, costs aren't.
+    """
+    count, unit = F.lit(downloads), F.lit(float(price))
+    out = runs.withColumn("bytes", F.coalesce("bytes", F.lit(0)).cast("bigint"))
+    cost = egress_cost(F.col("bytes"), count, unit)
+    out = out.withColumn("gib_per_download", F.bround(gib(F.col("bytes")), 6)).withColumn("estimated_cost", cost)
+    for name in BASELINES:
+        base = F.when(F.col(name) > 0, F.col(name))
+        left = base - F.col("bytes")
+        out = out.withColumn(f"saved_vs_{name}_bytes", F.when(left > 0, left).otherwise(left * 0).cast("bigint"))
+        out = out.withColumn(f"saved_vs_{name}_cost", F.bround(egress_cost(base, count, unit) - cost, 6))
+        out = out.withColumn(f"saved_vs_{name}_ratio", F.bround(F.when(left > 0, left / base).otherwise(left * 0.0), 6))
+    return out
+
+
+def summary_rows(runs: DataFrame) -> DataFrame:
+    """A row of a comparison for each of runs: what was measured, and ratios saved, null where the baseline is unknown or 0."""
+    saved = lambda base: F.bround(F.when(F.col(base) > 0, F.greatest(F.lit(0), F.col(base) - F.col("download_pack_bytes")) / F.col(base)), 6)
+    raw = F.coalesce(saved("file_level_raw"), F.lit(1.0))  # nothing changed: all is saved
+    return runs.select(
+        "scenario", "profile", "method", "chunker", "method_profile", "stride", "logical_bytes", "full_tar_gz", "full_tar_zstd", "file_level_raw", "file_level_tar_gz", "file_level_tar_zstd",
+        "download_pack_bytes", "download_raw_bytes", "chunk_reuse_ratio", raw.alias("saved_ratio_vs_file_level_raw"), saved("file_level_tar_zstd").alias("saved_ratio_vs_file_level_tar_zstd"),
+        saved("full_tar_zstd").alias("saved_ratio_vs_full_tar_zstd"), "reused_chunks", "added_chunks", "removed_chunks", "old_seconds", "new_seconds", F.bround(F.col("old_seconds") + F.col("new_seconds"), 4).alias("total_seconds"),
+    )
+
+
+def external_rows(values: DataFrame, downloads: int, price: float) -> DataFrame:
+    """Plans for the known of values(ordinal, plan, bytes): external, never timed."""
+    known = values.where("bytes is not null")
+    cost = gib(F.col("bytes")) * F.lit(float(downloads)) * F.lit(float(price))
+    return known.select("ordinal", plan_key(F.lit("external"), F.col("plan")).alias("plan"), F.lit(True).alias("external"), "bytes", gib(F.col("bytes")).alias("gib"), cost.alias("estimated_cost"), F.lit(None).cast("double").alias("seconds"))
+
+
+def plan_key(codec: Column, method: Column) -> Column:
+    """`codec:method`, the method alone without a codec."""
+    method = F.coalesce(method, F.lit(""))
+    return F.when(F.coalesce(codec, F.lit("")) == "", method).otherwise(F.concat(codec, F.lit(":"), method))
+
+
+def step_metrics(fetches: DataFrame) -> DataFrame:
+    """fetches with the chunks seen and the shares that came from the cache and over the network, null where nothing was seen."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    seen, moved = n("downloaded_chunks") + n("cache_hit_chunks"), n("downloaded_pack_bytes") + n("reused_cache_raw_bytes")
+    return fetches.select(
+        "*",
+        seen.alias("total_chunks_seen"),
+        (n("cache_hit_chunks") / F.nullif(seen, F.lit(0))).alias("cache_hit_ratio"),
+        (n("downloaded_pack_bytes") / F.nullif(moved, F.lit(0))).alias("downloaded_vs_reused_ratio"),
+    )
 
 
 def break_even(a_transfer: Column, a_pack: Column, b_transfer: Column, b_pack: Column) -> Column:
@@ -87,33 +163,71 @@ def break_even(a_transfer: Column, a_pack: Column, b_transfer: Column, b_pack: C
 
 
 def verdict(own: Column, external: Column) -> Column:
-    ratio = own / F.nullif(external, F.lit(0.0))
-    return F.when(own.isNull() | ratio.isNull(), "inconclusive").when(ratio < WIN, "win").when(ratio > LOSS, "loss").otherwise("near_tie")
+    """How our least cost stands against the least external one; a cost of 0 or none says nothing."""
+    ratio = own / external
+    known = (F.coalesce(own, F.lit(0)) != 0) & (F.coalesce(external, F.lit(0)) != 0)
+    return F.when(~known, "inconclusive").when(ratio < WIN, "win").when(ratio > LOSS, "loss").otherwise("near_tie")
+
+
+# Thresholds, classes and the claim that each class allows.
+STRONG, WEAK = 0.50, 0.10
+CLAIMS = {
+    "invalid": "do_not_claim",
+    "unknown": "do_not_claim",
+    "strong_win": "safe_positive_example",
+    "moderate_or_weak_win": "qualified_positive_example",
+    "near_no_win": "negative_or_neutral_example",
+    "regression": "negative_example",
+}
 
 
-def savings_class(ok: Column, saved: Column) -> Column:
-    return F.when(~ok, "invalid").when(saved.isNull(), "unknown").when(saved >= 0.5, "strong_win").when(saved >= 0.1, "moderate_win").when(saved > 0, "near_no_win").otherwise("regression")
+def savings_class(ok: Column, saved: Column, strong: float = STRONG, weak: float = WEAK) -> Column:
+    return (
+        F.when(~F.coalesce(ok, F.lit(False)), "invalid")
+        .when(saved.isNull(), "unknown")
+        .when(saved >= strong, "strong_win")
+        .when(saved >= weak, "moderate_or_weak_win")
+        .when(saved > 0, "near_no_win")
+        .otherwise("regression")
+    )
+
+
+def claim_bucket(label: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in CLAIMS.items() for x in pair])[label]
 
 
 def claims(classes: Column) -> Column:
-    """A headline from the set of classes that occur."""
+    """A headline from the set of classes that occur: strong gains, strong gains beside limits, or no strong gains."""
     has = lambda c: F.array_contains(classes, c)
-    return F.when(has("invalid"), "incomplete").when(has("regression") & (has("strong_win") | has("moderate_win")), "mixed").when(has("regression"), "not-supported").otherwise("supported")
+    return F.when(has("strong_win") & (has("near_no_win") | has("regression")), "strong-and-limits").when(has("strong_win"), "strong").otherwise("not-strong")
 
 
 def artifact_class(best: Column, raw: Column, converted: Column, logical: Column) -> Column:
-    """Ordered rules over the ratios to the logical size and to the best baseline."""
-    share = lambda x, y: x / F.nullif(y, F.lit(0))
+    """Ordered rules over what our best plan moves, against the whole artifact, raw changed files and the best compressed baseline."""
+    share = lambda y: F.when(y > 0, best / y)
+    whole, plain, packed = share(logical), share(raw), share(converted)
     return (
-        F.when(logical.isNull() | (logical <= 0) | best.isNull(), "unknown")
-        .when(share(raw, logical) >= 0.9, F.when(share(converted, logical) < 0.25, "convert-first").otherwise("incompressible"))
-        .when(share(best, logical) <= 0.01, "tiny-update")
-        .when(share(best, logical) <= 0.25, "good-fit")
-        .when(share(best, logical) <= 0.75, "partial-fit")
-        .otherwise("poor-fit")
+        F.when(best.isNull(), "invalid")
+        .when(whole >= 0.90, "bad-fit")
+        .when(plain >= 0.90, "near-parity")
+        .when(packed <= 0.25, "high-reuse-win")
+        .when(packed <= 0.75, "moderate-win")
+        .when(packed.isNotNull() & (plain <= 0.25), "compressed-baseline-parity")
+        .when(packed.isNotNull(), "near-parity")
+        .when(plain <= 0.01, "high-reuse-win")
+        .when(plain <= 0.25, "moderate-win")
+        .otherwise("unknown")
     )
 
 
-def showcase_class(warm: Column, full: Column) -> Column:
-    r = warm / F.nullif(full, F.lit(0))
-    return F.when(r.isNull(), "unknown").when(r <= 0.05, "excellent").when(r <= 0.35, "good").when(r <= 0.85, "fair").otherwise("weak")
+def showcase_class(ok: Column, warm: Column, full: Column) -> Column:
+    """By the share of the full payload that a warm update moves; an unknown or empty payload counts as a share of 1."""
+    r = F.when(F.coalesce(full, F.lit(0)) != 0, warm / full).otherwise(F.lit(1.0))
+    return (
+        F.when(~F.coalesce(ok, F.lit(False)), "failed")
+        .when(warm.isNull(), "pass_metrics_unavailable")
+        .when(r <= 0.05, "high-reuse-win")
+        .when(r <= 0.35, "moderate-win")
+        .when(r <= 0.85, "partial-win")
+        .otherwise("near-parity-or-bad-fit")
+    )

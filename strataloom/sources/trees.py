@@ -31,6 +31,20 @@ def directory_tree(spark: SparkSession, root: str) -> DataFrame:
     return every.withColumn("path", rel).where(~F.array_contains(F.split("path", "/"), PRIVATE))
 
 
+def local_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mode, mtime_ns) of the files below a folder of the driver's file system, from their directory entries."""
+    import os
+
+    rows = []
+    for folder, names, files in os.walk(root):
+        names[:] = [x for x in names if x != PRIVATE]
+        for name in files:
+            at = os.path.join(folder, name)
+            state = os.stat(at)
+            rows.append((os.path.relpath(at, root), state.st_mode & 0o777, state.st_mtime_ns))
+    return spark.createDataFrame(rows, "path string, mode int, mtime_ns bigint")
+
+
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".txt")))

@@ -56,7 +56,48 @@ def test_reports(spark, tmp_path):
 
 
 def test_reports_are_whole(spark):
-    assert reports.markdown(spark.range(reports.MOST_ROWS)).count("\n") == reports.MOST_ROWS + 2
-    for report in (reports.markdown, reports.html_table):
-        with pytest.raises(ValueError, match="at most"):
-            report(spark.range(reports.MOST_ROWS + 1))
+    assert reports.markdown(spark.range(2500)).count("\n") == 2502
+    assert reports.html_table(spark.range(2500)).count("<tr>") == 2501
+
+
+def test_archives_of_reports(tmp_path):
+    import zipfile
+
+    folder = tmp_path / "out"
+    (folder / "a").mkdir(parents=True)
+    for name, n in (("a/x.json", 10), ("big.csv", 3000), ("pack.bin", 5000), ("a/page.HTML", 5), ("release.json", 7)):
+        (folder / name).write_bytes(b"x" * n)
+    light = reports.light_zip(str(folder), str(tmp_path / "l.zip"), 2000 / 1024**2)
+    assert light["files_included"] == 2 and light["skipped_large"] == [{"path": "big.csv", "bytes": 3000}]
+    review = reports.review_zip(str(folder), str(tmp_path / "r.zip"), 2000 / 1024**2)
+    assert review["ok"] and sorted(zipfile.ZipFile(tmp_path / "r.zip").namelist()) == ["MANIFEST.csv", "a/page.HTML", "a/x.json"]
+    assert not reports.review_zip(str(folder), str(tmp_path / "r.zip"), 0)["ok"]
+    assert reports.cleanup(str(folder), 1000 / 1024**2)["matched_files"] == 1 and (folder / "pack.bin").exists()
+    assert reports.cleanup(str(folder), 1000 / 1024**2, apply=True)["removed_bytes"] == 5000 and not (folder / "pack.bin").exists()
+
+
+def test_plans_and_metadata(spark, tmp_path, capsys):
+    tree, r1, r2, target, plan = (str(tmp_path / x) for x in ("tree", "r1", "r2", "target", "plan"))
+    os.makedirs(f"{tree}/bin")
+    with open(f"{tree}/bin/run.sh", "wb") as file:
+        file.write(b"echo\n" * 400)
+    os.chmod(f"{tree}/bin/run.sh", 0o755)
+    os.utime(f"{tree}/bin/run.sh", ns=(1_700_000_000_123_456_789,) * 2)
+    small = ["--chunk-min", "64", "--chunk-avg", "256", "--chunk-max", "1024"]
+    doc = run(capsys, "pack", tree, r1, "--id", "one", *small)[1]
+    assert doc["chunker"]["mode"] == "cdc" and doc["metrics"]["stored_bytes"] < doc["metrics"]["logical_size"]
+    run(capsys, "fetch", r1, target)
+    state = os.stat(f"{target}/bin/run.sh")
+    assert state.st_mode & 0o777 == 0o755 and state.st_mtime_ns == 1_700_000_000_123_456_789
+    with open(f"{tree}/new.txt", "wb") as file:
+        file.write(b"new\n" * 300)
+    run(capsys, "pack", tree, r2, "--id", "two", "--seq", "2", *small)
+    made = run(capsys, "make-patch", r1, r2, plan)[1]
+    d = run(capsys, "diff", r1, r2)[1]
+    assert made["download"]["pack_bytes"] == d["download_pack_bytes"] < d["download_raw_bytes"]
+    assert run(capsys, "fetch", r2, target, "--plan", plan)[1]["downloaded_pack_bytes"] == d["download_pack_bytes"]
+    with pytest.raises(ValueError, match="installed-root"):
+        cli.main(["fetch", r2, target, "--plan", plan])
+    capsys.readouterr()
+    both = run(capsys, "compare-plans", tree, target, *small)[1]
+    assert {p["plan"] for p in both["plans"]} >= {"auto:fixed", "auto:cdc", "external:full-tar.gz"} and both["recommended"]["own_smallest"]
