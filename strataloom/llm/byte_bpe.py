@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids = [x[1] for x in bpe.encode_batch(texts[a:b].to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col]).mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col]).mapInArrow(common.trimmed(run), "doc_id bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -175,7 +175,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 n, ids_sha, back_sha = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

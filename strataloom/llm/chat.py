@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 CONTENT = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int,parts:array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>>>"
 SEGMENT = "conv_id bigint, turn bigint, role string, segment string, loss_start bigint, loss_end bigint, attachments array<struct<ordinal:int,kind:string,ref:string,tokens:bigint>>, expanded_tokens bigint"
 
@@ -120,7 +122,7 @@ def format_turns(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
                 ["conv_id", "turn", "role", "segment", "loss_start", "loss_end", "attachments", "expanded_tokens"],
             )
 
-    return messages.select("conv_id", "turn", "role", "content").mapInArrow(run, SEGMENT)
+    return messages.select("conv_id", "turn", "role", "content").mapInArrow(common.trimmed(run), SEGMENT)
 
 
 def text_content(text) -> F.Column:
@@ -165,7 +167,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if seen:
             yield _digest([row()])
 
-    return in_order(segments).select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return in_order(segments).select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(common.trimmed(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def _digest(rows: list[tuple]) -> pa.RecordBatch:

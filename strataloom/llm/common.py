@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,18 @@ def join_each(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, t
     return salted.join(dealt, [*keys, "salt_hot"], how).drop("salt_hot")
 
 
+def trimmed(run):
+    """run, for mapInArrow, after which its worker gives the memory that it doesn't use back to the system."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # ---- texts in Arrow batches -------------------------------------------------------------------------
 
 

@@ -75,7 +75,7 @@ def _classes(vectors: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // size if x else None for x in raw], pa.int32()), pa.array(raw, pa.binary())], ["id", "dim", "vec"])
 
     rows = vectors.select("id", F.col("embedding").cast("array<float>" if size == 4 else "array<double>").alias("embedding"), F.coalesce(fine, F.lit(False)).alias("ok"))
-    return common.durable(rows.mapInArrow(pack, "id bigint, dim int, vec binary").withColumn("key", F.sha2("vec", 256)))
+    return common.durable(rows.mapInArrow(common.trimmed(pack), "id bigint, dim int, vec binary").withColumn("key", F.sha2("vec", 256)))
 
 
 def _covariance(classes: DataFrame, dim: int, kind: str) -> np.ndarray:
@@ -90,7 +90,7 @@ def _covariance(classes: DataFrame, dim: int, kind: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["i", "x"])
 
     out = np.zeros(dim * dim)
-    for row in classes.select("vec").mapInArrow(sums, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for row in classes.select("vec").mapInArrow(common.trimmed(sums), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         out[row.i] = row.x
     return out.reshape(dim, dim)
 
@@ -169,7 +169,7 @@ def _of_dim(classes: DataFrame, dim: int, threshold: float, kind: str) -> DataFr
                 cell = (np.floor(y / eps).astype(np.int64) + side) @ ((2 * side) ** np.arange(p)[::-1])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(cell)], ["rep", "times", "vec", "cell"])
 
-    placed = common.durable(classes.select("rep", "times", "vec").mapInArrow(place, "rep bigint, times bigint, vec binary, cell bigint"))
+    placed = common.durable(classes.select("rep", "times", "vec").mapInArrow(common.trimmed(place), "rep bigint, times bigint, vec binary, cell bigint"))
     plan, block, room = {}, -1, 0  # cell -> first block, blocks; cells are bounded in number
     for row in sorted(placed.groupBy("cell").agg(F.count("*").alias("n")).collect(), key=lambda r: r.cell):
         if row.n > room:
@@ -206,7 +206,7 @@ def _of_dim(classes: DataFrame, dim: int, threshold: float, kind: str) -> DataFr
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt.select("block", "rep", "times", "vec", "cell").repartition(n, "block").sortWithinPartitions("block", "cell", "rep").select("block", "rep", "times", "vec")
-    blocks = common.durable(rows.mapInArrow(gather, "block bigint, low array<double>, high array<double>, ids binary, times binary, vecs binary"))
+    blocks = common.durable(rows.mapInArrow(common.trimmed(gather), "block bigint, low array<double>, high array<double>, ids binary, times binary, vecs binary"))
     # candidate pairs of blocks: an equi-join on cells of the first two projections, then the boxes' distance
     q = min(2, p)
     cells = [f"transform(sequence(cast(floor(low[{k}] / {eps}) as int) - {{0}}, cast(floor(high[{k}] / {eps}) as int) + {{0}}), x{k} -> x{k})" for k in range(q)]
@@ -250,7 +250,7 @@ def _of_dim(classes: DataFrame, dim: int, threshold: float, kind: str) -> DataFr
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row holds a block
     try:
-        return common.durable(tasks.repartition(n, "ti", "tj").sortWithinPartitions("ti", "tj", "block").mapInArrow(compare, "a bigint, b bigint, n bigint"))
+        return common.durable(tasks.repartition(n, "ti", "tj").sortWithinPartitions("ti", "tj", "block").mapInArrow(common.trimmed(compare), "a bigint, b bigint, n bigint"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 

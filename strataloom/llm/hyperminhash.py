@@ -131,7 +131,7 @@ class Source:
                     more = extra(sets, n)
                     yield pa.RecordBatch.from_arrays([*keys, pa.array(n), *map(pa.array, fp), *more.values()], [*names, "n_shingles", "fp_a", "fp_b", *more])
 
-        return docs.mapInArrow(run, f"{self.schema}, n_shingles bigint, fp_a bigint, fp_b bigint, {schema}")
+        return docs.mapInArrow(common.trimmed(run), f"{self.schema}, n_shingles bigint, fp_a bigint, fp_b bigint, {schema}")
 
     def sketches(self, size: int, rows: int, bands: int) -> DataFrame:
         """... and bands array: the band keys, none for an empty set."""
@@ -218,7 +218,7 @@ def _compare(tasks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     common.small_batches(spark)
     tasks = common.durable(tasks)
     rows = common.join_each(tasks, sets, ["node"], "task", tasks.count()).select("task", "side", "node", "label", "registers", "shingles")
-    return common.durable(rows.repartition(n, "task").sortWithinPartitions("task", "side", "node").mapInArrow(run, "src bigint, dst bigint"))
+    return common.durable(rows.repartition(n, "task").sortWithinPartitions("task", "side", "node").mapInArrow(common.trimmed(run), "src bigint, dst bigint"))
 
 
 def _lead_tasks(near: DataFrame, total: int) -> DataFrame:

@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 ids = [x + end for x in model.encode_batch(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id bigint, ids binary")
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -243,7 +243,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
                     rows += [(doc_id, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 # ---- the linear program, on the histogram -----------------------------------------------------------
@@ -400,7 +400,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
                 slot[at] = lowest[which] + inside % copies[which]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(sequence), pa.array(slot)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
-    dealt = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "salt", "rank").mapInArrow(deal, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint")
+    dealt = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "salt", "rank").mapInArrow(common.trimmed(deal), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint")
     order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has at most `capacity` pieces
     return dealt.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).drop("slot")
 

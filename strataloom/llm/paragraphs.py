@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, hyperminhash, passages
-from .words import Words
+from .words import Words, char_places
 
 LEAST_WORDS = 40
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -51,7 +51,7 @@ def cut_paragraphs(batch: pa.RecordBatch, least_words: int = LEAST_WORDS) -> tup
     at = np.flatnonzero(n >= least_words)
     owner = np.searchsorted(words.text_at, begin, side="right") - 1
     place = np.arange(len(begin)) - np.searchsorted(owner, owner)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chars = char_places(data)
     feed = (stop > begin) & (data[np.maximum(stop - 1, 0)] == 0x0A) if len(data) else np.zeros(len(begin), bool)
     end = stop - feed
     origin = chars[words.text_at[owner]]
@@ -123,7 +123,7 @@ def spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
             for a, b in common.chunks(texts):
                 part = texts[a:b]
                 words = Words(passages.blanked(part, batch.column(2)[a:b].to_pylist()), hashed=False)
-                chars = np.concatenate([[0], np.cumsum((Words(part, hashed=False).data & 0xC0) != 0x80)])
+                chars = char_places(Words(part, hashed=False).data)
                 rows = []
                 for k, (doc_id, runs) in enumerate(zip(batch.column(0)[a:b].to_pylist(), batch.column(3)[a:b].to_pylist(), strict=True)):
                     at, base = words.word_at[k], chars[words.text_at[k]]
@@ -135,7 +135,7 @@ def spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
     some = _parts(_keyed(docs), lists.where("runs is not null"), ["doc_id", "digest"])[0]
     once = some.where("runs is not null").select("doc_id", "text", "gone", "runs")
-    return once.mapInArrow(run, "doc_id bigint, start bigint, end bigint, n_words bigint, component_doc_id bigint, kept boolean").distinct()
+    return once.mapInArrow(common.trimmed(run), "doc_id bigint, start bigint, end bigint, n_words bigint, component_doc_id bigint, kept boolean").distinct()
 
 
 def cut_text(text: bytes, places: list[int], cuts: Iterator[tuple[int, int]]) -> bytes:
@@ -203,7 +203,7 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, columns).filter(stays)
 
     put = some.select(*common.quoted(columns), named["gone"], named["runs"])
-    return put.mapInArrow(run, docs.schema).unionByName(rest.select(*common.quoted(columns)))
+    return put.mapInArrow(common.trimmed(run), docs.schema).unionByName(rest.select(*common.quoted(columns)))
 
 
 def op7_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

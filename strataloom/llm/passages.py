@@ -4,7 +4,7 @@ Of the hashes of all runs of RUN words in a text, winnowing (Schleimer et al.) k
 follow each other; a passage of RUN + SPREAD - 1 = 49 words or more that stands twice, in one document or in two, leaves
 the same hash at both places, whatever stands around it. Shorter runs with more spread would find shorter passages by
 chance, but leave up to SPREAD - 1 words standing at each end of every passage that has to be found. Runs are equal where
-96 bits of two independent hashes are. One exchange counts the hashes; a document's repeated runs are merged.
+96 bits of two hashes of their words are. One exchange counts the hashes; a document's repeated runs are merged.
 
 Places are in order of doc_id, the text's digest and the word. The first place of a run stays, every other one goes, also
 where the run overlaps one that is the first of its kind: each word that goes stands at a place before.
@@ -77,14 +77,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 pick = winnow(h, owner)
                 if not len(pick):
                     continue
-                g = words.windows(RUN, words.hash_spans(words.starts, words.ends, lane=1))[0][pick]
                 h, at, owner = h[pick], at[pick], owner[pick]
                 first, last = places(h, at, owner)
                 at, owner, rows = at[first], owner[first], pa.array(owner[first])
                 ints = [at - words.word_at[owner], last - at + RUN]
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].astype(np.uint32).view(np.int32)), *[k[a:b].take(rows) for k in keys], *[pa.array(x.astype(np.int32)) for x in ints]], ["h", "g", "doc_id", "digest", "word", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(words.run_marks(at, RUN).view(np.int32)), *[k[a:b].take(rows) for k in keys], *[pa.array(x.astype(np.int32)) for x in ints]], ["h", "g", "doc_id", "digest", "word", "words"])
 
-    return docs.select("doc_id", "digest", "text", "gone").mapInArrow(run, "h bigint, g int, doc_id bigint, digest bigint, word int, words int")
+    return docs.select("doc_id", "digest", "text", "gone").mapInArrow(common.trimmed(run), "h bigint, g int, doc_id bigint, digest bigint, word int, words int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def pattern_counts(docs: DataFrame, rules=RULES) -> dict[int, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pattern", "n"])
 
-    found = docs.select("text").mapInArrow(run, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(common.trimmed(run), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
     return {row.pattern: row.n for row in found.collect()}
 
 
@@ -166,7 +166,7 @@ def counted(docs: DataFrame, rules=RULES) -> DataFrame:
                 c = counts_of(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *[pa.array(c[name].astype(np.int64)) for name in COUNTS[:5]], pa.array(base_failed(c)), pa.array(pattern_of(votes(c, rules)))], ["doc_id", *COUNTS[:5], "base_failed", "pattern"])
 
-    return common.durable(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, pattern bigint"))
+    return common.durable(docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, pattern bigint"))
 
 
 def score(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -191,7 +191,7 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
                 c = counts_of(texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(~base_failed(c) & (posterior[pattern_of(votes(c, rules))] >= KEEP_FROM)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
 
 
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def choose_voters(sample: DataFrame) -> np.ndarray:
                 keys, n = np.unique(hashes[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    seen = sample.where("toxic = 1").select("text").mapInArrow(toxic_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_TOXIC}")
+    seen = sample.where("toxic = 1").select("text").mapInArrow(common.trimmed(toxic_counts), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_TOXIC}")
     some = seen.collect()  # features of the bounded sample
     lookup = Lookup(np.array([r.h for r in some], dtype=np.int64).view(U64))
     positive = np.zeros(len(some))
@@ -139,7 +139,7 @@ def choose_voters(sample: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
 
     negative = np.zeros(len(some))
-    for row in sample.where("toxic = 0").select("text").mapInArrow(clean_counts, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for row in sample.where("toxic = 0").select("text").mapInArrow(common.trimmed(clean_counts), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
         negative[row.i] = row.n
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)), pa.array(voter.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[a:b], pa.int32()), lists], ["toxic", "votes"])
 
-    got = sample.select("text", "toxic").mapInArrow(rows, "toxic int, votes array<int>").collect()  # SAMPLE rows at most, VOTERS at most each
+    got = sample.select("text", "toxic").mapInArrow(common.trimmed(rows), "toxic int, votes array<int>").collect()  # SAMPLE rows at most, VOTERS at most each
     common.drop_scratch(start)
     toxic = np.array([r.toxic for r in got], dtype=np.int64)
     if not toxic.size or toxic.min() == toxic.max() or not len(keys):
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(model.scores(texts[a:b]))], ["doc_id", "score"])
 
     held = F.coalesce(fold(F.col("doc_id")) == HELD, F.lit(False))
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
+    return docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id bigint, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
 
 
 def op10_toxicity_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

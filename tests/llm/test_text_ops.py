@@ -129,7 +129,7 @@ def test_word_tokens_survive_a_small_table(monkeypatch):
 def test_word_tokens_of_runs_with_one_hash(monkeypatch):
     import tokenizers
 
-    monkeypatch.setattr(Words, "hash_spans", lambda self, starts, ends, lane=0: (ends - starts).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(Words, "hash_spans", lambda self, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
     own, plain = packing.WordTokens(P.path("word_bpe_49k.json")), tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
     texts = ["one two six ten", "abcabcabcabcabcabcabc abcabcabcabcabdabcabc one", "six two", "", "a b c one. two, end"] * 2
     for text, ids in zip(texts, own.encode_batch(pa.array(texts)), strict=True):
