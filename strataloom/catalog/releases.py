@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import archive, chunking, codec, diff, install, release
 from ..operators.chunking import chunk_sql
+from ..plans import drivers
 from ..sources.ranges import pack_slices
 from ..sources.trees import PAIR_SQL, release_pair
 from . import query
@@ -244,6 +245,45 @@ def diff_summary_packed(spark, sf):
     return diff.diff_summary(release.file_digests(v1), release.file_digests(v2), old, new)
 
 
+# What happened to a document's source between the releases is its scenario; each is an update of its own.
+SCENARIO = "CASE source WHEN 'src1' THEN 'removed' WHEN 'src2' THEN 'middle-insert' WHEN 'src3' THEN 'append-only' WHEN 'src4' THEN 'prefix-overwrite' WHEN 'src5' THEN 'rename-move' WHEN 'src6' THEN 'added' ELSE 'unchanged' END"
+_BY_SOURCE = "regexp_extract(path, '(src[0-9]+)/', 1)"
+_IN = lambda view: f"(SELECT *, {SCENARIO.replace('CASE source', f'CASE {_BY_SOURCE}')} AS scenario FROM {view})"
+
+
+def _in_scenario(rows):
+    return rows.withColumn("scenario", F.expr(SCENARIO.replace("CASE source", f"CASE {_BY_SOURCE}")))
+
+
+_SCENARIOS = f"""a AS (SELECT scenario, chunk_id, any_value(raw_len) AS raw_len FROM {_IN('c1')} GROUP BY ALL), b AS (SELECT scenario, chunk_id, any_value(raw_len) AS raw_len FROM {_IN('c2')} GROUP BY ALL),
+ch AS (SELECT scenario, count(a.chunk_id) FILTER (b.chunk_id IS NOT NULL) AS reused, count(b.chunk_id) AS new_chunks, coalesce(sum(b.raw_len) FILTER (a.chunk_id IS NULL), 0) AS down, coalesce(sum(b.raw_len), 0) AS stored FROM a FULL JOIN b USING (scenario, chunk_id) GROUP BY 1),
+fs AS (SELECT scenario, coalesce(sum(size) FILTER (was IS DISTINCT FROM file_hash), 0) AS changed, coalesce(sum(size), 0) AS whole FROM (SELECT scenario, f.path, f.size, f.file_hash, f1.file_hash AS was FROM {_IN('f2')} f LEFT JOIN f1 ON f1.path = f.path) GROUP BY 1),
+every AS (SELECT scenario FROM {_IN('f1')} UNION SELECT scenario FROM {_IN('f2')})"""
+
+
+@query(
+    sql(F1, F2, C1, C2, _SCENARIOS, """SELECT scenario, CAST(down AS BIGINT) AS update_bytes, CAST(coalesce(changed, 0) AS BIGINT) AS changed_file_bytes, CAST(coalesce(whole, 0) AS BIGINT) AS full_bytes, CASE WHEN new_chunks > 0 THEN round_even(reused / new_chunks, 6) ELSE 1.0 END AS chunk_reuse_ratio,
+  CASE WHEN coalesce(whole, 0) = 0 THEN 'unknown' WHEN 1 - down / whole >= 0.5 THEN 'strong_win' WHEN 1 - down / whole >= 0.1 THEN 'moderate_or_weak_win' WHEN 1 - down / whole > 0 THEN 'near_no_win' ELSE 'regression' END AS class,
+  CASE WHEN coalesce(changed, 0) = 0 OR down = 0 THEN 'inconclusive' WHEN down / changed < 0.8::DOUBLE THEN 'win' WHEN down / changed > 1.2::DOUBLE THEN 'loss' ELSE 'near_tie' END AS verdict
+FROM every LEFT JOIN ch USING (scenario) LEFT JOIN fs USING (scenario)""")
+)
+def scenario_bench(spark, sf):
+    """Fixed chunks, stored raw, by scenario: bytes of the update against changed files and the whole, and how that is classed."""
+    v1, v2, c1, c2 = _pair(spark, sf)
+    files = [_in_scenario(release.file_digests(v)) for v in (v1, v2)]
+    chunks = [_in_scenario(c).groupBy("scenario", "chunk_id").agg(F.first("raw_len").alias("raw_len")).withColumn("pack_len", F.col("raw_len")) for c in (c1, c2)]
+    return drivers.classed(diff.diff_summary(*files, *chunks, by=("scenario",))).select("scenario", "update_bytes", "changed_file_bytes", "full_bytes", "chunk_reuse_ratio", "class", "verdict")
+
+
+@query()
+def plan_bench(spark, sf):
+    """Every chunker and codec on every scenario: bytes as they are stored, and the plans that follow from them."""
+    v1, v2, _, _ = _pair(spark, sf)
+    small = {"fixed_size": chunking.FIXED_SIZE, "min": chunking.CDC_MIN, "avg": chunking.CDC_AVG, "max": chunking.CDC_MAX, "stride": _STRIDE}
+    cuttings = [chunking.Cutting(mode, **small) for mode in ("fixed", "cdc", "fastcdc")]
+    return drivers.choices(drivers.measure(_in_scenario(v1), _in_scenario(v2), cuttings, ["raw", "auto"], by=("scenario",)), ("scenario",))
+
+
 # The size of an uncompressed archive: a block for each header, contents in whole blocks, two blocks at the end, in records of twenty.
 _TAR = lambda rows: f"(SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(ceil((coalesce(sum(512 + 512 * ((size + 511) // 512)), 0) + 1024) / 10240.0) * 10240 AS BIGINT) AS tar_bytes FROM {rows})"
 

@@ -43,13 +43,21 @@ def replace_count(spark, sf):
 
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 1000 AS BIGINT) AS files, CAST(o_custkey AS BIGINT) AS sent, 1234::BIGINT AS received, CAST(o_custkey + 1234 AS BIGINT) AS total FROM orders")
+# Reports with thousands commas, fractions, a repeated line, one without a number, and other lines.
+@query("""SELECT o_orderkey, CAST(o_orderkey % 1000 AS DOUBLE) AS number_of_files, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 7.0 END::DOUBLE AS created, CAST(o_custkey AS DOUBLE) AS total_bytes_sent, 1234.0::DOUBLE AS total_bytes_received, 0.25::DOUBLE AS seconds, CAST(o_custkey + 1234 AS BIGINT) AS network_bytes_total FROM orders""")
 def kv_stats_parse(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    report = F.concat(F.lit("Number of files: "), (F.col("o_orderkey") % 1000).cast("string"), F.lit("\nTotal bytes sent: "), F.format_number(F.col("o_custkey"), 0), F.lit("\nno number here\nTotal bytes received: 1,234\n"))
+    report = F.concat(
+        F.lit("Number of files: 5 (reg: 3)\nNumber of files: "),
+        (F.col("o_orderkey") % 1000).cast("string"),
+        F.lit(" (reg: 1)\nNumber of created files: "),
+        F.when(F.col("o_orderkey") % 3 == 0, "none").otherwise("7 (reg: 7)"),
+        F.lit("\n\nFile list generation time: 0.250 seconds\n  Total bytes sent: "),
+        F.format_number(F.col("o_custkey"), 0),
+        F.lit("\nno number here\nTotal bytes received: 1,234\n\nsent 99 bytes  received 98 bytes  394.00 bytes/sec\ntotal size is 9: speedup 1\n"),
+    )
     got = o.select("o_orderkey", T.kv_stats(report).alias("m"))
-    value = lambda k: F.col("m")[k].cast("bigint")
-    return got.select("o_orderkey", value("Number of files").alias("files"), value("Total bytes sent").alias("sent"), value("Total bytes received").alias("received"), (value("Total bytes sent") + value("Total bytes received")).alias("total"))
+    return got.select("o_orderkey", "m.number_of_files", F.col("m.number_of_created_files").alias("created"), "m.total_bytes_sent", "m.total_bytes_received", F.col("m.file_list_generation_time").alias("seconds"), "m.network_bytes_total")
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.metrics.k'), json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), 'none') AS value FROM events")

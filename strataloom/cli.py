@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -25,6 +25,11 @@ def _abs(path: str) -> str:
 def _cutting(a):
     from .operators.chunking import Cutting
 
+    if a.profile:
+        from .sources import local
+
+        cutting, a.codec = local.profile_options(local.load_profile(a.profile))
+        return cutting
     if a.chunk_size:
         return Cutting("fixed", fixed_size=a.chunk_size)
     return Cutting(a.chunker, a.fixed_size, a.chunk_min, a.chunk_avg, a.chunk_max, a.stride)
@@ -96,27 +101,22 @@ def baselines(spark, a):
 
 def compare_plans(spark, a):
     """Cut both trees by each chunker, store the chunks by each codec and hold what an update moves against whole archives."""
-    import time
-
-    from .operators import archive, chunking, diff as d, release
-    from .sources import trees
+    from .operators.chunking import Cutting
+    from .plans import drivers, policy
+    from .sources import reports, trees
 
     old, new = (trees.directory_tree(spark, _abs(x)).select("path", "content", "size") for x in (a.old, a.new))
-    rows = []
-    for mode in a.chunkers.split(","):
-        for codec in a.codecs.split(","):
-            began = time.monotonic()
-            stored = [scratch.durable(release.stored_chunks(t, chunking.Cutting(mode, a.fixed_size, a.chunk_min, a.chunk_avg, a.chunk_max, a.stride), codec).drop("payload")) for t in (old, new)]
-            seconds = time.monotonic() - began
-            one = d.diff_summary(*map(release.file_digests, (old, new)), *stored).first()
-            rows.append({"plan": f"{codec}:{mode}", "external": False, "bytes": one.download_pack_bytes, "seconds": round(seconds, 4), "chunk_reuse_ratio": one.chunk_reuse_ratio})
-    for r in archive.baseline_sizes(old, new).collect():
-        rows += [{"plan": f"external:{r.kind}-tar.{kind}", "external": True, "bytes": n, "seconds": None, "chunk_reuse_ratio": None} for kind, n in (("gz", r.gz_bytes), ("zst", r.zst_bytes)) if n is not None]
-    table = spark.createDataFrame([(k, r["plan"], r["external"], r["bytes"], r["seconds"], a.downloads) for k, r in enumerate(rows)], "ordinal int, plan string, external boolean, bytes bigint, seconds double, downloads bigint")
-    from .plans import policy
-
-    recommended = policy.recommend(policy.enrich(table, a.cost_per_gib, a.cost_per_hour), []).first()
-    return {"plans": rows, "recommended": recommended.asDict()}
+    sizes = (a.fixed_size, a.chunk_min, a.chunk_avg, a.chunk_max, a.stride)
+    measured = scratch.durable(drivers.measure(old, new, [Cutting(m, *sizes) for m in a.chunkers.split(",")], a.codecs.split(","), timed=True))
+    own = measured.select("ordinal", "plan", F.lit(False).alias("external"), F.col("download_pack_bytes").alias("bytes"), "seconds")
+    external = drivers.external_plans(old, new).select((1000 + F.dense_rank().over(Window.orderBy("plan"))).alias("ordinal"), "plan", F.lit(True).alias("external"), "bytes", F.lit(None).cast("double").alias("seconds"))  # four rows
+    plans = scratch.durable(own.unionByName(external).withColumn("downloads", F.lit(a.downloads)))
+    costed = policy.enrich(plans, a.cost_per_gib, a.cost_per_hour)
+    if a.report:
+        with open(a.report, "w") as file:
+            file.write(reports.markdown(costed.orderBy("ordinal"), "Plans"))
+    adaptive = policy.adaptive(own.select("ordinal", F.substring_index("plan", ":", -1).alias("plan"), "bytes", "seconds")).first()
+    return {"plans": [r.asDict() for r in plans.orderBy("ordinal").collect()], "recommended": policy.recommend(costed, []).first().asDict(), "hybrid": policy.hybrid(plans).first().asDict(), "adaptive": adaptive.asDict()}
 
 
 def light_zip(spark, a):
@@ -178,10 +178,58 @@ def repair_install(spark, a):
 
 
 def doctor(spark, a):
-    from .sources import installed
+    from .sources import installed, local
+
+    journal, found = installed.journal_of(a.install), installed.leftovers(a.install, a.fix)
+    left = installed.leftovers(a.install)
+    audit = audit_install(spark, a) if a.release else None
+    cache = local.rebuild_index(spark, a.cache, a.fix) if a.cache else None
+    return {"ok": not left and (audit is None or audit["ok"]), "journal": journal, "leftovers": found, "audit": audit, "cache": cache}
+
+
+def cache_index(spark, a):
+    from .sources import local
+
+    return local.rebuild_index(spark, a.folder, a.prune)
+
+
+def cache_gc(spark, a):
+    from .sources import local
+
+    return local.collect_garbage(spark, a.folder, local.size_of(a.limit), a.min_age)
+
+
+def profile_show(spark, a):
+    from .sources import local
 
-    found = installed.leftovers(a.install, a.fix)
-    return {"ok": not found, "leftovers": found}
+    held = local.load_profile(a.profile)
+    cutting, codec = local.profile_options(held)
+    return {"ok": True, "name": held["name"], "description": held["description"], "cutting": vars(cutting), "codec": codec}
+
+
+def digest(spark, a):
+    from .sources import local
+
+    return {"mode": a.mode, "sha256": local.digest(spark, a.path, a.mode)}
+
+
+def root_init(spark, a):
+    from .functions import trust
+    from .sources import local
+
+    keys = [local.read_key(k) for k in a.key]
+    return trust.trusted_root(keys, a.expires_at, not a.unsigned, a.min_seq, tuple(a.allow))
+
+
+def serve(spark, a):
+    """Until it is interrupted."""
+    import threading
+
+    from .sources import server
+
+    held = server.serve(a.folder, a.port, server.Faults(a.fail_every, 503, a.truncate_every, a.delay_ms))
+    print(json.dumps({"port": held.server_address[1]}), flush=True)
+    threading.Event().wait()
 
 
 def keygen(spark, a):
@@ -192,10 +240,9 @@ def keygen(spark, a):
 
 def sign(spark, a):
     from .functions import trust
-    from .sources import store
+    from .sources import local, store
 
-    with open(a.key) as file:
-        return trust.sign(spark, store.load_release(spark, _abs(a.release)).document, json.load(file))
+    return trust.sign(spark, store.load_release(spark, _abs(a.release)).document, local.read_key(a.key, private=True))
 
 
 def query(spark, a):
@@ -220,11 +267,11 @@ def parser() -> argparse.ArgumentParser:
     flag = {"action": "store_true"}
     size = lambda n: {"type": int, "default": n}
     sizes = {"fixed_size": size(256 << 10), "chunk_min": size(64 << 10), "chunk_avg": size(256 << 10), "chunk_max": size(1 << 20), "stride": size(16)}
-    add(pack, "tree", "out", id={"default": "release"}, seq=size(1), chunk_size=size(None), chunker={"default": "cdc"}, codec={"default": "auto"}, expires_at={"default": None}, not_before={"default": None}, force=flag, **sizes)
+    add(pack, "tree", "out", id={"default": "release"}, seq=size(1), chunk_size=size(None), chunker={"default": "cdc"}, codec={"default": "auto"}, expires_at={"default": None}, not_before={"default": None}, profile={"default": None}, force=flag, **sizes)
     add(make_patch, "old", "new", "out")
     add(baselines, "old", "new")
     price = lambda x: {"type": float, "default": x}
-    add(compare_plans, "old", "new", chunkers={"default": "fixed,cdc,fastcdc"}, codecs={"default": "auto"}, downloads=size(1000), cost_per_gib=price(0.05), cost_per_hour=price(1.0), **sizes)
+    add(compare_plans, "old", "new", chunkers={"default": "fixed,cdc,fastcdc"}, codecs={"default": "auto"}, report={"default": None}, downloads=size(1000), cost_per_gib=price(0.05), cost_per_hour=price(1.0), **sizes)
     add(light_zip, "folder", "out", max_mb=price(50.0))
     add(review_zip, "folder", "out", max_mb=price(10.0))
     add(cleanup, "folder", min_mb=price(100.0), apply=flag)
@@ -236,7 +283,13 @@ def parser() -> argparse.ArgumentParser:
     add(fetch, "release", "install", mirror={"action": "append", "default": []}, plan={"default": None}, allow_downgrade=flag)
     add(audit_install, "release", "install")
     add(repair_install, "release", "install")
-    add(doctor, "install", fix=flag)
+    add(doctor, "install", fix=flag, release={"default": None}, cache={"default": None})
+    add(cache_index, "folder", prune=flag)
+    add(cache_gc, "folder", "limit", min_age=size(0))
+    add(profile_show, "profile")
+    add(digest, "path", mode={"default": "tree-sha256"})
+    add(root_init, key={"action": "append", "default": []}, allow={"action": "append", "default": []}, expires_at={"default": None}, min_seq=size(0), unsigned=flag)
+    add(serve, "folder", port=size(0), fail_every=size(0), truncate_every=size(0), delay_ms=size(0))
     add(keygen)
     add(sign, "release", "key")
     add(query, "name", "tables", limit={"type": int, "default": 20})

@@ -24,12 +24,12 @@ def chunks_removed(old: DataFrame, new: DataFrame) -> DataFrame:
     return chunks_added(new, old)
 
 
-def file_status(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, status, old_size, new_size) of two file tables(path, size, file_hash): added, removed, changed or unchanged, by content; the size of no file is 0."""
-    a = old.select("path", F.col("file_hash").alias("old_hash"), F.col("size").alias("old_size"))
-    b = new.select("path", F.col("file_hash").alias("new_hash"), F.col("size").alias("new_size"))
+def file_status(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, status, old_size, new_size) of two file tables(path, size, file_hash): added, removed, changed or unchanged, by content; the size of no file is 0. With `by`, each of these groups apart."""
+    a = old.select(*by, "path", F.col("file_hash").alias("old_hash"), F.col("size").alias("old_size"))
+    b = new.select(*by, "path", F.col("file_hash").alias("new_hash"), F.col("size").alias("new_size"))
     status = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("changed")
-    return a.join(b, "path", "full_outer").select("path", status.alias("status"), F.coalesce("old_size", F.lit(0)).alias("old_size"), F.coalesce("new_size", F.lit(0)).alias("new_size"))
+    return a.join(b, [*by, "path"], "full_outer").select(*by, "path", status.alias("status"), F.coalesce("old_size", F.lit(0)).alias("old_size"), F.coalesce("new_size", F.lit(0)).alias("new_size"))
 
 
 def file_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -61,18 +61,18 @@ def stored_raw(chunks: DataFrame) -> DataFrame:
     return unique_chunks(chunks).withColumn("pack_len", F.col("raw_len"))
 
 
-def diff_summary(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row of what an update moves.
+def diff_summary(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What an update moves: one row, or one for each group of `by`, which all four tables have.
 
     Files are (path, size, file_hash), chunks (chunk_id, raw_len, pack_len), one row each. Bytes to download are stored
     ones, `download_raw_bytes` those before compression. Reuse goes by the number of distinct chunks. Added files count
     as changed. Savings are at least 0; a ratio is 1 where nothing changed, and 0 of nothing stored.
     """
-    a = old.select("chunk_id", F.lit(True).alias("is_old"))
-    b = new.select("chunk_id", F.lit(True).alias("is_new"), "raw_len", "pack_len")
+    a = old.select(*by, "chunk_id", F.lit(True).alias("is_old"))
+    b = new.select(*by, "chunk_id", F.lit(True).alias("is_new"), "raw_len", "pack_len")
     is_old, is_new = F.coalesce("is_old", F.lit(False)), F.coalesce("is_new", F.lit(False))
     total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
-    chunks = a.join(b, "chunk_id", "full_outer").agg(
+    chunks = a.join(b, [*by, "chunk_id"], "full_outer").groupBy(*by).agg(
         F.count_if(is_old).alias("old_unique_chunks"),
         F.count_if(is_new).alias("new_unique_chunks"),
         F.count_if(is_old & is_new).alias("reused_chunks"),
@@ -84,7 +84,7 @@ def diff_summary(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new
         total(is_new, "raw_len").alias("raw_unique_size_new"),
     )
     changed = F.col("status").isin("added", "changed")
-    files = file_status(old_files, new_files).agg(
+    files = file_status(old_files, new_files, by).groupBy(*by).agg(
         F.count_if(F.col("status") == "added").alias("files_added"),
         F.count_if(F.col("status") == "removed").alias("files_removed"),
         F.count_if(changed).alias("files_changed"),
@@ -94,7 +94,8 @@ def diff_summary(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new
     )
     left = lambda whole, part: F.greatest(F.lit(0), F.col(whole) - F.col(part)).cast("bigint")
     ratio = lambda part, whole, none: F.when(F.col(whole) > 0, F.bround(F.col(part) / F.col(whole), 6)).otherwise(F.lit(none))
-    one = chunks.crossJoin(files)  # one row each
+    # one row each, or one for each group; a group of empty files only has no chunks
+    one = files.join(chunks, list(by), "left").na.fill(0) if by else chunks.crossJoin(files)
     one = one.withColumn("chunk_reuse_ratio", ratio("reused_chunks", "new_unique_chunks", 1.0))
     one = one.withColumn("saved_vs_full_stored", left("stored_size_new", "download_pack_bytes"))
     one = one.withColumn("saved_ratio_vs_full_stored", ratio("saved_vs_full_stored", "stored_size_new", 0.0))

@@ -65,10 +65,14 @@ def first_seen(stored: DataFrame) -> DataFrame:
     return prefix.ordinals(stored.select("chunk_id", "first_path", "first_offset"), [F.split("first_path", "/"), F.col("first_offset")], "ordinal")
 
 
+def cache_status(name: Column, content: Column) -> Column:
+    """A name must be 64 hex digits, and the digest of its content."""
+    return F.when(~name.rlike("^[0-9a-fA-F]{64}$"), "not-a-chunk-name").when(content.isNull(), "unreadable").when(F.sha2(content, 256) != F.lower(name), "sha256-mismatch").otherwise("ok")
+
+
 def cache_index(entries: DataFrame) -> DataFrame:
-    """Entries(name, content) by status: a name must be 64 hex digits, and the content's digest."""
-    status = F.when(~F.col("name").rlike("^[0-9a-fA-F]{64}$"), "not-a-chunk-name").when(F.sha2("content", 256) != F.lower("name"), "sha256-mismatch").otherwise("ok")
-    return entries.groupBy(status.alias("status")).agg(F.count("*").alias("entries"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+    """Entries(name, content) by status."""
+    return entries.groupBy(cache_status(F.col("name"), F.col("content")).alias("status")).agg(F.count("*").alias("entries"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
 
 
 def missing_references(file_chunks: DataFrame, chunks: DataFrame) -> DataFrame:

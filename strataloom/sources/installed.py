@@ -132,6 +132,17 @@ def installed_tree(spark: SparkSession, target: str) -> DataFrame:
     return directory_tree(spark, f"file:{os.path.abspath(target)}").select("path", "content", "size")
 
 
+def journal_of(target: str) -> dict | None:
+    """What the journal of an unfinished install says: its phase and its folders."""
+    try:
+        with open(f"{target.rstrip('/')}.journal") as file:
+            return json.load(file)
+    except FileNotFoundError:
+        return None
+    except (OSError, ValueError) as error:
+        return {"unreadable": str(error)}
+
+
 def leftovers(target: str, fix: bool = False, stale: float = STALE_SECONDS) -> list[tuple[str, str, bool]]:
     """(path, kind, stale) of staging folders, backups, locks and journals beside target; stale ones go if asked."""
     target = os.path.abspath(target)
@@ -143,6 +154,6 @@ def leftovers(target: str, fix: bool = False, stale: float = STALE_SECONDS) -> l
                 path = os.path.join(folder, entry)
                 old = time.time() - os.path.getmtime(path) >= stale
                 out.append((path, kind.rstrip("-"), old))
-                if fix and old:
+                if fix and old and not (kind == "backup-" and not os.path.exists(target)):  # that backup is all there is
                     shutil.rmtree(path) if os.path.isdir(path) else os.unlink(path)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import time
 import urllib.error
 import urllib.request
@@ -39,7 +40,7 @@ def read_url_range(url: str, start: int, length: int, etag: str | None = None, r
         if attempt:
             time.sleep(backoff * 2 ** (attempt - 1))
         try:
-            with urllib.request.urlopen(ask) as answer:
+            with urllib.request.urlopen(ask, timeout=30) as answer:
                 data = answer.read()
                 if answer.status == 200:
                     if etag:
@@ -52,7 +53,7 @@ def read_url_range(url: str, start: int, length: int, etag: str | None = None, r
             if error.code not in RETRIED:
                 raise
             last = error
-        except OSError as error:
+        except (OSError, http.client.HTTPException) as error:  # a cut answer is the latter
             last = error
     raise last
 

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from strataloom import cli
-from strataloom.sources import installed, reports
+from strataloom.sources import installed, local, reports
 
 
 def run(capsys, *argv):
@@ -101,3 +101,107 @@ def test_plans_and_metadata(spark, tmp_path, capsys):
     capsys.readouterr()
     both = run(capsys, "compare-plans", tree, target, *small)[1]
     assert {p["plan"] for p in both["plans"]} >= {"auto:fixed", "auto:cdc", "external:full-tar.gz"} and both["recommended"]["own_smallest"]
+
+
+def test_small_commands(spark, tmp_path, capsys):
+    import hashlib
+
+    cache = tmp_path / "cache"
+    cache.mkdir()
+    for k, body in enumerate((b"one", b"three", b"sevens!")):
+        (cache / hashlib.sha256(body).hexdigest()).write_bytes(body)
+        os.utime(cache / hashlib.sha256(body).hexdigest(), (1000 + k, 1000 + k))
+    (cache / ("0" * 64)).write_bytes(b"wrong")
+    (cache / "name").write_bytes(b"x")
+    got = run(capsys, "cache-index", str(cache))[1]
+    assert (got["chunk_count"], got["total_raw_bytes"]) == (3, 15) and sorted(b["reason"] for b in got["bad_entries"]) == ["not-a-chunk-name", "sha256-mismatch"]
+    assert len(run(capsys, "cache-index", str(cache), "--prune")[1]["bad_entries"]) == 2 and not (cache / "name").exists()
+    assert run(capsys, "cache-gc", str(cache), "12b")[1] == {"ok": True, "removed_bytes": 3, "chunk_count": 2, "total_raw_bytes": 12}
+    local.touch(str(cache), {hashlib.sha256(b"three").hexdigest(): 5}, now=5000)
+    assert run(capsys, "cache-gc", str(cache), "5")[1]["chunk_count"] == 1 and (cache / hashlib.sha256(b"three").hexdigest()).exists()
+    assert local.read_index(str(tmp_path)) is None
+    assert run(capsys, "digest", str(cache / hashlib.sha256(b"three").hexdigest()), "--mode", "file-sha256")[1]["sha256"] == hashlib.sha256(b"three").hexdigest()
+    (tmp_path / "t" / "d").mkdir(parents=True)
+    (tmp_path / "t" / "d" / "f").write_bytes(b"abc")
+    inner = hashlib.sha256(b"abc").hexdigest()
+    assert run(capsys, "digest", str(tmp_path / "t"))[1]["sha256"] == hashlib.sha256(f"d/f\0" f"3\0{inner}\n".encode()).hexdigest()
+    assert run(capsys, "digest", str(tmp_path / "t"), "--mode", "tree-sha256-nosize")[1]["sha256"] == hashlib.sha256(f"d/f\0{inner}\n".encode()).hexdigest()
+    with pytest.raises(ValueError):
+        local.digest(spark, str(tmp_path), "md5")
+    assert local.csv_rows(spark, str(tmp_path / "none.csv")) is None
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    assert local.csv_rows(spark, str(tmp_path / "a.csv")).first().asDict() == {"x": "1", "y": "2"}
+
+
+def test_profiles_and_keys(spark, tmp_path, capsys):
+    good = {"schema_version": 1, "name": "p", "description": "d", "chunker": "fastcdc", "codec": "zstd", "chunk_min": "64", "chunk_avg": "256", "chunk_max": "1 KiB", "fastcdc_stride": 4}
+    path = str(tmp_path / "p.json")
+
+    def write(**more):
+        with open(path, "w") as file:
+            json.dump({k: v for k, v in (good | more).items() if v is not None}, file)
+
+    write()
+    shown = run(capsys, "profile-show", path)[1]
+    assert shown["cutting"] == {"mode": "fastcdc", "fixed_size": 256 << 10, "min": 64, "avg": 256, "max": 1024, "stride": 4}
+    for bad in ({"extra": 1}, {"schema_version": 2}, {"name": " "}, {"chunker": "rabin"}, {"codec": "lzma"}, {"chunk_min": "2KiB"}, {"chunk_avg": None}, {"fastcdc_stride": 0}, {"metadata": "x"}, {"chunker": "fixed", "fixed_size": "0"}):
+        write(**bad)
+        with pytest.raises(ValueError):
+            local.load_profile(path)
+    write()
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes(b"text " * 500)
+    doc = run(capsys, "pack", str(tmp_path / "t"), str(tmp_path / "r"), "--profile", path)[1]
+    assert doc["chunker"]["stride"] == 4 and doc["codec_policy"] == "zstd"
+    key = run(capsys, "keygen")[1]
+    for name, held in (("k", key), ("public", {k: v for k, v in key.items() if k != "private_key"}), ("wrong", key | {"key_id": "0" * 16}), ("other", key | {"algorithm": "rsa"})):
+        (tmp_path / name).write_text(json.dumps(held))
+    assert local.read_key(str(tmp_path / "public"))["key_id"] == key["key_id"]
+    for name, private in (("public", True), ("wrong", False), ("other", False)):
+        with pytest.raises(ValueError):
+            local.read_key(str(tmp_path / name), private)
+    root = run(capsys, "root-init", "--key", str(tmp_path / "k"), "--key", str(tmp_path / "public"), "--allow", "https://m.example.com/")[1]
+    assert len(root["trusted_keys"]) == 1 and root["policy"]["allowed_mirrors"] == ["https://m.example.com"] and "private_key" not in json.dumps(root)
+
+
+def test_doctor_keeps_the_last_backup(tmp_path, spark, capsys):
+    target = str(tmp_path / "target")
+    os.makedirs(f"{target}.backup-1")
+    installed.leftovers(target, fix=True, stale=0)
+    assert os.path.isdir(f"{target}.backup-1")  # nothing else is left of the install
+    os.makedirs(target)
+    installed.leftovers(target, fix=True, stale=0)
+    assert not os.path.isdir(f"{target}.backup-1")
+    with open(f"{target}.journal", "w") as file:
+        json.dump({"phase": "swap"}, file)
+    answer = run(capsys, "doctor", target)
+    assert answer[0] == 2 and answer[1]["journal"] == {"phase": "swap"}
+
+
+def test_server(tmp_path):
+    import urllib.error
+    import urllib.request
+
+    from strataloom.sources import ranges, server
+
+    (tmp_path / "f").write_bytes(bytes(range(200)))
+    held = server.serve(str(tmp_path), faults=server.Faults(fail_every=4, truncate_every=3))
+    url = f"http://127.0.0.1:{held.server_address[1]}/f"
+
+    def get(**headers):
+        with urllib.request.urlopen(urllib.request.Request(url, headers={k.replace("_", "-"): v for k, v in headers.items()})) as answer:
+            return answer.status, answer.read()
+
+    assert get() == (200, bytes(range(200)))  # 1
+    assert get(Range="bytes=5-9", If_Range=server.tag_of(str(tmp_path / "f"))) == (206, bytes(range(5, 10)))  # 2
+    with pytest.raises(Exception):  # 3: cut to half
+        get(Range="bytes=0-99")
+    with pytest.raises(urllib.error.HTTPError, match="503"):  # 4
+        get()
+    assert get(Range="bytes=5-9", If_Range='"old"')[0] == 200  # 5
+    assert ranges.read_url_range(url, 190, 10, retries=4, backoff=0.0) == bytes(range(190, 200))  # 6 is cut, 7 comes
+    with pytest.raises(urllib.error.HTTPError, match="503"):
+        get()
+    with pytest.raises(urllib.error.HTTPError, match="416"):  # 9
+        get(Range="bytes=500-600")
+    held.shutdown()

@@ -407,3 +407,39 @@ def test_planner_edges(spark):
     assert [one(T.precompressed_hint(F.lit(x))) for x in ("a.GZ", "a.tgz", "a.pdf", "d/.gz", "a.tar.zst", "a.avi", "a.heic", "gz")] == [True, False, True, False, True, False, True, False]
     assert [one(P.showcase_class(F.lit(ok), lit(w), lit(f))) for ok, w, f in ((False, 1.0, 2.0), (True, None, 2.0), (True, 1.0, 0.0), (True, 0.05, 1.0), (True, 0.85, 1.0))] == ["failed", "pass_metrics_unavailable", "near-parity-or-bad-fit", "high-reuse-win", "partial-win"]
     assert one(T.replace_strings(F.lit('{"a": "x\\"y"}'), 'x"', "z")) == '{"a": "zy"}'
+
+
+def test_measured_plans_by_force(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.plans import drivers
+
+    rnd = random.Random(8)
+    noise = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    shared = noise(900)
+    old = {"a/x": ("a", b"text " * 300), "a/y": ("a", shared), "b/x": ("b", shared), "b/z": ("b", b"")}
+    new = {"a/x": ("a", b"text " * 300 + b"more"), "b/x": ("b", shared), "b/n": ("b", noise(500)), "c/e": ("c", b"")}
+    frame = lambda rows: spark.createDataFrame([(p, bytearray(c), len(c), s) for p, (s, c) in rows.items()], "path string, content binary, size bigint, scenario string")
+    cuttings = [chunking.Cutting("fixed", fixed_size=256), chunking.Cutting("cdc", min=64, avg=256, max=1024)]
+    got = drivers.measure(frame(old), frame(new), cuttings, ["raw", "auto"], by=("scenario",))
+    rows = {(r.scenario, r.plan): r for r in got.collect()}
+    assert {p for _, p in rows} == {"raw:fixed", "auto:fixed", "raw:cdc", "auto:cdc"} and {s for s, _ in rows} == {"a", "b", "c"}
+    for cutting in cuttings:
+        for kind in ("raw", "auto"):
+            for s in "abc":
+                sets = []
+                for side in (old, new):
+                    part = {p: c for p, (at, c) in side.items() if at == s}
+                    t = tree(spark, list(part.items())) if part else tree(spark, [("none", b"")]).limit(0)
+                    sets.append({r.chunk_id: r.pack_len for r in release.stored_chunks(t, cutting, kind).collect()})
+                r = rows[s, f"{kind}:{cutting.mode}"]
+                assert r.download_pack_bytes == sum(n for k, n in sets[1].items() if k not in sets[0])
+                assert (r.reused_chunks, r.new_unique_chunks) == (len(sets[0].keys() & sets[1].keys()), len(sets[1]))
+                changed = sum(len(c) for p, (at, c) in new.items() if at == s and old.get(p, (s, None))[1] != c)
+                assert r.changed_file_bytes == changed
+    best = {r.scenario: r for r in drivers.choices(got, ("scenario",)).collect()}
+    assert best["a"].update_bytes == min(rows["a", p].download_pack_bytes for _, p in rows if _ == "a") and best["c"].verdict == "inconclusive"
+    whole = drivers.measure(frame(old), frame(new), cuttings[:1], ["raw"]).first()
+    assert whole.files_changed == 3 and whole.files_removed == 2 and whole.download_pack_bytes >= 500
+    assert drivers.external_plans(frame(old), frame(new)).count() == 4
+    assert set(drivers.classed(got).select(F.collect_set("claim")).first()[0]) <= {"do_not_claim", "safe_positive_example", "qualified_positive_example", "negative_or_neutral_example", "negative_example"}
