@@ -432,3 +432,24 @@ def test_pipeline(spark):
     assert {r.doc_id for r in steps["packing"]} == ids
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], schema), None).count() == 0
+
+
+def test_pipeline_stages_keep_rows_and_columns(spark):
+    """Columns that clash with the operators' own, ids beyond 2**41, a null id, rows that repeat, and two texts of one id."""
+    import corpus_pipeline
+
+    rnd = random.Random(17)
+    text = lambda: "\n".join(" ".join("".join(rnd.choice("aeioustn") for _ in range(rnd.randint(2, 8))) for _ in range(rnd.randint(8, 20))).capitalize() + "." for _ in range(8))
+    names = ["id", "node", "gone", "runs", "digest", "cuts", "component_id", "salt_hot", "row", "kept"]
+    texts = [text() for _ in range(12)]
+    big = (1 << 42) + 3
+    rows = [(i, t) for i, t in enumerate(texts[:6])] + [(big, texts[6]), (big, texts[7]), (big, texts[6]), (None, texts[8]), (None, texts[8]), (40, texts[0]), (41, texts[0] + " tail")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *names) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.durable(stage(spark, docs, None))
+        assert docs.columns == [c.split()[0].strip("`") for c in schema.split(", ")], name
+        assert all(list(r)[5:] == names for r in docs.collect())
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(left, key=str) == sorted([*enumerate(texts[:6]), (big, texts[6]), (big, texts[7]), (None, texts[8]), (None, texts[8])], key=str)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, None).collect()} == {*range(6), big, None}
