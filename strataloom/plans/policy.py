@@ -23,9 +23,9 @@ def egress_cost(n: Column, downloads: Column, price: Column) -> Column:
     return F.bround(gib(n) * F.greatest(downloads, F.lit(0)) * price, 6)
 
 
-def _best(key: list[str], where: Column = F.lit(True)) -> Column:
+def _best(key: list[str], where: Column | None = None) -> Column:
     """The plan that is least by key, then by ordinal, among those whose key is known."""
-    known = where
+    known = F.lit(True) if where is None else where
     for k in key:
         known = known & F.col(k).isNotNull()
     return F.min(F.when(known, F.struct(*key, "ordinal", "plan")))["plan"]

@@ -205,3 +205,13 @@ def test_server(tmp_path):
     with pytest.raises(urllib.error.HTTPError, match="416"):  # 9
         get(Range="bytes=500-600")
     held.shutdown()
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import pkgutil, strataloom, __spark_entry__ as e; [__import__(m.name) for m in pkgutil.walk_packages(strataloom.__path__, 'strataloom.') if '.llm' not in m.name]; print(len(e.queries()) >= 100, set(e.oracle_sql()) <= set(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "True"], done.stderr[-2000:]
