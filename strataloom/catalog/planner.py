@@ -107,6 +107,18 @@ def break_even(spark, sf):
     return pairs.select("a", "b", F.coalesce(P.break_even(F.col("ta"), F.col("pa"), F.col("tb"), F.col("pb")), F.lit(-1)).alias("downloads"))
 
 
+_PAIRS = "(SELECT * FROM (VALUES ('own_fastest', 'own_smallest'), ('own_fastest', 'smallest'), ('own_fastest', 'balanced'), ('lowest_total', 'own_smallest')) AS t(f, t))"
+
+
+@query(f"""WITH {_COST1}, recs AS (SELECT {_RECS} FROM cost, (SELECT min(bytes) FILTER (NOT external) AS least_own FROM cost)), named AS (UNPIVOT recs ON COLUMNS(*) INTO NAME rec VALUE plan)
+SELECT f || ':' || t AS comparison, a.plan AS from_plan, b.plan AS to_plan, CAST(coalesce(CASE WHEN b.per_download <= a.per_download AND b.pack <= a.pack THEN 0 WHEN b.per_download < a.per_download THEN greatest(0, ceil((b.pack - a.pack) / (a.per_download - b.per_download))) END, -1) AS BIGINT) AS downloads,
+  CASE WHEN b.per_download <= a.per_download AND b.pack <= a.pack THEN 'no-dearer-already' WHEN b.per_download < a.per_download THEN 'from-these-downloads' ELSE 'never' END AS relation
+FROM {_PAIRS} JOIN named x ON x.rec = f JOIN named y ON y.rec = t JOIN cost a ON a.plan = x.plan JOIN cost b ON b.plan = y.plan WHERE f <> 'lowest_total' OR a.plan <> b.plan""")
+def recommended_break_even(spark, sf):
+    out = P.recommended_break_even(_costed(spark))
+    return out.withColumn("downloads", F.coalesce("downloads", F.lit(-1)))
+
+
 @query(f"""SELECT bandwidth, speed, CASE WHEN best_bytes > 0 AND (fixed_bytes - best_bytes) / CAST(best_bytes AS DOUBLE) <= 0.10::DOUBLE AND fixed_seconds <= default_seconds THEN 'fixed' ELSE default_plan END AS "default", near_best_strided, best_bytes FROM
 (SELECT arg_min(plan, (bytes, ordinal)) AS bandwidth, arg_min(plan, (seconds, ordinal)) AS speed, arg_min(plan, (seconds, ordinal)) FILTER (near) AS default_plan, min(seconds) FILTER (near) AS default_seconds,
   arg_min(plan, (seconds, ordinal)) FILTER (near AND (starts_with(plan, 'fastcdc') OR starts_with(plan, 'large-file'))) AS near_best_strided,

@@ -307,6 +307,16 @@ def changed_paths_sample(spark, sf):
     return diff.changed_paths_sample(*_pair(spark, sf)[:2])
 
 
+@query(sql("SELECT path FROM v1 WHERE path NOT IN (SELECT path FROM v2) ORDER BY path LIMIT 20"))
+def removed_paths_sample(spark, sf):
+    return diff.removed_paths_sample(*_pair(spark, sf)[:2])
+
+
+@query(sql("SELECT path, v1.size AS old_size, v2.size AS new_size, v2.size - v1.size AS size_delta FROM v1 JOIN v2 USING (path) WHERE v1.size <> v2.size ORDER BY path LIMIT 20"))
+def size_changes_sample(spark, sf):
+    return diff.size_changes_sample(*_pair(spark, sf)[:2])
+
+
 @query(sql(F1, F2, "SELECT f2.* FROM f2 LEFT JOIN f1 ON f1.path = f2.path WHERE f1.file_hash IS DISTINCT FROM f2.file_hash"))
 def changed_files_raw(spark, sf):
     return diff.changed_files(*_pair(spark, sf)[:2])

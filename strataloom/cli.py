@@ -73,7 +73,11 @@ def release_check(spark, a):
         "collisions": [r.asDict() for r in checks.collisions(checks.casefold_keys(paths)).limit(100).collect()],
         "content": [r.asDict() for r in store.verify(held).limit(100).collect()],
     }
-    warnings = [r.asDict() for r in checks.portability_warnings(paths).where("warnings <> ''").limit(100).collect()]
+    told = held.files.agg(F.count_if(F.col("mode").isNull()).alias("without_mode"), F.count_if(F.col("mtime_ns").isNull()).alias("without_time")).first().asDict()
+    document = held.document
+    issues["document"] = [name for name, bad in (("schema", document.get("schema") != "strata.release"), ("version", document.get("version") != 2), ("root_hash", not document.get("root_hash")), ("metrics", document.get("metrics", {}).get("file_count") != held.files.count())) if bad]
+    warnings = [told] if any(told.values()) else []
+    warnings += [r.asDict() for r in checks.portability_warnings(paths).where("warnings <> ''").limit(100).collect()]
     return {"ok": not any(issues.values()), "portable_ok": not (issues["unsafe"] or issues["unportable"] or issues["collisions"]), "warnings": warnings} | issues
 
 

@@ -23,18 +23,28 @@ def keygen(spark: SparkSession) -> dict:
     return {"algorithm": "ed25519", "key_id": hashlib.sha256(public).hexdigest()[:16], "public_key": base64.b64encode(public).decode(), "private_key": base64.b64encode(private).decode()}
 
 
+#: What a signature repeats of the document, so that it can be held against it without the key.
+SIGNED = ("root_hash", "expires_at", "not_before")
+
+
 def sign(spark: SparkSession, document: dict, key: dict) -> dict:
     java = _java(spark)
     private = java.KeyFactory.getInstance("Ed25519").generatePrivate(java.spec.PKCS8EncodedKeySpec(bytearray(base64.b64decode(key["private_key"]))))
     signer = java.Signature.getInstance("Ed25519")
     signer.initSign(private)
     signer.update(bytearray(canonical_json(document)))
-    return {"algorithm": "ed25519", "key_id": key["key_id"], "signature": base64.b64encode(bytes(signer.sign())).decode(), "root_hash": document.get("root_hash")}
+    signed = {name: document.get(name) for name in SIGNED}
+    digest = hashlib.sha256(base64.b64decode(key["public_key"])).hexdigest()
+    return {"algorithm": "ed25519", "key_id": key["key_id"], "public_key_sha256": digest, "signature": base64.b64encode(bytes(signer.sign())).decode(), **signed}
 
 
 def signature_valid(spark: SparkSession, document: dict, signature: dict, public_key: str) -> bool:
+    """The algorithm, what the signature repeats, the key's id and digest, and the bytes: all have to hold."""
     java = _java(spark)
-    if signature.get("algorithm") != "ed25519" or signature.get("root_hash") != document.get("root_hash"):
+    if signature.get("algorithm") != "ed25519" or any(signature.get(name) != document.get(name) for name in SIGNED):
+        return False
+    digest = hashlib.sha256(base64.b64decode(public_key)).hexdigest()
+    if signature.get("key_id") != digest[:16] or signature.get("public_key_sha256", digest) != digest:
         return False
     public = java.KeyFactory.getInstance("Ed25519").generatePublic(java.spec.X509EncodedKeySpec(bytearray(base64.b64decode(public_key))))
     check = java.Signature.getInstance("Ed25519")

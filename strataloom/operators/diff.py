@@ -114,6 +114,17 @@ def changed_paths_sample(old: DataFrame, new: DataFrame, n: int = 20) -> DataFra
 PLAN_COLUMNS = ["raw_len", "codec", "compressed_hash", "pack_id", "pack_offset", "pack_len"]
 
 
+def removed_paths_sample(old: DataFrame, new: DataFrame, n: int = 20) -> DataFrame:
+    """The first removed paths by name; the limit is the report's."""
+    return old.select("path").join(new.select("path"), "path", "left_anti").orderBy("path").limit(n)
+
+
+def size_changes_sample(old: DataFrame, new: DataFrame, n: int = 20) -> DataFrame:
+    """(path, old_size, new_size, size_delta) of the first files by name that are in both trees with other sizes; the limit is the report's."""
+    both = old.select("path", F.col("size").alias("old_size")).join(new.select("path", F.col("size").alias("new_size")), "path").where("old_size <> new_size")
+    return both.withColumn("size_delta", F.col("new_size") - F.col("old_size")).orderBy("path").limit(n)
+
+
 def patch_plan(old: DataFrame, stored_new: DataFrame) -> DataFrame:
     """Chunks to transfer: those of the new release's table that the old one lacks."""
     named = [c for c in PLAN_COLUMNS if c in stored_new.columns]

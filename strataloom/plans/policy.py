@@ -162,6 +162,26 @@ def break_even(a_transfer: Column, a_pack: Column, b_transfer: Column, b_pack: C
     return F.when((b_transfer <= a_transfer) & (b_pack <= a_pack), F.lit(0)).when(b_transfer < a_transfer, needed).cast("bigint")
 
 
+#: Comparisons of recommended plans: from the one that is quickly made to the one that moves less.
+COMPARED = [("own_fastest", "own_smallest"), ("own_fastest", "smallest"), ("own_fastest", "balanced"), ("lowest_total", "own_smallest")]
+
+
+def recommended_break_even(costed: DataFrame) -> DataFrame:
+    """(comparison, from_plan, to_plan, downloads, relation) between the recommended of costed plans.
+
+    A plan named twice is its last row. Comparisons without both plans are absent, as is the last where both are one.
+    """
+    rows = costed.groupBy("plan").agg(F.max_by(F.struct("per_download", "pack"), "ordinal").alias("c"))
+    pairs = F.array(*[F.struct(F.lit(f"{a}:{b}").alias("comparison"), F.col(a).alias("from_plan"), F.col(b).alias("to_plan"), F.lit(a == "lowest_total").alias("distinct")) for a, b in COMPARED])
+    each = recommend(costed, []).select(F.explode(pairs).alias("p")).select("p.*").where("from_plan is not null and to_plan is not null and not (distinct and from_plan = to_plan)")
+    side = lambda end: rows.select(F.col("plan").alias(f"{end}_plan"), F.col("c.per_download").alias(f"{end}_transfer"), F.col("c.pack").alias(f"{end}_pack"))
+    out = each.join(side("from"), "from_plan").join(side("to"), "to_plan")
+    n = break_even(F.col("from_transfer"), F.col("from_pack"), F.col("to_transfer"), F.col("to_pack"))
+    now = (F.col("to_pack") <= F.col("from_pack")) & (F.col("to_transfer") <= F.col("from_transfer"))
+    relation = F.when(now, "no-dearer-already").when(F.col("to_transfer") < F.col("from_transfer"), "from-these-downloads").otherwise("never")
+    return out.select("comparison", "from_plan", "to_plan", n.alias("downloads"), relation.alias("relation"))
+
+
 def verdict(own: Column, external: Column) -> Column:
     """How our least cost stands against the least external one; a cost of 0 or none says nothing."""
     ratio = own / external

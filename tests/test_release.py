@@ -165,6 +165,8 @@ def test_trust(spark):
     assert errors(s=trust.sign(spark, doc, other)) == ["unknown-key"]
     assert errors(d=doc | {"release_seq": 6}) == ["bad-signature"]
     assert errors(s=None) == ["unsigned"]
+    for change in ({"expires_at": "2031-01-01"}, {"not_before": "x"}, {"public_key_sha256": "0"}, {"algorithm": "rsa"}, {"signature": "AA=="}):
+        assert errors(s=sig | change) == ["bad-signature"]
     assert errors(at=dt.datetime(2032, 1, 1, tzinfo=dt.timezone.utc)) == ["root-expired", "release-expired"]
     assert errors(src=("https://m.example.com", "https://x.example.com", "/local")) == ["source-not-allowed: https://x.example.com"]
     assert trust.hmac_token(b"k", "p", 5) == trust.hmac_token(b"k", "p", 5) != trust.hmac_token(b"k", "q", 5)
