@@ -27,8 +27,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Lengths are rounded up to this many tokens in the histogram and the patterns.
 UNIT = 8
-#: Pieces of one length that a task ranks; a length of more is dealt over as many tasks as it needs.
-RANKED = 200_000
+#: Pieces of one length that a share of them ranks, at least and at most; between them it is a partition's part of all.
+LEAST_RANKED, RANKED = 200, 200_000
 #: The linear program ends within this share of its bound.
 GAP = 2e-4
 #: Runs whose ids a worker keeps, about 40 bytes each.
@@ -365,14 +365,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
     """pieces and the sequence and offset of each.
 
     Rows may repeat: a row number, made durable with the pieces, deals them. The driver gets the histogram, of capacity / unit rows at most, and
-    a count for every RANKED pieces of a length. Ranks are two-level: within a share of a length by a window, and over
+    a count for each share of a length: a share for every partition and length, and one for every RANKED pieces, at most.
+    Ranks are two-level: within a share of a length by a window, and over
     the shares by their counts.
     """
     slots = capacity // unit
     kind = F.ceil(F.col("length") / unit).cast("int")
     spark = pieces.sparkSession
     ranked = common.durable(pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("row"))).withColumn("kind", kind)
-    shares = spark.createDataFrame([(r.kind, 1 + (r.n - 1) // RANKED) for r in ranked.groupBy("kind").agg(F.count("*").alias("n")).collect()], "kind int, shares bigint")
+    lengths = ranked.groupBy("kind").agg(F.count("*").alias("n")).collect()
+    part = sum(r.n for r in lengths) // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = min(RANKED, max(LEAST_RANKED, part))
+    shares = spark.createDataFrame([(r.kind, 1 + (r.n - 1) // most) for r in lengths], "kind int, shares bigint")
     ranked = ranked.join(F.broadcast(shares), "kind").withColumn("salt", F.pmod(F.xxhash64("row"), "shares"))
     counts = ranked.groupBy("kind", "salt").agg(F.count("*").alias("n")).collect()
     demand, before = np.zeros(slots, dtype=np.int64), {}
