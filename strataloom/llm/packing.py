@@ -61,10 +61,11 @@ class IdTable:
 
     def _clear(self) -> None:
         self.slots = np.full(int(self.mask) + 1, -1, dtype=np.int32)
-        self.keys, self.heads, self.tails = (np.zeros(0, U64) for _ in range(3))
-        self.sizes, self.starts, self.lengths = (np.zeros(0, np.int64) for _ in range(3))
+        self.n, self.used = 0, 0
+        self.keys, self.heads, self.tails = (np.zeros(self.entries, U64) for _ in range(3))
+        self.sizes, self.starts, self.lengths = (np.zeros(self.entries, np.int64) for _ in range(3))
         self.long: dict[int, bytes] = {}  # by entry: runs of more than 16 bytes
-        self.pool = np.zeros(0, "<u4")
+        self.pool = np.zeros(2 * self.entries, "<u4")
 
     def _same(self, entry: np.ndarray, runs: Runs, at: np.ndarray) -> np.ndarray:
         out = (self.heads[entry] == runs.heads[at]) & (self.tails[entry] == runs.tails[at]) & (self.sizes[entry] == runs.lengths[at])
@@ -73,46 +74,56 @@ class IdTable:
             out[long] = [self.long[e] == raw for e, raw in zip(entry[long].tolist(), runs.raw(at[long]), strict=True)]
         return out
 
-    def find(self, runs: Runs) -> np.ndarray:
-        """The entry of each run, or -1."""
-        out = np.full(len(runs.hashes), -1, dtype=np.int64)
-        if not len(self.keys):
-            return out
-        at, todo = (runs.hashes & self.mask).astype(np.int64), np.arange(len(runs.hashes))
+    def find(self, runs: Runs, which: np.ndarray) -> np.ndarray:
+        """The entry of each of these runs, or -1."""
+        out = np.full(len(which), -1, dtype=np.int64)
+        at, todo = (runs.hashes[which] & self.mask).astype(np.int64), np.arange(len(which))
         while len(todo):
             entry = self.slots[at]
             some = entry >= 0
             hit = some.copy()
-            hit[some] = (self.keys[entry[some]] == runs.hashes[todo[some]]) & self._same(entry[some], runs, todo[some])
+            here = which[todo[some]]
+            hit[some] = (self.keys[entry[some]] == runs.hashes[here]) & self._same(entry[some], runs, here)
             out[todo[hit]] = entry[hit]
             go = some & ~hit
             todo, at = todo[go], at[go] + 1 & int(self.mask)
         return out
 
-    def add(self, runs: Runs, new: np.ndarray, ids: list[bytes]) -> None:
-        """The runs at `new`, of distinct hashes, with their ids; of more than half the table's entries, the first."""
+    def add(self, runs: Runs, new: np.ndarray, ids: list[bytes]) -> bool:
+        """The runs at `new`, of distinct hashes, with their ids; of more than half the table's entries, the first.
+
+        True if every run that had an entry still has the same one.
+        """
+        whole = len(new) <= self.entries // 2
         new, ids = new[: self.entries // 2], ids[: self.entries // 2]
-        if len(self.keys) and len(self.keys) + len(new) > self.entries:
-            half = min(self.entries // 2, len(self.keys))
-            held = [x[:half] for x in (self.keys, self.heads, self.tails, self.sizes, self.starts, self.lengths)]
-            pool, long = self.pool, {e: raw for e, raw in self.long.items() if e < half}
+        same = self.n + len(new) <= self.entries
+        if not same:
+            half = min(self.entries // 2, self.n)
+            held = [x[:half].copy() for x in (self.keys, self.heads, self.tails, self.sizes, self.starts, self.lengths)]
+            used, pool, long = int(held[4][-1] + held[5][-1]) if half else 0, self.pool, {e: raw for e, raw in self.long.items() if e < half}
             self._clear()
             self._place(held[0])
-            _, self.heads, self.tails, self.sizes, self.starts, self.lengths = held
-            self.pool, self.long = pool[: int(self.starts[-1] + self.lengths[-1])], long
-        base, lengths = len(self.keys), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for x, y in zip((self.heads, self.tails, self.sizes, self.starts, self.lengths), held[1:], strict=True):
+                x[:half] = y
+            self.pool, self.used, self.long = pool, used, long
+        base, lengths = self.n, np.array([len(x) // 4 for x in ids], dtype=np.int64)
         self._place(runs.hashes[new])
-        self.heads, self.tails = np.concatenate([self.heads, runs.heads[new]]), np.concatenate([self.tails, runs.tails[new]])
-        self.sizes = np.concatenate([self.sizes, runs.lengths[new]])
+        to = self.n
+        self.heads[base:to], self.tails[base:to], self.sizes[base:to] = runs.heads[new], runs.tails[new], runs.lengths[new]
         long = np.flatnonzero(runs.lengths[new] > 16)
         self.long.update(zip((base + long).tolist(), runs.raw(new[long]), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        body = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(body) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(body), "<u4")])
+        self.pool[self.used : self.used + len(body)] = body
+        self.starts[base:to], self.lengths[base:to] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(body)
+        return same and whole
 
     def _place(self, hashes: np.ndarray) -> None:
-        base = len(self.keys)
-        self.keys = np.concatenate([self.keys, hashes])
+        base = self.n
+        self.n += len(hashes)
+        self.keys[base : self.n] = hashes
         at, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
         while len(todo):
             free = self.slots[at] < 0
@@ -154,7 +165,7 @@ class WordTokens:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, held: Runs, new: np.ndarray) -> None:
+    def _learn(self, held: Runs, new: np.ndarray) -> bool:
         runs, plain, other = held.raw(new), [], []
         for i, run in enumerate(runs):
             (plain if run.isalpha() or run.decode().isalpha() else other).append(i)
@@ -167,7 +178,7 @@ class WordTokens:
             part = other[a : a + 2000]
             for i, got in zip(part, self.model.encode_batch_fast([runs[i].decode() for i in part], add_special_tokens=False), strict=True):
                 found[i] = array("I", got.ids).tobytes()
-        self.table.add(held, new, found)
+        return self.table.add(held, new, found)
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """Per text: its ids as little-endian unsigned 32-bit words."""
@@ -182,12 +193,15 @@ class WordTokens:
         run_starts = np.where(second, ends[of] - 1, starts[of])
         run_ends = ends[of] - (cut[of] & ~second)
         runs = Runs(words, run_starts, run_ends)
-        entries = self.table.find(runs)
-        if (entries < 0).any():
-            gaps = np.flatnonzero(entries < 0)
+        every = np.arange(len(of))
+        entries = self.table.find(runs, every)
+        gaps = np.flatnonzero(entries < 0)
+        if len(gaps):
             _, first = np.unique(runs.hashes[gaps], return_index=True)
-            self._learn(runs, np.sort(gaps[first]))  # in the order of the text
-            entries = self.table.find(runs)  # all: the table may have been thinned out
+            if self._learn(runs, np.sort(gaps[first])):  # in the order of the text
+                entries[gaps] = self.table.find(runs, gaps)
+            else:  # the table has been thinned out
+                entries = self.table.find(runs, every)
             if (entries < 0).any():  # then once more for what has just gone, or has the hash of another run
                 return [x for k in range(len(texts)) for x in self.encode_batch(texts[k : k + 1])] if len(texts) > 1 else [self.encode_whole(texts[0].as_py())]
         ids, begins = self.table.gather(entries)
